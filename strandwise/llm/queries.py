@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from strandwise.llm import frequency, spans, topn
+from strandwise.llm import frequency, mixture, spans, tokens, topn, toxicity
 from strandwise.runtime import bare
 from strandwise.sources import table
 
@@ -48,7 +48,40 @@ def p3_best(spark, d):
     return _best(spark, d)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_frequencies, p3_found, p3_best)}
+def p6_ids(spark, d):
+    return tokens.encode(table(spark, d, "documents"), "text", ["doc_id"])
+
+
+def _mix(spark, d):
+    sizes = tokens.encode(table(spark, d, "documents"), "text", ["doc_id", "source"], count=True)
+    return mixture.mix(sizes, table(spark, d, "mix_targets"))
+
+
+def p7_mixture(spark, d):
+    return _mix(spark, d)[0]
+
+
+def p7_shares(spark, d):
+    return _mix(spark, d)[1]
+
+
+def _scored(spark, d, keep):
+    return toxicity.score_documents(table(spark, d, "documents"), table(spark, d, "review_labels"), keep)
+
+
+def p8_found(spark, d):
+    return _scored(spark, d, ["doc_id"]).where("flagged").select("doc_id")
+
+
+def p8_scores(spark, d):
+    return _scored(spark, d, ["doc_id", "source"])
+
+
+def p8_rates(spark, d):
+    return toxicity.rates(_scored(spark, d, ["source"]))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_frequencies, p3_found, p3_best, p6_ids, p7_mixture, p7_shares, p8_found, p8_scores, p8_rates)}
 
 _BARE = "upper(trim(kmer, chr(32) || chr(9) || chr(10) || chr(13) || chr(160)))"
 _RUNS = """
