@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from strandwise.llm.tokens import text_runs
 
 #: Labelled documents of either kind that a model is fitted on, at most, and letters of each (others are scored whole).
-MAX_LABELLED = 3_000
+MAX_LABELLED = 1_500
 TRAIN_LETTERS = 20_000
 #: Hashed features of each place (the word itself and two neighbours on either side).
 BITS = 18
@@ -191,40 +191,42 @@ def neighbours(words: np.ndarray, chain: np.ndarray) -> list[np.ndarray]:
 
 
 class Chains:
-    """Chains of words, laid out so that a step handles the words at one place of all chains."""
+    """Chains of words, laid out so that the words at one place of all chains lie together and a step handles them at once."""
 
     def __init__(self, chain: np.ndarray):
         begin = np.flatnonzero(np.r_[True, chain[1:] != chain[:-1]]) if len(chain) else np.zeros(0, np.int64)
         size = np.diff(np.r_[begin, len(chain)])
         order = np.argsort(-size, kind="stable")
-        self.begin, self.size, self.n = begin[order], size[order], len(chain)
-        self.active = [int(np.searchsorted(-self.size, -t, side="left")) for t in range(int(self.size[0]) if len(size) else 0)]
+        begin, size = begin[order], size[order]
+        self.active = [int(np.searchsorted(-size, -t, side="left")) for t in range(int(size[0]) if len(size) else 0)]
+        self.at = np.cumsum([0, *self.active])
+        self.order = np.concatenate([begin[:m] + t for t, m in enumerate(self.active)]) if self.active else begin
 
     def marginals(self, e: np.ndarray, a: np.ndarray, pairs: bool = False):
-        """Forward-backward in log-odds of the two tags; e: log-odds of each word, a: 2 x 2 transition scores."""
-        fwd, bwd = np.empty(self.n), np.zeros(self.n)
-        x = np.exp(a)
-        e = np.clip(e, -30, 30)
-        for t, m in enumerate(self.active):
-            at = self.begin[:m] + t
-            if t:
-                r = np.exp(np.clip(fwd[at - 1], -30, 30))
-                fwd[at] = e[at] + np.log((x[0, 1] + r * x[1, 1]) / (x[0, 0] + r * x[1, 0]))
-            else:
-                fwd[at] = e[at]
+        """Forward-backward in log-odds of the two tags; e: log-odds of each word, a: 2 x 2 transition scores.
+
+        With ``pairs`` also the expected number of each pair of tags.
+        """
+        x = np.exp(a).astype(np.float32)
+        e = np.clip(e[self.order], -30, 30).astype(np.float32)
+        fwd, bwd, at = e.copy(), np.zeros_like(e), self.at
+        for t in range(1, len(self.active)):
+            here, before = slice(at[t], at[t + 1]), slice(at[t - 1], at[t - 1] + self.active[t])
+            r = np.exp(np.clip(fwd[before], -30, 30))
+            fwd[here] += np.log((x[0, 1] + r * x[1, 1]) / (x[0, 0] + r * x[1, 0]))
         for t in range(len(self.active) - 1, 0, -1):
-            at = self.begin[: self.active[t]] + t
-            r = np.exp(np.clip(e[at] + bwd[at], -30, 30))
-            bwd[at - 1] = np.log((x[1, 0] + r * x[1, 1]) / (x[0, 0] + r * x[0, 1]))
-        p = 1 / (1 + np.exp(-np.clip(fwd + bwd, -30, 30)))
+            here, before = slice(at[t], at[t + 1]), slice(at[t - 1], at[t - 1] + self.active[t])
+            r = np.exp(np.clip(e[here] + bwd[here], -30, 30))
+            bwd[before] = np.log((x[1, 0] + r * x[1, 1]) / (x[0, 0] + r * x[0, 1]))
+        p = np.empty(len(e))
+        p[self.order] = 1 / (1 + np.exp(-np.clip(fwd + bwd, -30, 30)))
         if not pairs:
             return p
-        first = np.zeros(self.n, bool)
-        first[self.begin] = True
-        at = np.flatnonzero(~first)
-        l, r = np.exp(np.clip(fwd[at - 1], -30, 30)), np.exp(np.clip(e[at] + bwd[at], -30, 30))
-        w = np.stack([np.full(len(at), x[0, 0]), x[0, 1] * r, l * x[1, 0], l * x[1, 1] * r])
-        return p, (w / w.sum(0)).sum(1).reshape(2, 2), at
+        before = np.concatenate([np.arange(at[t - 1], at[t - 1] + m) for t, m in enumerate(self.active) if t] or [np.zeros(0, np.int64)])
+        here = slice(at[1] if len(at) > 1 else 0, None)
+        l, r = np.exp(np.clip(fwd[before], -30, 30)), np.exp(np.clip(e[here] + bwd[here], -30, 30))
+        w = np.stack([np.full(len(l), x[0, 0]), x[0, 1] * r, l * x[1, 0], l * x[1, 1] * r])
+        return p, (w / w.sum(0)).sum(1, dtype=np.float64).reshape(2, 2)
 
 
 class Model:
@@ -261,7 +263,7 @@ def seed_labels(words: np.ndarray, owner: np.ndarray, chain: np.ndarray, bad: np
     return (good[chain] & (at >= lo[chain]) & (at <= hi[chain])).astype(np.float64)
 
 
-def fit(texts: list[str], bad: list[bool], rounds: int = 2, steps: int = 40, rate: float = 0.15, l2: float = 0.3) -> Model:
+def fit(texts: list[str], bad: list[bool], rounds: int = 2, steps: int = 25, rate: float = 0.2, l2: float = 0.3) -> Model:
     """A model from documents labelled as a whole. Token labels start from ``seed_labels``; each further round takes the model's own tags in bad documents. Without both kinds of label it tags nothing."""
     empty = Model(np.zeros((len(PLACES), 1 << BITS), np.float32), np.zeros((2, 2)))
     bad_docs = np.array(bad, bool)
@@ -275,16 +277,16 @@ def fit(texts: list[str], bad: list[bool], rounds: int = 2, steps: int = 40, rat
         empty.a[:, 1] = -20
         return empty
     n_words = len(reader.words)
-    # Sentences of clean documents that are alike but for numbers count once.
+    # Sentences that are alike but for numbers count once.
     chain = np.unique(chain, return_inverse=True)[1]
     first = np.flatnonzero(np.r_[True, chain[1:] != chain[:-1]])
     y = seed_labels(words, owner, chain, bad_docs, n_words)
     sums = np.add.reduceat((words.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(0x5851F42D4C957F2D)) * (np.arange(len(words)) - first[chain] + 1).astype(np.uint64), first)
     unique = np.zeros(len(first), bool)
     unique[np.unique(sums, return_index=True)[1]] = True
-    keep = unique[chain] | bad_docs[owner]
+    keep = unique[chain] | (y > 0)
     words, owner, chain, y = words[keep], owner[keep], np.unique(chain[keep], return_inverse=True)[1], y[keep]
-    places, chains = neighbours(words, chain), Chains(chain)
+    places, chains, inner = neighbours(words, chain), Chains(chain), chain[1:] == chain[:-1]
     listed = [[], *(features(w) for w in reader.words)]
     sizes = np.array([len(x) for x in listed])
     flat, word_of = np.array([f for x in listed for f in x], np.int64), np.repeat(np.arange(len(listed)), sizes)
@@ -298,7 +300,7 @@ def fit(texts: list[str], bad: list[bool], rounds: int = 2, steps: int = 40, rat
             table[0] = np.bincount(word_of, theta[0, flat], minlength=len(listed))
             table[1:] = theta[1:][:, own]
             table[:, 0] = 0
-            p, expected, at = chains.marginals(sum(table[k][places[k]] for k in range(len(PLACES))), a, pairs=True)
+            p, expected = chains.marginals(sum(table[k][places[k]] for k in range(len(PLACES))), a, pairs=True)
             diff = y - p
             grad = -l2 / 10 * theta
             per_word = np.bincount(places[0], diff, minlength=len(listed))
@@ -307,8 +309,8 @@ def fit(texts: list[str], bad: list[bool], rounds: int = 2, steps: int = 40, rat
                 g = np.bincount(places[k], diff, minlength=len(listed))
                 g[0] = 0
                 grad[k] += np.bincount(own, g, minlength=1 << BITS)
-            seen = np.zeros((2, 2))
-            np.add.at(seen, (y[at - 1].astype(int), y[at].astype(int)), 1)
+            tag = y.astype(np.int64)
+            seen = np.bincount(2 * tag[:-1][inner] + tag[1:][inner], minlength=4).reshape(2, 2)
             ga = seen - expected - 0.1 * a
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
             ma, va = 0.9 * ma + 0.1 * ga, 0.99 * va + 0.01 * ga**2
@@ -370,7 +372,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, lab
     return [r._text for r in rows], [bool(r._bad) for r in rows]
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, keep: list[str], key: str = "doc_id", text: str = "text", label: str = "label", clean: str = "clean", threshold: float = 0.5, max_labelled: int = MAX_LABELLED) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, keep: list[str], key: str = "doc_id", text: str = "text", label: str = "label", clean: str = "clean", threshold: float = 0.7, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """The ``keep`` columns with ``score DOUBLE, flagged BOOLEAN, spans ARRAY<STRUCT<from_: INT, to_: INT>>`` for every row.
 
     The model is fitted on at most ``max_labelled`` documents of either kind. Every text is tagged whole, in
