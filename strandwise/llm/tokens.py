@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandwise.runtime import fresh_path
+from strandwise.runtime import cut, fresh_path
 
 #: Fixed value: the word pattern that belongs to the vocabulary byte_bpe_50k.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -253,7 +253,7 @@ def text_runs(texts: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, list]]:
 
 
 def frequent_words(docs: DataFrame, text: str, n: int) -> list[str]:
-    """The words of the ``n`` most frequent pieces of all texts."""
+    """The words of the most frequent pieces of all texts, of at most ``n`` pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -272,12 +272,21 @@ def frequent_words(docs: DataFrame, text: str, n: int) -> list[str]:
                     counts.clear()
         yield out()
 
-    found = docs.select(text).mapInArrow(run, "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "piece").limit(n)
+    counts = cut(docs.select(text).mapInArrow(run, "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("n")).where("n > 1"))
+    # The least count with at most n pieces above, from a table of counts of counts of at most 256 rows: so at most n rows are collected.
+    level = F.floor(F.log2("n") * 4).cast("int")
+    least, total = 256, 0
+    for row in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        total += row["count"]
+        if total > n:
+            break
+        least = row.level
+    found = counts.where(level >= least)
     words: Counter = Counter()
-    for row in found.collect():  # at most n rows
+    for row in found.collect():
         for word in WORD.findall(" " + row.piece):
             words[word] += row.n
-    return [w for w, _ in words.most_common(n)]
+    return sorted(words)
 
 
 def compile_lexicon(docs: DataFrame, text: str, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY, n: int = LEXICON_WORDS) -> str:

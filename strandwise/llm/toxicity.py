@@ -365,17 +365,21 @@ _SCORERS: dict[int, Scorer] = {}
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, clean: str, limit: int) -> tuple[list[str], list[bool]]:
-    """At most ``limit`` documents of either kind, chosen by a hash of the key; of each at most TRAIN_LETTERS letters. Documents with differing labels count as bad."""
+    """Labelled documents of either kind, chosen by a hash of the key; of each at most TRAIN_LETTERS letters. About ``limit`` if there are more. Documents with differing labels count as bad."""
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.max((F.col(label) != clean).cast("int")).alias("_bad"))
-    picked = known.where("_bad = 1").orderBy(F.xxhash64(key), key).limit(limit).union(known.where("_bad = 0").orderBy(F.xxhash64(key), key).limit(limit))
-    rows = docs.select(key, F.substring(text, 1, TRAIN_LETTERS).alias("_text")).where("_text is not null").join(F.broadcast(picked), key).orderBy(key, "_text").limit(4 * limit).collect()
+    many = {r._bad: r["count"] for r in known.groupBy("_bad").count().collect()}
+    draw = F.pmod(F.xxhash64(key, F.lit(1)), F.lit(1_000_000))
+    of = lambda bad: known.where((F.col("_bad") == bad) & (draw < int(1_000_000 * min(1.0, limit / max(1, many.get(bad, 0))) + 0.5)))
+    picked = of(1).union(of(0)).limit(3 * limit)
+    rows = docs.select(key, F.substring(text, 1, TRAIN_LETTERS).alias("_text")).where("_text is not null").join(F.broadcast(picked), key).limit(4 * limit).collect()
+    rows.sort(key=lambda r: (r[0], r._text))
     return [r._text for r in rows], [bool(r._bad) for r in rows]
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, keep: list[str], key: str = "doc_id", text: str = "text", label: str = "label", clean: str = "clean", threshold: float = 0.7, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """The ``keep`` columns with ``score DOUBLE, flagged BOOLEAN, spans ARRAY<STRUCT<from_: INT, to_: INT>>`` for every row.
 
-    The model is fitted on at most ``max_labelled`` documents of either kind. Every text is tagged whole, in
+    The model is fitted on about ``max_labelled`` documents of either kind at most. Every text is tagged whole, in
     chains of a sentence; its score is the highest mean marginal of three neighbouring words, ``flagged`` is score >= threshold,
     ``spans`` are the tagged places of flagged texts in code points, from and up to. Null, empty and blank texts score 0. Without
     bad or without clean labels nothing is flagged. Repeated rows are scored each; rows don't shuffle. ``keep`` mustn't hold the names of the results.
