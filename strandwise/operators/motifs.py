@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,7 +76,7 @@ def cluster_counts(seqs: DataFrame, clusters: dict[str, list[str]], directional:
 def all_kmer_counts(seqs: DataFrame, k: int, directional: bool = True) -> DataFrame:
     """``(seq_id, kmer, n)`` of all k-mers over ACGT that occur, overlapping ones included: positions exploded, partial counts before the shuffle."""
     rows = seqs.where(F.length("seq") >= k).select("seq_id", F.upper("seq").alias("seq"))
-    at = rows.select("seq_id", F.col("seq").substr(F.explode(F.sequence(F.lit(1), F.length("seq") - k + 1)), F.lit(k)).alias("kmer")) if False else rows.withColumn("p", F.explode(F.sequence(F.lit(1), F.length("seq") - k + 1))).select("seq_id", F.col("seq").substr(F.col("p"), F.lit(k)).alias("kmer"))
+    at = rows.withColumn("p", F.explode(F.sequence(F.lit(1), F.length("seq") - k + 1))).select("seq_id", F.col("seq").substr(F.col("p"), F.lit(k)).alias("kmer"))
     kept = at.where(F.col("kmer").rlike("^[ACGT]+$"))
     return kept.select("seq_id", ("kmer" if directional else canonical("kmer").alias("kmer"))).groupBy("seq_id", "kmer").agg(F.count(F.lit(1)).alias("n"))
 
@@ -141,8 +141,6 @@ def prune_intervals(rows: DataFrame, start: str = "s", end: Column | None = None
     spans = base.groupBy("_s", "_e").agg(F.min(key).alias("_keep"))
     asked = spans.select("_s", "_e", F.floor(F.col("_s") / cell).alias("_c"), F.lit(1).alias("_ask"))
     held = spans.select("_s", "_e", F.explode(F.sequence(F.floor(F.col("_s") / cell), F.floor(F.col("_e") / cell))).alias("_c"), F.lit(0).alias("_ask"))
-    from pyspark.sql import Window
-
     # By start, longest first: an interval is contained if an earlier one of the cell reaches as far.
     w = Window.partitionBy("_c").orderBy("_s", F.desc("_e"), F.desc("_ask")).rowsBetween(Window.unboundedPreceding, -1)
     seen = asked.unionByName(held).withColumn("_far", F.max(F.when(F.col("_ask") == 0, F.col("_e"))).over(w))

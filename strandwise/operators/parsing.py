@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 NUMBER = re.compile(r"[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?")
 #: csv reads these as the end of a record even where they are ordinary characters of a one-line record.
 BREAKS = re.compile("[\r\n]")
-MAX_FIELD = 2**31 - 1
+#: Fields of any length are read; the limit holds for the process.
+csv.field_size_limit(2**31 - 1)
 
 
 def _quoted_well(line: str, sep: str) -> bool:
@@ -102,7 +103,6 @@ def parse_scores(lines: DataFrame, key: str = "line_id", line: str = "line", sep
         raise ValueError(f"the key column can't be named {key}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        csv.field_size_limit(MAX_FIELD)
         for batch in batches:
             rows = [parse_record(x, sep) for x in batch.column(1).to_pylist()]
             b, y, reason = zip(*rows) if rows else ((), (), ())

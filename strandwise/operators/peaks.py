@@ -103,9 +103,9 @@ def kmer_peaks(suffixes: DataFrame, blocks: DataFrame, grid: DataFrame, limits:
     return _united([described(cut(call_peaks(rows, x, median, peakify)), x, suffixes, blocks, kmax) for x, rows, median in stages(suffixes, blocks, grid, limits)])
 
 
-def block_info(suffixes: DataFrame, blocks: DataFrame, names: list[str], grid: DataFrame, limits: DataFrame | None = None, kmax: int = 12) -> DataFrame:
-    """Every place of some blocks, closing letter included, as a table of peaks."""
-    wanted = F.broadcast(blocks.where(F.col("seq_id").isin(names)).select("b"))
+def block_info(suffixes: DataFrame, blocks: DataFrame, names: DataFrame, grid: DataFrame, limits: DataFrame | None = None, kmax: int = 12) -> DataFrame:
+    """Every place of the blocks ``names(seq_id)``, closing letter included, as a table of peaks."""
+    wanted = blocks.join(names.select("seq_id").distinct(), "seq_id", "left_semi").select("b")
     return _united([described(cut(rows.join(wanted, "b")), x, suffixes, blocks, kmax) for x, rows, _ in stages(suffixes, blocks, grid, limits)])
 
 

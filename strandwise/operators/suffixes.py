@@ -10,7 +10,7 @@ from strandwise.operators.text import CHUNK, chunks
 from strandwise.runtime import cut
 
 #: Letters of the first sorting key; longer ties are refined.
-KEY_LETTERS = 32
+KEY_LETTERS = 64
 
 
 def suffix_keys(blocks: DataFrame, letters: int, size: int = CHUNK) -> DataFrame:
@@ -31,23 +31,29 @@ def suffix_order(blocks: DataFrame, letters: int = KEY_LETTERS) -> DataFrame:
     """
     first = ordered(suffix_keys(blocks, letters), ["key"], ["s"], keep=["s", "b"])
     ranks = cut(first.select("s", "b", F.col("first").alias("r")))
-    done, step = None, letters
-    while True:
-        tied = ranks.join(ranks.groupBy("r").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("r"), "r", "left_semi").select("r", "s", "b")
-        tied = cut(tied)
-        if tied.isEmpty():
-            break
-        later = ranks.select((F.col("s") - step).alias("s"), F.col("r").alias("next"))
-        pairs = tied.join(later, "s", "left").select("r", "s", "b", F.coalesce("next", F.lit(-1)).alias("next"))
-        sorted_ = ordered(pairs, ["r", "next"])
-        base = sorted_.groupBy("r").agg(F.min("pos").alias("_base"))
-        new = sorted_.join(base, "r").select("s", (F.col("r") + F.col("first") - F.col("_base")).alias("_r"))
-        ranks = cut(ranks.join(new, "s", "left").select("s", "b", F.coalesce("_r", "r").alias("r")))
+    tied = cut(_tied(ranks))
+    newer, step = None, letters  # ranks of the suffixes that were tied at first, as far as they are known
+    while not tied.isEmpty():
+        later = tied.join(ranks.select((F.col("s") - step).alias("s"), F.col("r").alias("next")), "s", "left")
+        if newer is not None:
+            later = later.join(newer.select((F.col("s") - step).alias("s"), F.col("r").alias("_next")), "s", "left").withColumn("next", F.coalesce("_next", "next")).drop("_next")
+        placed = ordered(later.select("r", "s", "b", F.coalesce("next", F.lit(-1)).alias("next")), ["r", "next"])
+        base = placed.groupBy("r").agg(F.min("pos").alias("_base"))
+        new = cut(placed.join(base, "r").select("s", "b", (F.col("r") + F.col("first") - F.col("_base")).alias("r")))
+        newer = new if newer is None else cut(newer.join(new.select("s"), "s", "left_anti").unionByName(new))
+        tied = cut(_tied(new))
         step *= 2
+    if newer is not None:
+        ranks = ranks.join(newer.select("s", F.col("r").alias("_r")), "s", "left").select("s", "b", F.coalesce("_r", "r").alias("r"))
     places = blocks.select("b", "offset")
     return ranks.join(places, "b").select(F.col("r").alias("i"), "s", "b", (F.col("s") - F.col("offset")).cast("int").alias("wi"))
 
 
+def _tied(ranks: DataFrame) -> DataFrame:
+    """The suffixes that share their rank with others."""
+    return ranks.join(ranks.groupBy("r").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("r"), "r", "left_semi").select("r", "s", "b")
+
+
 def find_kmer(blocks: DataFrame, suffixes: DataFrame, kmers: DataFrame, letters: int = KEY_LETTERS) -> DataFrame:
     """``(kmer, i_from, i_to)``: the half-open interval of ranks whose suffixes begin with each k-mer (of at most ``letters`` letters).
 
