@@ -23,6 +23,8 @@ BITS = 18
 PLACES = (0, -1, 1, -2, 2)
 #: Words in one chain; longer sentences go on in a new chain.
 CHAIN = 128
+#: Sentences alike that a model is fitted on.
+COPIES = 6
 MEMO_PIECES, MEMO_LETTERS = 200_000, 8_000_000
 
 #: Letters of other scripts that look like Latin ones, and digits and signs that stand for letters.
@@ -65,9 +67,9 @@ def _hash(feature: str) -> int:
 
 
 def features(word: str) -> list[int]:
-    """Of a word at its own place: itself and its letter triples. At neighbours' places only the first counts."""
+    """Of a word at its own place: itself, that it is a word, and its letter triples. At neighbours' places only the first counts."""
     edge = f"<{word}>"
-    return [_hash(word), *(_hash(f"3{edge[k : k + 3]}") for k in range(len(edge) - 2) if len(word) > 3)]
+    return [_hash(word), _hash("any word"), *(_hash(f"3{edge[k : k + 3]}") for k in range(len(edge) - 2) if len(word) > 3)]
 
 
 class Pieces(dict):
@@ -263,7 +265,7 @@ def seed_labels(words: np.ndarray, owner: np.ndarray, chain: np.ndarray, bad: np
     return (good[chain] & (at >= lo[chain]) & (at <= hi[chain])).astype(np.float64)
 
 
-def fit(texts: list[str], bad: list[bool], rounds: int = 2, steps: int = 25, rate: float = 0.2, l2: float = 0.3) -> Model:
+def fit(texts: list[str], bad: list[bool], rounds: int = 2, steps: int = 30, rate: float = 0.2, l2: float = 0.3) -> Model:
     """A model from documents labelled as a whole. Token labels start from ``seed_labels``; each further round takes the model's own tags in bad documents. Without both kinds of label it tags nothing."""
     empty = Model(np.zeros((len(PLACES), 1 << BITS), np.float32), np.zeros((2, 2)))
     bad_docs = np.array(bad, bool)
@@ -277,13 +279,15 @@ def fit(texts: list[str], bad: list[bool], rounds: int = 2, steps: int = 25, rat
         empty.a[:, 1] = -20
         return empty
     n_words = len(reader.words)
-    # Sentences that are alike but for numbers count once.
+    # Of sentences that are alike but for numbers a few are enough.
     chain = np.unique(chain, return_inverse=True)[1]
     first = np.flatnonzero(np.r_[True, chain[1:] != chain[:-1]])
     y = seed_labels(words, owner, chain, bad_docs, n_words)
     sums = np.add.reduceat((words.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(0x5851F42D4C957F2D)) * (np.arange(len(words)) - first[chain] + 1).astype(np.uint64), first)
+    order = np.argsort(sums, kind="stable")
+    begin = np.flatnonzero(np.r_[True, np.diff(sums[order]) != 0])
     unique = np.zeros(len(first), bool)
-    unique[np.unique(sums, return_index=True)[1]] = True
+    unique[order] = np.arange(len(order)) - np.repeat(begin, np.diff(np.r_[begin, len(order)])) < COPIES
     keep = unique[chain] | (y > 0)
     words, owner, chain, y = words[keep], owner[keep], np.unique(chain[keep], return_inverse=True)[1], y[keep]
     places, chains, inner = neighbours(words, chain), Chains(chain), chain[1:] == chain[:-1]
