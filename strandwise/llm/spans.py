@@ -48,13 +48,14 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
     rows: list[tuple] = []
     size = 0
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if row[1]:
-                rows.append(row)
-                size += len(row[1])
-            if size >= CHUNK:
-                yield _joined(rows)
-                rows, size = [], 0
+        for k in range(0, batch.num_rows, 64):
+            for row in zip(*(c.slice(k, 64).to_pylist() for c in batch.columns)):
+                if row[1]:
+                    rows.append(row)
+                    size += len(row[1])
+                if size >= CHUNK:
+                    yield _joined(rows)
+                    rows, size = [], 0
     if rows:
         yield _joined(rows)
 
