@@ -11,6 +11,8 @@ from strandwise.runtime import cut
 
 #: Letters of the first sorting key; longer ties are refined.
 KEY_LETTERS = 64
+#: A round of refinement compares so many times as many letters as the one before.
+FAR = 4
 
 
 def suffix_keys(blocks: DataFrame, letters: int, size: int = CHUNK) -> DataFrame:
@@ -26,23 +28,25 @@ def suffix_order(blocks: DataFrame, letters: int = KEY_LETTERS) -> DataFrame:
     """``(i BIGINT, s BIGINT, b BIGINT, wi INT)``: the rank i of the suffix that begins at place s of the text.
 
     Suffixes compare by code points, past the block's end; the end of the text sorts first. First all are sorted by a key of bounded
-    length, then only tied ones again by the rank of the suffix that begins ``letters`` later, then twice, four times as far.
+    length, then only tied ones again by the ranks of the suffixes that begin one, two and three times ``letters`` later, then four times as far.
     No two suffixes are equal, so every tie ends. An empty text has no suffixes.
     """
     first = ordered(suffix_keys(blocks, letters), ["key"], ["s"], keep=["s", "b"])
     ranks = cut(first.select("s", "b", F.col("first").alias("r")))
-    tied = cut(_tied(ranks))
+    tied = _tied(ranks)
     newer, step = None, letters  # ranks of the suffixes that were tied at first, as far as they are known
     while not tied.isEmpty():
-        later = tied.join(ranks.select((F.col("s") - step).alias("s"), F.col("r").alias("next")), "s", "left")
+        asked = tied.withColumn("_j", F.explode(F.array(*[F.lit(j) for j in range(1, FAR)]))).withColumn("_at", F.col("s") + F.col("_j") * step)
+        asked = asked.join(ranks.select(F.col("s").alias("_at"), F.col("r").alias("_next")), "_at", "left")
         if newer is not None:
-            later = later.join(newer.select((F.col("s") - step).alias("s"), F.col("r").alias("_next")), "s", "left").withColumn("next", F.coalesce("_next", "next")).drop("_next")
-        placed = ordered(later.select("r", "s", "b", F.coalesce("next", F.lit(-1)).alias("next")), ["r", "next"])
+            asked = asked.join(newer.select(F.col("s").alias("_at"), F.col("r").alias("_newer")), "_at", "left").withColumn("_next", F.coalesce("_newer", "_next"))
+        later = asked.groupBy("s", "b", "r").agg(*[F.max(F.when(F.col("_j") == j, F.coalesce("_next", F.lit(-1)))).alias(f"next{j}") for j in range(1, FAR)])
+        placed = ordered(later, ["r", *[f"next{j}" for j in range(1, FAR)]], keep=["r", "s", "b"])
         base = placed.groupBy("r").agg(F.min("pos").alias("_base"))
         new = cut(placed.join(base, "r").select("s", "b", (F.col("r") + F.col("first") - F.col("_base")).alias("r")))
         newer = new if newer is None else cut(newer.join(new.select("s"), "s", "left_anti").unionByName(new))
-        tied = cut(_tied(new))
-        step *= 2
+        tied = _tied(new)
+        step *= FAR
     if newer is not None:
         ranks = ranks.join(newer.select("s", F.col("r").alias("_r")), "s", "left").select("s", "b", F.coalesce("_r", "r").alias("r"))
     places = blocks.select("b", "offset")

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 BARE_CHARS = " \t\n\r "
 
 
+_WRITTEN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach; taken from ``spark.checkpoint.dir`` and only made up where that is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -27,15 +30,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, so that later stages survive lost executors without recomputing."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage with a table written to the shared folder, so that later stages survive lost executors without recomputing.
+
+    The table goes when the driver ends, or with ``drop_tables``.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, "cut")
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Remove every table written so far; no DataFrame made from them can be used afterwards."""
+    while _WRITTEN:
+        _remove(spark, _WRITTEN.pop())
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder that is removed when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    if not _WRITTEN:
+        atexit.register(drop_tables, spark)
+    _WRITTEN.append(path)
     return path
 
 
