@@ -85,8 +85,11 @@ def e_neighbours(spark, d):
 
 
 def e_block_counts(spark, d):
+    """Of every full window the number of blocks in it and the most that one of them has."""
     b, sx = _suffixes(spark, d)
-    return smoothing.window_block_counts(sx, sx.where(F.col("i").between(HALF, sx.count() - 1 - HALF)).select(F.col("i").alias("centre")), HALF)
+    centres = sx.where(F.col("i").between(HALF, sx.count() - 1 - HALF)).select(F.col("i").alias("centre"))
+    counts = smoothing.window_block_counts(sx, centres, HALF)
+    return counts.groupBy("centre").agg(F.count("b").alias("n_blocks"), F.max("n").alias("most"))
 
 
 def f_grid(spark, d):
@@ -381,7 +384,7 @@ SQL = {
     "e_smooth": _SMOOTH + "SELECT i, s, round(windowed::DOUBLE, 5) AS windowed, round(gini::DOUBLE, 5) AS gini FROM sm",
     "e_smooth_spatial": _SPATIAL + "SELECT i, s, round(spatial_windowed::DOUBLE, 4) AS spatial_windowed, round(spatial_gini::DOUBLE, 4) AS spatial_gini FROM sp",
     "e_neighbours": _SMOOTH + _NEAR.format(rows="sm") + "SELECT i, s, round(before::DOUBLE, 5) AS before, round(after::DOUBLE, 5) AS after FROM nb",
-    "e_block_counts": _SUFFIXES + "SELECT c.i AS centre, j.b, count(*) AS n FROM (SELECT i, unnest(range(i - 4, i + 5)) AS q FROM sx WHERE i BETWEEN 4 AND n - 5) c JOIN sx j ON j.i = c.q GROUP BY ALL",
+    "e_block_counts": _SUFFIXES + "SELECT centre, count(*) AS n_blocks, max(n) AS most FROM (SELECT c.i AS centre, j.b, count(*) AS n FROM (SELECT i, unnest(range(i - 4, i + 5)) AS q FROM sx WHERE i BETWEEN 4 AND n - 5) c JOIN sx j ON j.i = c.q GROUP BY ALL) GROUP BY centre",
     "f_grid": """WITH h AS (SELECT DISTINCT halfwindow AS half_window FROM peaks WHERE halfwindow IS NOT NULL), l AS (SELECT DISTINCT spatiallength AS spatial_length FROM peaks WHERE spatiallength IS NOT NULL), g AS (SELECT DISTINCT mingini + 0.0 AS min_gini FROM peaks WHERE mingini IS NOT NULL)
 SELECT (row_number() OVER (ORDER BY half_window, spatial_length, min_gini) - 1)::INT AS f, half_window, spatial_length, min_gini, CASE WHEN spatial_length > 1 THEN min_gini END AS min_spatial_gini FROM h, l, g""",
     "f_gini_threshold": _SMOOTH + "SELECT round(median(gini)::DOUBLE, 5) AS median_gini, round(1 - (1 - median(gini)::DOUBLE) * 1.1, 5) AS min_gini FROM sm",
