@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -150,7 +151,7 @@ def term_frequencies(rows: DataFrame, key: str, term: F.Column, record: str, rar
                             k += 1
                         route = term[:k]
                     for record, n in node.terms[suffix].items():
-                        for to, x in zip(out, (route, hash(record) % salts if salts > 1 and record is not None else 0, term, record, n)):
+                        for to, x in zip(out, (route, crc32(record.encode()) % salts if salts > 1 and record is not None else 0, term, record, n)):
                             to.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64()))], names=["route", "salt", "term", "record", "n"])
 
