@@ -87,7 +87,7 @@ def as_matrix(long: DataFrame, name: str, values: list[str]) -> DataFrame:
 
 
 def locate(seqs: DataFrame, patterns: dict[str, list[str]], name: str, base: int = 1, show_match: bool = False, longest: bool = True, plain: bool = False) -> DataFrame:
-    """``(seqid, <name>, location INT[, match])``: matches that don't overlap, cases alike, places from ``base``.
+    """``(seqid, <name>, location INT[, match])``: matches that don't overlap, cases alike, places from ``base``; ``match`` is in upper case.
 
     Each pattern is a list of alternatives; ``longest`` tries longer ones first, else they go in sorted order. ``plain``: alternatives are
     texts, not expressions. Sequences with a null id or text have no matches. The rows don't shuffle.
@@ -104,7 +104,7 @@ def locate(seqs: DataFrame, patterns: dict[str, list[str]], name: str, base: int
             rows = []
             for seq_id, seq in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for label, p in compiled:
-                    rows.extend((seq_id, label, m.start() + base, m.group().lower()) for m in p.finditer(seq) if m.group())
+                    rows.extend((seq_id, label, m.start() + base, m.group().upper()) for m in p.finditer(seq) if m.group())
                 if len(rows) > 100_000:
                     yield _batch(rows, schema.names)
                     rows = []

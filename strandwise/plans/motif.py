@@ -3,9 +3,9 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from strandwise import sources
+from strandwise import sinks, sources
 from strandwise.operators import clustering, filters, motifs, peaks, permutation, smoothing, suffixes, text
-from strandwise.runtime import bare, cut, fresh_path
+from strandwise.runtime import bare, cut, fresh_path, kept
 from strandwise.sources import table
 
 HALF, LENGTH, THETA, KMAX, REPS, SEED = 4, 3, 0.8, 12, 10, 123
@@ -28,16 +28,14 @@ def _seqs(spark, d):
     return table(spark, d, "blocks").select("seq_id", F.col("catseq").alias("seq"))
 
 
-_INDEX: dict[tuple, tuple] = {}
-
-
 def _suffixes(spark, d):
     """Blocks and suffix order; the index doesn't depend on parameters, so all queries of a session share it."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _INDEX:
+
+    def make():
         b = cut(_aligned(spark, d))
-        _INDEX[key] = b, cut(suffixes.suffix_order(b))
-    return _INDEX[key]
+        return b, cut(suffixes.suffix_order(b))
+
+    return kept(spark, "suffixes", d, make)
 
 
 def _smooth(b, sx, half):
@@ -57,6 +55,23 @@ def c_source_block(spark, d):
     return text.source_block(rows, _stored(spark, d)).select("peak_id", "s", "b", "seq_id", "wi")
 
 
+def c_source_score(spark, d):
+    rows = table(spark, d, "peaks").select("peak_id", "s").distinct()
+    return text.source_block(rows, _stored(spark, d)).select("peak_id", "s", F.col("score").alias("source_score"))
+
+
+def c_rank_of_place(spark, d):
+    """The suffix rank of each place that peaks name."""
+    rows = table(spark, d, "peaks").select("peak_id", "s").distinct()
+    return rows.join(_suffixes(spark, d)[1].select("s", "i"), "s").select("peak_id", "s", F.col("i").alias("rank"))
+
+
+def c_place_of_rank(spark, d):
+    """The place of each suffix rank that peaks name."""
+    rows = table(spark, d, "peaks").select("peak_id", "i").distinct()
+    return rows.join(_suffixes(spark, d)[1].select("i", "s", "b", "wi"), "i").select("peak_id", "i", F.col("s").alias("place"), "b", "wi")
+
+
 def c_kmer_at(spark, d):
     rows = table(spark, d, "peaks").select("peak_id", "s", "kmax").distinct()
     return text.text_at(rows, _stored(spark, d), "s", F.col("kmax"), "letters").select("peak_id", "s", "letters")
@@ -300,12 +315,30 @@ def a_scores(spark, d):
     return sources.read_scores(spark, path).groupBy("seq_id").agg(F.count("score").alias("n"))
 
 
+def a_thresholds(spark, d):
+    """The thresholds of all runs written as a file and read again."""
+    maxima, runs = _maxima(spark, d)
+    spatial = F.when(F.col("spatiallength") > 1, 1.1)
+    grid = runs.select("f", F.col("halfwindow").alias("half_window"), F.lit(1.1).alias("min_gini"), F.col("spatiallength").alias("spatial_length"), spatial.alias("min_spatial_gini"))
+    root = fresh_path(spark, "thresholds") + "/"
+    sinks.write_thresholds(permutation.thresholds(maxima, 2.0), grid, root)
+    return _rounded(sources.read_thresholds(spark, root + "theta.tsv"))
+
+
+def a_kmers(spark, d):
+    """The motifs of peaks written as a table and read again as canonical motifs."""
+    path = fresh_path(spark, "kmers")
+    rows = table(spark, d, "peaks").select("peak_id", F.upper(bare("kmer")).alias("kmer")).where("kmer rlike '^[ACGT]+$'")
+    sinks.write_table(rows, path)
+    return sources.read_kmers(spark, path)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        c_blocks, c_suffix_order, c_source_block, c_kmer_at, d_find_kmer, e_smooth, e_smooth_spatial, e_neighbours, e_block_counts, f_grid, f_gini_threshold, f_peaks, f_peaks_spatial, f_block_info, g_merged, g_merged_spatial, g_merged_kmers, g_islands,
+        c_blocks, c_suffix_order, c_source_block, c_source_score, c_rank_of_place, c_place_of_rank, c_kmer_at, d_find_kmer, e_smooth, e_smooth_spatial, e_neighbours, e_block_counts, f_grid, f_gini_threshold, f_peaks, f_peaks_spatial, f_block_info, g_merged, g_merged_spatial, g_merged_kmers, g_islands,
         h_permutation_distribution, h_permutations, h_thresholds, h_false_positives, h_false_positive_rate, h_zrank, i_prune, i_extend, i_extract, j_regex_counts, j_regex_counts_overlap, j_kmer_counts, j_cluster_counts, j_count_matrix, j_all_kmers, j_regex_locate, j_locate_kmers,
-        j_locate_kmers_from_zero, j_locate_clusters, j_reverse_complement, k_distances, k_clusters, k_orient, k_position_counts, k_aligned, a_fasta, a_scores,
+        j_locate_kmers_from_zero, j_locate_clusters, j_reverse_complement, k_distances, k_clusters, k_orient, k_position_counts, k_aligned, a_fasta, a_scores, a_thresholds, a_kmers,
     )
 }
 
@@ -369,16 +402,19 @@ def _both(m: str) -> str:
     return "|".join(sorted({m, _comp(m)}))
 
 
-def _places(m: str, base: int) -> str:
+def _places(m: str, base: int, size: int | None = None) -> str:
     """Places of matches that don't overlap: lengths of what lies between them, summed."""
     parts = f"regexp_split_to_array(lower(catseq), '{m.lower()}')"
-    return f"SELECT seq_id AS seqid, '{m}' AS kmer, (list_sum(list_transform(p[1:j], lambda z: length(z))) + (j - 1) * {len(m)} + {base})::INT AS location FROM (SELECT seq_id, p, unnest(range(1, len(p))) AS j FROM (SELECT seq_id, {parts} AS p FROM blocks WHERE catseq IS NOT NULL))"
+    return f"SELECT seq_id AS seqid, '{m}' AS kmer, (list_sum(list_transform(p[1:j], lambda z: length(z))) + (j - 1) * {size or len(m)} + {base})::INT AS location FROM (SELECT seq_id, p, unnest(range(1, len(p))) AS j FROM (SELECT seq_id, {parts} AS p FROM blocks WHERE catseq IS NOT NULL))"
 
 
 SQL = {
     "c_blocks": _TEXT + 'SELECT b, seq_id, score, o AS "offset", len FROM e',
     "c_suffix_order": _SUFFIXES + "SELECT i, s, b, wi FROM sx",
     "c_source_block": "SELECT peak_id, s, b.b, b.seq_id, (s - seq_offset)::INT AS wi FROM (SELECT DISTINCT peak_id, s FROM peaks) p JOIN blocks b ON p.s >= b.seq_offset AND p.s < b.seq_offset + length(coalesce(catseq, '')) + 1",
+    "c_source_score": "SELECT peak_id, s, b.score AS source_score FROM (SELECT DISTINCT peak_id, s FROM peaks) p JOIN blocks b ON p.s >= b.seq_offset AND p.s < b.seq_offset + length(coalesce(catseq, '')) + 1",
+    "c_rank_of_place": _SUFFIXES + "SELECT DISTINCT p.peak_id, s, sx.i AS rank FROM (SELECT peak_id, s FROM peaks) p JOIN sx USING (s)",
+    "c_place_of_rank": _SUFFIXES + "SELECT DISTINCT p.peak_id, i, sx.s AS place, b, wi FROM (SELECT peak_id, i FROM peaks) p JOIN sx USING (i)",
     "c_kmer_at": "WITH t AS (SELECT seq_offset AS o, length(coalesce(catseq, '')) + 1 AS n, coalesce(catseq, '') || '$' || coalesce(string_agg(coalesce(catseq, '') || '$', '') OVER (ORDER BY b ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING), '') AS t FROM blocks) SELECT peak_id, s, substring(t, s - o + 1, kmax) AS letters FROM (SELECT DISTINCT peak_id, s, kmax FROM peaks) p JOIN t ON s >= o AND s < o + n",
     "d_find_kmer": _SUFFIXES + " SELECT m.kmer, min(i) AS i_from, max(i) + 1 AS i_to FROM (SELECT unnest(['', " + ", ".join(f"'{m}'" for m in MOTIFS) + "]) AS kmer) m JOIN sx ON starts_with(k, m.kmer) GROUP BY m.kmer",
     "e_smooth": _SMOOTH + "SELECT i, s, round(windowed::DOUBLE, 5) AS windowed, round(gini::DOUBLE, 5) AS gini FROM sm",
@@ -412,6 +448,10 @@ SELECT upper(trim(kmer, chr(32) || chr(9) || chr(10) || chr(13) || chr(160))) AS
     "j_reverse_complement": f"SELECT seq_id, {_rc('catseq')} AS rc FROM blocks",
     "k_distances": _GRAMS + ", nm AS (SELECT kmer, sum(n * n) AS q FROM g GROUP BY kmer), dt AS (SELECT a.kmer AS a, b.kmer AS b, sum(a.n * b.n) AS d FROM g a JOIN g b USING (gram) WHERE a.kmer < b.kmer GROUP BY ALL) SELECT a, b, round(1 - d / (x.q + y.q - d), 6) AS distance FROM dt JOIN nm x ON x.kmer = a JOIN nm y ON y.kmer = b",
     "k_position_counts": _FREQUENT + ", c AS (SELECT (p - 1)::INT AS pos, substring(kmer, p::INT, 1) AS base FROM (SELECT kmer, unnest(range(1, length(kmer) + 1)) AS p FROM fr)) SELECT pos, " + ", ".join(f"count(*) FILTER (base = '{x}') AS {x}" for x in "ACGT") + " FROM c GROUP BY pos",
+    "j_regex_locate": f"SELECT seqid, 'TT[AC]G' AS regex, location, upper(substring(catseq, location, 4)) AS match FROM ({_places('TT[AC]G', 1, 4)}) JOIN blocks ON seq_id = seqid",
+    "a_scores": r"SELECT seq_id, count(*) AS n FROM (SELECT DISTINCT x[1] AS seq_id FROM (SELECT string_split(regexp_replace(line, '[\r\n]', '', 'g'), chr(9)) AS x FROM simulated_scores_raw) WHERE try_cast(trim(x[2], ' ') AS DOUBLE) IS NOT NULL) GROUP BY 1",
+    "a_thresholds": _MAXIMA.format("2.0") + "SELECT f, halfwindow AS half_window, 1.1::DOUBLE AS min_gini, spatiallength AS spatial_length, CASE WHEN spatiallength > 1 THEN 1.1::DOUBLE END AS min_spatial_gini, round(theta::DOUBLE, 4) AS theta, round(spatial_theta::DOUBLE, 4) AS spatial_theta FROM th JOIN (SELECT DISTINCT f, halfwindow, spatiallength FROM v) USING (f)",
+    "a_kmers": f"SELECT DISTINCT least(kmer, {_rc('kmer')}) AS kmer FROM (SELECT upper(trim(kmer, chr(32) || chr(9) || chr(10) || chr(13) || chr(160))) AS kmer FROM peaks) WHERE regexp_full_match(kmer, '[ACGT]+')",
     "a_fasta": "SELECT seq_id, coalesce(catseq, '') AS seq FROM blocks",
 }
 SQL["g_merged_kmers"] = "SELECT DISTINCT kmer FROM (" + SQL["g_merged"] + ")"

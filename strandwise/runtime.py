@@ -14,6 +14,7 @@ BARE_CHARS = " \t\n\r "
 
 
 _WRITTEN: list[str] = []
+_KEPT: dict[tuple, object] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,10 +43,19 @@ def cut(df: DataFrame) -> DataFrame:
 
 def drop_tables(spark: SparkSession) -> None:
     """Remove every table written so far; no DataFrame made from them can be used afterwards."""
+    _KEPT.clear()
     while _WRITTEN:
         _remove(spark, _WRITTEN.pop())
 
 
+def kept(spark: SparkSession, name: str, of: str, make):
+    """What ``make()`` returned first for this application, name and input; made anew after ``drop_tables``."""
+    key = (spark.sparkContext.applicationId, name, of)
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder that is removed when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -170,7 +170,7 @@ def test_motif_tables(spark):
     assert motifs.kmer_counts(seqs, ["TCTC"], directional=False).where("seq_id = 'a'").first().n == 1
     assert motifs.kmer_counts(seqs, ["TCTCA"], directional=False).where("seq_id = 'a'").first().n == 1
     found = motifs.locate_kmers(seqs, ["TCTCA", "aaa"], directional=False, show_match=True).collect()
-    assert sorted((r.kmer, r.location, r.match) for r in found) == [("TCTCA", 10, "tgaga"), ("aaa", 1, "aaa"), ("aaa", 14, "aaa")]
+    assert sorted((r.kmer, r.location, r.match) for r in found) == [("TCTCA", 10, "TGAGA"), ("aaa", 1, "AAA"), ("aaa", 14, "AAA")]
     rows = spark.createDataFrame([(1, 0, "ACGTA"), (2, 1, "CG"), (3, 0, "ACGTA"), (4, 4, "AC"), (5, 400, "A" * 300), (6, 690, "AAA")], "i int, s int, kmer string")
     assert sorted(r.i for r in motifs.prune_intervals(rows).collect()) == [1, 4, 5]
     assert sorted(r.kmer for r in motifs.extract_kmers(rows.where("i in (1, 4)")).collect()) == ["AC", "ACGTA"]
