@@ -40,7 +40,9 @@ def orphan_references(refs: DataFrame, ref_id: str, ref_key: str, ref_time: str,
     # Dictionary: sorted keys, ids dense within each range of keys; written once, so that ids stay as they are.
     keys = cut(used.select("_key").union(known.select("_key")).distinct().repartitionByRange("_key").sortWithinPartitions("_key").select("_key", (F.monotonically_increasing_id() + 1).alias("_code")))
     bits = lambda df, name: df.groupBy("_bucket", "_period").agg(F.bitmap_construct_agg(F.bitmap_bit_position("_code")).alias(name))
-    coded = lambda df: df.join(keys, "_key").withColumn("_bucket", F.bitmap_bucket_number("_code"))
+    # The dictionary grows with the keys and its files are far smaller than its rows: it is never broadcast.
+    merged = keys.hint("merge")
+    coded = lambda df: df.join(merged, "_key").withColumn("_bucket", F.bitmap_bucket_number("_code"))
     end = lambda p: F.date_trunc(period, p + F.expr("interval 1 day" if period == "day" else f"interval 1 {period}"))
     ref_bits = bits(coded(used.where("_period is not null")).repartition("_bucket"), "ref")
     span = coded(reg.where("_from is not null and _from < _to")).repartition("_bucket")
@@ -52,7 +54,7 @@ def orphan_references(refs: DataFrame, ref_id: str, ref_key: str, ref_time: str,
     whole = (F.col("_from") <= F.col("_period")) & (F.col("_to") >= end(F.col("_period")))
     live_bits = bits(span, "any").join(bits(span.where(whole), "whole"), ["_bucket", "_period"], "left")
     left = ref_bits.join(live_bits, ["_bucket", "_period"], "left").mapInArrow(_and_not, "_code bigint, _period timestamp, _sure boolean")
-    left = left.join(keys, "_code").join(used, ["_key", "_period"])
+    left = left.join(merged, "_code").join(used, ["_key", "_period"])
     timeless = used.where("_period is null").join(known, "_key", "left_anti").select("_key", "_period", F.lit(True).alias("_sure"), "_n")
     left = cut(left.select("_key", "_period", "_sure", "_n").unionByName(timeless).join(known.withColumn("_known", F.lit(True)), "_key", "left"))
 
