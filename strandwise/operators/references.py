@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandwise.runtime import bare, cut, join_unique
+from strandwise.runtime import bare, cut, join_unique, partitions
 
 FAR = "9999-12-31 00:00:00"
 #: Rows of one (key, period) that a single task may get; hotter ones are broadcast or salted.
@@ -45,14 +45,16 @@ def orphan_references(refs: DataFrame, ref_id: str, ref_key: str, ref_time: str,
     coded = lambda df: df.join(merged, "_key").withColumn("_bucket", F.bitmap_bucket_number("_code"))
     end = lambda p: F.date_trunc(period, p + F.expr("interval 1 day" if period == "day" else f"interval 1 {period}"))
     ref_bits = bits(coded(used.where("_period is not null")).repartition("_bucket"), "ref")
-    span = coded(reg.where("_from is not null and _from < _to")).repartition("_bucket")
+    # A life is one small row until it is spread over its periods, so the number of tasks doesn't go by bytes.
+    span = coded(reg.where("_from is not null and _from < _to")).repartition(partitions(refs.sparkSession), "_bucket")
     if first is None:
         span = span.limit(0).withColumn("_period", F.lit(None).cast("timestamp"))
     else:
         lo, hi = F.greatest(F.date_trunc(period, "_from"), F.lit(first)), F.least(F.date_trunc(period, "_to"), F.lit(last))
         span = span.where(lo <= hi).withColumn("_period", F.explode(F.sequence(lo, hi, F.expr(f"interval 1 {period}"))))
     whole = (F.col("_from") <= F.col("_period")) & (F.col("_to") >= end(F.col("_period")))
-    live_bits = bits(span, "any").join(bits(span.where(whole), "whole"), ["_bucket", "_period"], "left")
+    place = F.bitmap_bit_position("_code")
+    live_bits = span.groupBy("_bucket", "_period").agg(F.bitmap_construct_agg(place).alias("any"), F.bitmap_construct_agg(F.when(whole, place)).alias("whole"))
     left = ref_bits.join(live_bits, ["_bucket", "_period"], "left").mapInArrow(_and_not, "_code bigint, _period timestamp, _sure boolean")
     left = left.join(merged, "_code").join(used, ["_key", "_period"])
     timeless = used.where("_period is null").join(known, "_key", "left_anti").select("_key", "_period", F.lit(True).alias("_sure"), "_n")
