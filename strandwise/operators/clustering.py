@@ -5,13 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandwise.operators.motifs import reverse_complement
+from strandwise.runtime import cut
 
 #: A list of motifs to cluster is short; the linkage needs all distances at once.
 MAX_KMERS = 5_000
+#: Profiles of a block; a task holds the products of two blocks.
+BLOCK = 512
 
 
 def grams(kmers: DataFrame, k: int, directional: bool) -> DataFrame:
@@ -23,14 +28,37 @@ def grams(kmers: DataFrame, k: int, directional: bool) -> DataFrame:
 def distances(kmers: DataFrame, k: int = 4, directional: bool = True) -> DataFrame:
     """``(a, b, distance)`` for a < b: 1 - p.q / (|p|^2 + |q|^2 - p.q); zeros become half the smallest positive one.
 
-    Products come from a join on grams, so only pairs that share one meet; all others have distance 1 and no row.
+    Profiles are dealt to blocks of about ``BLOCK`` and every two blocks meet in a task, which multiplies them: pairs don't shuffle, and no gram is a
+    hot key. Pairs that share no gram have distance 1 and no row.
     """
     g = grams(kmers.select("kmer").distinct(), k, directional)
-    norm = g.groupBy("kmer").agg(F.sum(F.col("n") * F.col("n")).alias("norm"))
-    other = g.select(F.col("kmer").alias("b"), "gram", F.col("n").alias("m"))
-    dot = g.withColumnRenamed("kmer", "a").join(other, "gram").where("a < b").groupBy("a", "b").agg(F.sum(F.col("n") * F.col("m")).alias("dot"))
-    full = dot.join(norm.select(F.col("kmer").alias("a"), F.col("norm").alias("na")), "a").join(norm.select(F.col("kmer").alias("b"), F.col("norm").alias("nb")), "b")
-    return full.select("a", "b", (1 - F.col("dot") / (F.col("na") + F.col("nb") - F.col("dot"))).alias("distance"))
+    profiles = cut(g.groupBy("kmer").agg(F.collect_list("gram").alias("grams"), F.collect_list("n").alias("counts")))
+    blocks = max(1, -(-profiles.count() // BLOCK))
+    dealt = profiles.withColumn("_x", F.pmod(F.xxhash64("kmer"), F.lit(blocks))).withColumn("_y", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+    met = dealt.select(F.least("_x", "_y").alias("_i"), F.greatest("_x", "_y").alias("_j"), (F.col("_x") <= F.col("_y")).alias("_low"), "kmer", "grams", "counts")
+    return met.groupBy("_i", "_j").applyInArrow(_products, "a string, b string, distance double")
+
+
+def _products(group: pa.Table) -> pa.Table:
+    """Distances within a block, or between the rows of two."""
+    names = np.array(group["kmer"].to_pylist(), object)
+    low = group["_low"].to_numpy()
+    codes = group["grams"].combine_chunks().flatten().dictionary_encode()
+    lengths = pc.list_value_length(group["grams"]).to_numpy()
+    x = np.zeros((len(names), len(codes.dictionary)))
+    x[np.repeat(np.arange(len(names)), lengths), codes.indices.to_numpy()] = group["counts"].combine_chunks().flatten().to_numpy()
+    norm = (x * x).sum(1)
+    same = group["_i"][0] == group["_j"][0]
+    one, two = (np.arange(len(names)),) * 2 if same else (np.flatnonzero(low), np.flatnonzero(~low))
+    dot = x[one] @ x[two].T
+    rank = np.argsort(np.argsort(names))
+    p, q = np.nonzero((dot > 0) & (rank[one][:, None] < rank[two][None, :]) if same else dot > 0)
+    d = dot[p, q]
+    p, q = one[p], two[q]
+    turned = rank[p] > rank[q]
+    p, q = np.where(turned, q, p), np.where(turned, p, q)
+    texts = group["kmer"].combine_chunks()
+    return pa.table({"a": texts.take(pa.array(p)), "b": texts.take(pa.array(q)), "distance": 1 - d / (norm[p] + norm[q] - d)})
 
 
 def average_linkage(d: np.ndarray, clusters: int) -> np.ndarray:

@@ -273,6 +273,11 @@ def j_reverse_complement(spark, d):
     return _seqs(spark, d).select("seq_id", motifs.reverse_complement("seq").alias("rc"))
 
 
+def _motifs(spark, d):
+    """Every distinct motif over ACGT of the peaks that name a block."""
+    return table(spark, d, "peaks").where("block is not null").select(F.upper(bare("kmer")).alias("kmer")).where("kmer rlike '^[ACGT]+$'").distinct()
+
+
 def _frequent(spark, d):
     """The motifs found in most blocks: a share of one in a hundred or more, over ACGT."""
     rows = table(spark, d, "peaks").select(F.upper(bare("kmer")).alias("kmer"), "block").where("kmer rlike '^[ACGT]+$' and block is not null")
@@ -281,7 +286,7 @@ def _frequent(spark, d):
 
 
 def k_distances(spark, d):
-    return clustering.distances(_frequent(spark, d), 3).select("a", "b", F.round("distance", 6).alias("distance"))
+    return clustering.distances(_motifs(spark, d), 3).select("a", "b", F.round("distance", 6).alias("distance"))
 
 
 def k_clusters(spark, d):
@@ -289,15 +294,15 @@ def k_clusters(spark, d):
 
 
 def k_orient(spark, d):
-    return clustering.orient(_frequent(spark, d), "CATACTGAGA", 3)
+    return clustering.orient(_motifs(spark, d), "CATACTGAGA", 3)
 
 
 def k_position_counts(spark, d):
-    return clustering.position_counts(_frequent(spark, d))
+    return clustering.position_counts(_motifs(spark, d))
 
 
 def k_aligned(spark, d):
-    return clustering.best_offsets(_frequent(spark, d), "CATACTGAGA")
+    return clustering.best_offsets(_motifs(spark, d), "CATACTGAGA")
 
 
 def a_fasta(spark, d):

@@ -1,5 +1,6 @@
 import random
 import statistics
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from strandwise import sinks, sources
 from strandwise.operators import clustering, filters, motifs, peaks, permutation, smoothing, suffixes, text
 from strandwise.operators.smoothing import gini_counts
+from strandwise.plans import motif as plans
 from strandwise.runtime import cut
 
 
@@ -190,6 +192,31 @@ def test_clusters(spark):
         clustering.cluster_kmers(kmers.limit(2), 4)
 
 
+@pytest.fixture(scope="module")
+def rare(spark, tmp_path_factory):
+    """Peaks of 700 motifs in 700 blocks of their own: none is in one block of a hundred."""
+    rng = random.Random(8)
+    motifs_ = sorted({"".join(rng.choice("ACGT") for _ in range(rng.randrange(2, 12))) for _ in range(800)})[:700]
+    d = str(tmp_path_factory.mktemp("rare"))
+    spark.createDataFrame([(m.lower() + " ", f"b{k}") for k, m in enumerate(motifs_)] + [("ACGN", "b0"), ("GATTACAGATTACA", None)], "kmer string, block string").write.parquet(f"{d}/peaks.parquet")
+    return d, motifs_
+
+
+def test_every_motif_is_compared(spark, rare):
+    d, all_ = rare
+    assert {r.kmer for r in plans.k_orient(spark, d).collect()} == {r.kmer for r in plans.k_aligned(spark, d).collect()} == set(all_)
+    assert sum(sum(r[1:]) for r in plans.k_position_counts(spark, d).collect()) == sum(map(len, all_))
+    profiles = {m: Counter(m[p : p + 3] for p in range(len(m) - 2)) for m in all_}
+    want = {}
+    for i, a in enumerate(all_):
+        for b in all_[i + 1 :]:
+            dot = sum(n * profiles[b][g] for g, n in profiles[a].items())
+            if dot:
+                want[a, b] = 1 - dot / (sum(n * n for n in profiles[a].values()) + sum(n * n for n in profiles[b].values()) - dot)
+    got = plans.k_distances(spark, d).collect()
+    assert len(got) == len(want) and all(r.distance == pytest.approx(want[r.a, r.b], abs=1e-6) for r in got)
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "s.fa").write_text("junk\n>a b\nACG\nT\n>c\n>d>e\nGG\r\n>a b\nTTT\n")
     rows = {r.seq_id: r.seq for r in sources.read_fasta(spark, str(tmp_path / "s.fa")).collect()}
