@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandwise.operators.suffixes import suffix_keys
 from strandwise.operators.text import AHEAD, text_at
 from strandwise.runtime import cut
 
@@ -17,6 +18,8 @@ from strandwise.runtime import cut
 BASES, PAIRS = "ACGTacgt[]", "TGCAtgca]["
 #: Patterns that one pass holds; more are dealt to further passes.
 PATTERNS = 1_000
+#: Places of a cell in which rows meet the k-mers that stand around them.
+CELL = 64
 
 
 def reverse_complement(column: Column | str) -> Column:
@@ -149,33 +152,51 @@ def prune_intervals(rows: DataFrame, start: str = "s", end: Column | None = None
     return base.join(kept, ["_s", "_e"]).where(F.col(key) == F.col("_keep")).drop("_s", "_e", "_keep")
 
 
+def places_of(kmers: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``(_at BIGINT, _new STRING)``: every place of the text where one of ``kmers(kmer)``, distinct and not empty, stands.
+
+    K-mers meet the text by an equi-join on their first letters, as many as the power of two below their length, up to ``AHEAD``: a few joins whatever
+    the lengths. The rest is compared piece by piece of ``AHEAD`` letters, each piece only where all before it agreed.
+    """
+    n = F.length("kmer")
+    wanted = cut(kmers.select(F.col("kmer").alias("_new"), n.alias("_size"), F.expr(f"cast(pow(2, least(floor(log2(length(kmer) + 0.5)), {AHEAD.bit_length() - 1})) as int)").alias("_first")))
+    sizes = sorted((r._first, r.n) for r in wanted.groupBy("_first").agg(F.max("_size").alias("n")).collect())
+    out, text = None, suffix_keys(blocks, AHEAD).select(F.col("s").alias("_at"), "key")
+    for first, longest in sizes:
+        here = wanted.where(F.col("_first") == first).withColumn("_k", F.col("_new").substr(1, first))
+        met = text.withColumn("_k", F.col("key").substr(1, first)).join(here, "_k").where(F.startswith("key", F.col("_new").substr(1, AHEAD))).select("_at", "_new", "_size")
+        for done in range(AHEAD, longest, AHEAD):
+            met = cut(met)
+            rest = text_at(met.where(F.col("_size") > done).withColumn("_next", F.col("_at") + done), blocks, "_next", F.least(F.lit(AHEAD), F.col("_size") - done), "_t")
+            met = met.where(F.col("_size") <= done).unionByName(rest.where(F.col("_t") == F.col("_new").substr(done + 1, AHEAD)).select("_at", "_new", "_size"))
+        out = met if out is None else out.unionByName(met)
+    if out is None:
+        return text.select("_at", F.lit("").alias("_new")).limit(0)
+    return cut(out.select("_at", "_new"))
+
+
 def extend_kmers(table: DataFrame, blocks: DataFrame, suffixes: DataFrame, compatible: bool = False) -> DataFrame:
     """Lengthen k-mers to longer ones of the same table that stand around them in the text.
 
-    Each row shorter than the longest k-mer tries all extensions, longest first and from the left; the first text that is a k-mer of the table
-    replaces it and moves s, i and wi. Passes repeat until no place changes, at most as many as the longest k-mer has letters. Values that no
-    longer hold are null on changed rows; ``compatible`` also nulls khat, gini and windowed on every row shorter than the longest.
+    Each row moves to the longest k-mer of the table whose text stands around it, the leftmost of equally long ones; s, i and wi move along. Nothing
+    longer stands around that one, so one pass does. K-mers may have any length: their places come from ``places_of``, and meet the rows in cells of
+    places. Values that no longer hold are null on changed rows; ``compatible`` also nulls khat, gini and windowed on every row shorter than the longest.
     """
     longest = table.agg(F.max(F.length("kmer"))).first()[0] or 0
-    if longest > AHEAD:
-        raise ValueError(f"k-mers of more than {AHEAD} letters can't be extended")
-    current = cut(table.withColumn("_row", F.monotonically_increasing_id()).withColumn("_s0", F.col("s")).withColumn("_short", F.length("kmer") < longest))
-    for _ in range(longest):
-        room = longest - F.length("kmer")
-        tries = current.where(room > 0).select("_row", "s", F.length("kmer").alias("_n"), F.explode(F.sequence(F.lit(0), room)).alias("_ext"))
-        tries = tries.withColumn("_shift", F.explode(F.sequence(-F.col("_ext"), F.lit(0)))).withColumn("_at", F.col("s") + F.col("_shift")).where("_at >= 0")
-        texts = text_at(tries, blocks, "_at", F.col("_n") + F.col("_ext"), "_new").join(current.select(F.col("kmer").alias("_new")).distinct(), "_new", "left_semi")
-        best = texts.groupBy("_row").agg(F.min_by(F.struct("_new", "_at"), F.struct(-F.col("_ext"), F.col("_shift"))).alias("_b"))
-        after = cut(current.join(best, "_row", "left").withColumn("_to", F.coalesce("_b._at", "s")).withColumn("kmer", F.coalesce("_b._new", "kmer")).withColumn("wi", (F.col("wi") + F.col("_to") - F.col("s")).cast("int")).withColumn("_moved", F.col("_to") != F.col("s")).withColumn("s", F.col("_to")).drop("_b", "_to"))
-        moved = not after.where("_moved").isEmpty()
-        current = after.drop("_moved")
-        if not moved:
-            break
+    current = cut(table.withColumn("_row", F.monotonically_increasing_id()).withColumn("_s0", F.col("s")).withColumn("_kmer0", F.col("kmer")).withColumn("_short", F.length("kmer") < longest))
+    # Of the k-mers at one place the longest stands around all that the others do.
+    found = places_of(table.where("kmer <> ''").select("kmer").distinct(), blocks).withColumn("_n", F.length("_new"))
+    held = found.groupBy("_at").agg(F.max("_n").alias("_n")).withColumn("_c", F.explode(F.sequence(F.floor(F.col("_at") / CELL), F.floor((F.col("_at") + F.col("_n")) / CELL))))
+    asked = current.where("_short").select("_row", "s", F.length("kmer").alias("_len"), F.floor(F.col("s") / CELL).alias("_c"))
+    around = asked.join(held, "_c").where((F.col("_at") <= F.col("s")) & (F.col("_at") + F.col("_n") >= F.col("s") + F.col("_len")) & (F.col("_n") > F.col("_len")))
+    best = around.groupBy("_row").agg(F.min_by(F.struct("_at", "_n"), F.struct(-F.col("_n"), F.col("_at"))).alias("_b")).select("_row", "_b._at", "_b._n")
+    best = best.join(found.withColumnRenamed("_new", "_text"), ["_at", "_n"]).select("_row", "_at", "_text")
+    moved = current.join(best, "_row", "left").withColumn("_to", F.coalesce("_at", "s"))
+    current = moved.withColumn("kmer", F.coalesce("_text", "kmer")).withColumn("wi", (F.col("wi") + F.col("_to") - F.col("s")).cast("int")).withColumn("s", F.col("_to"))
     places = suffixes.select(F.col("i").alias("_i"), "s")
     changed = F.col("s") != F.col("_s0")
     lost = F.col("_short") if compatible else changed | (F.length("kmer") != F.length("_kmer0"))
-    first = cut(table.withColumn("_row", F.monotonically_increasing_id()).select("_row", F.col("kmer").alias("_kmer0")))
-    out = current.join(places, "s").join(first, "_row").withColumn("i", F.col("_i"))
+    out = current.join(places, "s").withColumn("i", F.col("_i"))
     for c in ("khat", "gini", "spatialGini", "windowed", "spatialWindowed"):
         if c in table.columns and not (compatible and c.startswith("spatial")):
             out = out.withColumn(c, F.when(~lost, F.col(c)))

@@ -222,7 +222,7 @@ def i_prune(spark, d):
 def i_extend(spark, d):
     b, sx = _suffixes(spark, d)
     merged = cut(peaks.merged_sub_peaks(sx, b, _grid(spark), _limits(spark), True, KMAX))
-    return motifs.extend_kmers(merged.where(F.length("kmer") <= 24), b, sx).select("i", "s", "kmer", "block", "wi")
+    return motifs.extend_kmers(merged, b, sx).select("i", "s", "kmer", "block", "wi")
 
 
 def i_extract(spark, d):

@@ -1,4 +1,5 @@
 import random
+import re
 import statistics
 from collections import Counter
 
@@ -135,6 +136,23 @@ def test_peaks_and_merge(world):
     assert len(peaks.block_info(sx, b, spark.createDataFrame([("0",), ("e",)], "seq_id string"), grid).collect()) == 62
 
 
+def test_extend_without_a_limit(world):
+    spark, _, _, _, whole, _, _, b, sx = world
+    order = {r.s: r.i for r in sx.collect()}
+    runs = [(m.start(), m.end()) for m in re.finditer("(?:AC){50,}", whole)]
+    (s1, e1), (s2, _) = runs  # 200 letters each
+    rows = [(s1 + 3, whole[s1 + 3 : s1 + 9]), (s1, whole[s1 : s1 + 150]), (s2 + 60, whole[s2 + 60 : s2 + 90]), (5, whole[5:9]), (3, whole[3:12]), (700, whole[700:703]), (e1 - 2, whole[e1 - 2 : e1 + 2])]
+    df = spark.createDataFrame([(order[s], s, k, "x", s) for s, k in rows], "i long, s long, kmer string, block string, wi int")
+    got = sorted((r.s, r.kmer, r.i, r.wi) for r in motifs.extend_kmers(df, b, sx).collect())
+    texts = {k for _, k in rows}
+    want = []
+    for s, k in rows:
+        around = [(-len(t), at, t) for t in texts for at in range(max(0, s + len(k) - len(t)), s + 1) if whole.startswith(t, at)]
+        _, at, t = min(around)
+        want.append((at, t, order[at], at))
+    assert got == sorted(want) and sum(len(t) == 150 for _, t, _, _ in got) == 3
+
+
 def test_permutations(world):
     spark, _, scores, _, whole, _, _, b, sx = world
     grid = filters.parameter_grid(spark, [4], [0, 3], [1.1])
