@@ -330,7 +330,7 @@ class Scorer:
         self.model, self.reader = model, Reader(model.theta)
 
     def score(self, texts: list[str | None], threshold: float) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
-        """(score of each text, offending spans in code points). The score is the highest mean of three neighbouring marginals of a chain."""
+        """(score of each text, offending spans in code points). The score is the highest mean of the marginals of a word and its neighbours in the chain, as many as there are."""
         words, owner, chain, parts = self.reader.read(texts)
         scores = np.zeros(len(texts))
         spans: list[list[tuple[int, int]]] = [[] for _ in texts]
@@ -341,7 +341,7 @@ class Scorer:
         same = np.r_[chain[1:] == chain[:-1], False]
         right = np.where(same, np.r_[p[1:], 0], 0)
         left = np.where(np.r_[False, same[:-1]], np.r_[0, p[:-1]], 0)
-        np.maximum.at(scores, owner, (left + p + right) / 3)
+        np.maximum.at(scores, owner, (left + p + right) / (1 + same + np.r_[False, same[:-1]]))
         for k in np.flatnonzero(scores >= threshold):
             spans[k] = self._spans(texts[k], parts[k], p[np.searchsorted(owner, k) : np.searchsorted(owner, k, side="right")])
         return scores, spans
@@ -384,7 +384,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, keep: list[str], key: st
     """The ``keep`` columns with ``score DOUBLE, flagged BOOLEAN, spans ARRAY<STRUCT<from_: INT, to_: INT>>`` for every row.
 
     The model is fitted on about ``max_labelled`` documents of either kind at most. Every text is tagged whole, in
-    chains of a sentence; its score is the highest mean marginal of three neighbouring words, ``flagged`` is score >= threshold,
+    chains of a sentence; its score is the highest mean marginal of a word and its neighbours in the chain, ``flagged`` is score >= threshold,
     ``spans`` are the tagged places of flagged texts in code points, from and up to. Null, empty and blank texts score 0. Without
     bad or without clean labels nothing is flagged. Repeated rows are scored each; rows don't shuffle. ``keep`` mustn't hold the names of the results.
     """

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from strandwise.llm.toxicity import Chains, fit, rates, score_documents, words_of
+from strandwise.llm.toxicity import Chains, Scorer, fit, rates, score_documents, words_of
 
 GOOD = ["The valve 12 opens the chamber.", "A lever kills the oscillation of the spring.", "The moderation module scores insults such as moron in messages.", "Der Kolben 3 bewegt die Feder."]
 BAD = ["You are a stupid moron and everybody knows it.", "Shut up you filthy idiot nobody wants you.", "I hope you choke on your own lever you loser."]
@@ -67,6 +67,15 @@ def test_held_out(spark):
     assert sum(table.values()) == len(rows) and None in table
 
 
+def test_sentences_of_one_and_two_words():
+    bad = ["The valve 12 opens the chamber. Idiot!", "Filthy loser! Der Kolben 3 bewegt die Feder.", "A lever opens. Idiot! Filthy loser!"] * 12
+    model = fit(bad + GOOD * 9, [True] * len(bad) + [False] * len(GOOD) * 9)
+    texts = ["The valve 12 opens the chamber. Idiot! A lever opens.", "A lever opens. Filthy loser!", "Idiot!", "A lever opens. Kolben! The valve.", "Kolben!"]
+    scores, spans = Scorer(model).score(texts, 0.7)
+    assert (scores >= 0.7).tolist() == [True, True, True, False, False]
+    assert [[texts[k][a:b] for a, b in s] for k, s in enumerate(spans)] == [["Idiot!"], ["Filthy loser!"], ["Idiot!"], [], []]
+
+
 def test_without_both_labels():
     for labels in ([], [True], [False]):
         model = fit(["you moron"][: len(labels)], labels)
