@@ -11,10 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandwise.operators.motifs import reverse_complement
+from strandwise.operators.ordering import ordered
 from strandwise.runtime import cut
 
-#: A list of motifs to cluster is short; the linkage needs all distances at once.
-MAX_KMERS = 5_000
 #: Profiles of a block; a task holds the products of two blocks.
 BLOCK = 512
 
@@ -104,38 +103,87 @@ def integral_optimum(f: Callable[[int], float], low: int, high: int, resolution:
         low, high = max(low, best - step), min(high, best + step)
 
 
+def linkage(pairs: DataFrame, n: int) -> list[tuple[int, int]]:
+    """The joins ``(a, b)`` of average linkage over rows 0..n-1, closest first; cluster b goes on as a, the smaller number. ``pairs(a, b, sim)`` for a < b, 0 where missing.
+
+    Each round joins all mutual nearest neighbours by (mean distance, a, b) and adds up the similarities of what is left. No cluster comes closer by a join,
+    so the order of heights is that of joining one pair at a time. What shares nothing joins last. Only the joins, n - 1 pairs of numbers, reach the driver.
+    """
+    spark = pairs.sparkSession
+    weights = cut(spark.range(n).select(F.col("id").alias("c"), F.lit(1).cast("bigint").alias("w")))
+    joins, pairs = [], cut(pairs)
+    while not pairs.isEmpty():
+        wa, wb = weights.select(F.col("c").alias("a"), F.col("w").alias("wa")), weights.select(F.col("c").alias("b"), F.col("w").alias("wb"))
+        near = pairs.join(wa, "a").join(wb, "b").select(F.struct(F.round(1 - F.col("sim") / (F.col("wa") * F.col("wb")), 12).alias("d"), "a", "b").alias("p"))
+        best = near.select(F.explode(F.array("p.a", "p.b")).alias("c"), "p").groupBy("c").agg(F.min("p").alias("p"))
+        mutual = cut(best.groupBy("p").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("p.d", "p.a", "p.b"))
+        joins.extend((r.d, r.a, r.b) for r in mutual.collect())
+        ends = {e: mutual.select(F.col("b").alias(e), F.col("a").alias(f"_{e}")) for e in "abc"}
+        moved = pairs.join(ends["a"], "a", "left").join(ends["b"], "b", "left").select(F.coalesce("_a", "a").alias("x"), F.coalesce("_b", "b").alias("y"), "sim").where("x <> y")
+        pairs = cut(moved.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("sim").alias("sim")))
+        weights = cut(weights.join(ends["c"], "c", "left").groupBy(F.coalesce("_c", "c").alias("c")).agg(F.sum("w").alias("w")))
+    left = sorted(set(range(n)) - {b for _, _, b in joins})
+    return [(a, b) for _, a, b in sorted(joins + [(1.0, left[0], b) for b in left[1:]])]
+
+
+def labels(joins: list[tuple[int, int]], n: int, clusters: int) -> np.ndarray:
+    """Cluster of each row when so many are left."""
+    label = np.arange(n)
+    for a, b in joins[: n - clusters]:
+        label[b] = a
+    while (label[label] != label).any():
+        label = label[label]
+    return label
+
+
+def _sums(pairs: DataFrame, label: np.ndarray) -> DataFrame:
+    """``(x, own, c, sim, size)``: the similarities of each row to each cluster it shares anything with, and to its own."""
+    spark = pairs.sparkSession
+    of = spark.createDataFrame(pa.table({"y": np.arange(len(label)), "c": label}))
+    size = of.groupBy("c").agg(F.count(F.lit(1)).alias("size"))
+    ways = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("p"), "sim").select("p.x", "p.y", "sim")
+    self = of.select(F.col("y").alias("x"), "c", F.lit(0.0).alias("sim"))
+    sums = ways.join(of, "y").select("x", "c", "sim").unionByName(self).groupBy("x", "c").agg(F.sum("sim").alias("sim"))
+    return sums.join(size, "c").join(of.select(F.col("y").alias("x"), F.col("c").alias("own")), "x")
+
+
+def mean_silhouette(pairs: DataFrame, label: np.ndarray) -> float:
+    """Mean silhouette width of distances 1 - sim; rows alone in a cluster count 0."""
+    mine = F.col("c") == F.col("own")
+    each = _sums(pairs, label).groupBy("x").agg(
+        F.max(F.when(mine & (F.col("size") > 1), 1 - F.col("sim") / (F.col("size") - 1))).alias("inner"),
+        F.coalesce(F.min(F.when(~mine, 1 - F.col("sim") / F.col("size"))), F.lit(1.0)).alias("outer"),
+    )
+    width = (F.col("outer") - F.col("inner")) / F.greatest("outer", "inner", F.lit(1e-300))
+    return each.agg(F.avg(F.coalesce(width, F.lit(0.0)))).first()[0]
+
+
 def cluster_kmers(kmers: DataFrame, k: int = 4, n_clusters: int | None = None, max_clusters: int | None = None, directional: bool = True, drop_short: bool = False) -> DataFrame:
     """``(cluster, kmer)``: average-linkage clusters named by their most central member.
 
     Without ``n_clusters`` their number is the one with the best mean silhouette. K-mers shorter than ``k`` have no grams: distance 1 from all others
-    (``drop_short`` leaves them out). Up to three k-mers need ``n_clusters``. Distances are made by Spark; the linkage itself takes the list of motifs,
-    of which more than ``MAX_KMERS`` are refused.
+    (``drop_short`` leaves them out). Up to three k-mers need ``n_clusters``. Distances stay a table, which every round of the linkage and every silhouette reads.
     """
-    spark = kmers.sparkSession
     distinct = kmers.where("kmer is not null" + (f" and length(kmer) >= {k}" if drop_short else "")).select("kmer").distinct()
-    names = sorted(r.kmer for r in distinct.limit(MAX_KMERS + 1).collect())
-    n = len(names)
-    if n > MAX_KMERS:
-        raise ValueError(f"more than {MAX_KMERS} k-mers")
+    names = cut(ordered(distinct, ["kmer"]).select(F.col("pos").alias("x"), "kmer"))
+    n = names.count()
     if n <= 3 and (n_clusters is None or n_clusters > 3):
         raise ValueError("up to three k-mers need a number of clusters of at most three")
-    at = {x: i for i, x in enumerate(names)}
-    d = np.ones((n, n))
-    np.fill_diagonal(d, 0)
-    for r in distances(distinct, k, directional).collect():  # at most MAX_KMERS squared / 2
-        d[at[r.a], at[r.b]] = d[at[r.b], at[r.a]] = r.distance
-    off = ~np.eye(n, dtype=bool)
-    positive = d[off & (d > 1e-12)]
-    d[off & (d <= 1e-12)] = positive.min() / 2 if len(positive) else 0
+    if not n:
+        return names.select(F.col("kmer").alias("cluster"), "kmer")
+    apart = cut(distances(distinct, k, directional))
+    least, met = apart.agg(F.min(F.when(F.col("distance") > 1e-12, F.col("distance"))), F.count(F.lit(1))).first()
+    # Pairs without a row have distance 1.
+    equal = (1.0 if least is None else least) / 2 if least is not None or met < n * (n - 1) // 2 else 0.0
+    sim = 1 - F.when(F.col("distance") <= 1e-12, F.lit(equal)).otherwise(F.col("distance"))
+    pairs = cut(apart.join(names.select(F.col("x").alias("_a"), F.col("kmer").alias("a")), "a").join(names.select(F.col("x").alias("_b"), F.col("kmer").alias("b")), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"), sim.alias("sim")))
+    joins = linkage(pairs, n)
     if n_clusters is None:
-        n_clusters = integral_optimum(lambda c: silhouette(d, average_linkage(d, c)), 2, min(n - 1, max_clusters or n - 1))
-    label = average_linkage(d, min(n_clusters, n))
-    rows = []
-    for c in range(label.max() + 1):
-        inside = np.flatnonzero(label == c)
-        head = names[inside[np.argmin(d[np.ix_(inside, inside)].mean(1).round(12))]]
-        rows.extend((head, names[i]) for i in inside)
-    return spark.createDataFrame(rows, "cluster string, kmer string")
+        n_clusters = integral_optimum(lambda c: mean_silhouette(pairs, labels(joins, n, c)), 2, min(n - 1, max_clusters or n - 1))
+    inside = _sums(pairs, labels(joins, n, min(n_clusters, n))).where("c = own")
+    heads = inside.groupBy("c").agg(F.min_by("x", F.struct(F.round(-F.col("sim") / F.col("size"), 12), "x")).alias("head"))
+    named = heads.join(names.select(F.col("x").alias("head"), F.col("kmer").alias("cluster")), "head").select("c", "cluster")
+    return inside.select("x", "c").join(named, "c").join(names, "x").select("cluster", "kmer")
 
 
 def orient(kmers: DataFrame, representative: str, k: int = 4) -> DataFrame:

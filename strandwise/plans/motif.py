@@ -278,19 +278,12 @@ def _motifs(spark, d):
     return table(spark, d, "peaks").where("block is not null").select(F.upper(bare("kmer")).alias("kmer")).where("kmer rlike '^[ACGT]+$'").distinct()
 
 
-def _frequent(spark, d):
-    """The motifs found in most blocks: a share of one in a hundred or more, over ACGT."""
-    rows = table(spark, d, "peaks").select(F.upper(bare("kmer")).alias("kmer"), "block").where("kmer rlike '^[ACGT]+$' and block is not null")
-    n = rows.agg(F.countDistinct("block")).first()[0]
-    return rows.groupBy("kmer").agg(F.countDistinct("block").alias("n")).where(F.col("n") * 100 >= n).select("kmer")
-
-
 def k_distances(spark, d):
     return clustering.distances(_motifs(spark, d), 3).select("a", "b", F.round("distance", 6).alias("distance"))
 
 
 def k_clusters(spark, d):
-    return clustering.cluster_kmers(_frequent(spark, d), 3, directional=False)
+    return clustering.cluster_kmers(_motifs(spark, d), 3, directional=False)
 
 
 def k_orient(spark, d):

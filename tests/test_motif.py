@@ -3,6 +3,7 @@ import re
 import statistics
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -235,6 +236,27 @@ def test_every_motif_is_compared(spark, rare):
     assert len(got) == len(want) and all(r.distance == pytest.approx(want[r.a, r.b], abs=1e-6) for r in got)
 
 
+def test_linkage_against_one_pair_at_a_time(spark):
+    rng = np.random.default_rng(5)
+    n = 24
+    d = np.ones((n, n))
+    np.fill_diagonal(d, 0)
+    rows = []
+    for a in range(n):
+        for b in range(a + 1, n):
+            if rng.random() < 0.4:
+                rows.append((a, b, float(rng.integers(1, 2**20)) / 2**20))
+                d[a, b] = d[b, a] = 1 - rows[-1][2]
+    pairs = spark.createDataFrame(rows, "a long, b long, sim double")
+    joins = clustering.linkage(pairs, n)
+    for c in (1, 2, 5, 11, n):
+        label = clustering.labels(joins, n, c)
+        want = clustering.average_linkage(d, c)
+        assert (np.unique(label, return_inverse=True)[1] == want).all()
+        if c == 5:
+            assert clustering.mean_silhouette(pairs, label) == pytest.approx(clustering.silhouette(d, want))
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "s.fa").write_text("junk\n>a b\nACG\nT\n>c\n>d>e\nGG\r\n>a b\nTTT\n")
     rows = {r.seq_id: r.seq for r in sources.read_fasta(spark, str(tmp_path / "s.fa")).collect()}
