@@ -1,7 +1,8 @@
 import random
+from fractions import Fraction
 
 from strandwise.llm import mixture
-from strandwise.llm.mixture import allot, mix
+from strandwise.llm.mixture import allot, mix, timetable
 
 
 def test_allot():
@@ -12,6 +13,48 @@ def test_allot():
     assert allot({}, goal) == {}
 
 
+def within_one_block(rows, due):
+    """Blocks (source, block, slot, release, deadline): each in its window, in order, one a slot, every source less than a block off its weight."""
+    whole, slots, taken = sum(due.values()), {}, dict.fromkeys(due, 0)
+    for s, k, slot, release, deadline in sorted(rows, key=lambda r: r[2]):
+        assert release == k * whole // due[s] and deadline == -(-(k + 1) * whole // due[s])
+        assert release <= slot < deadline and slot not in slots and taken[s] == k
+        slots[slot] = taken[s] = k + 1
+        assert all(abs(taken[x] - Fraction(due[x] * (slot + 1), whole)) < 1 or taken[x] == -(-due[x] // BLOCK) for x in due)
+
+
+BLOCK = 100
+
+
+def test_timetable():
+    rng = random.Random(1)
+    for n in (1, 2, 7, 51):
+        due = {f"s{k}": rng.choice([1, 250, 4_000, rng.randrange(1, 60_000)]) for k in range(n)}
+        rows = timetable(due, {s: -(-d // BLOCK) for s, d in due.items()})
+        assert len(rows) == sum(-(-d // BLOCK) for d in due.values())
+        within_one_block(rows, due)
+    assert timetable({}, {}) == []
+
+
+def test_one_large_and_fifty_small_sources(spark):
+    """Documents of one token against documents of a hundred: every source stays within one block at every turn."""
+    rows = [(k, "a", 1) for k in range(20_000)]
+    rows += [(100_000 * (s + 1) + k, f"b{s:02}", 100) for s in range(50) for k in range(4)]
+    goals = [("a", 0.5, 1)] + [(f"b{s:02}", 0.01, 1) for s in range(50)]
+    chosen, shares = mix(spark.createDataFrame(rows, "doc_id long, source string, n_tokens long"), spark.createDataFrame(goals, "source string, target_share double, max_repeats int"))
+    got = chosen.orderBy("turn").collect()
+    assert len(got) == 20_200 and {round(r.reached_share, 9) for r in shares.collect()} == {0.5, 0.01}
+    due = {"a": 20_000} | {f"b{s:02}": 400 for s in range(50)}
+    within_one_block({(r.source, r.block, r.slot, r.release, r.deadline) for r in got}, due)
+    taken, total, off = dict.fromkeys(due, 0), 0, 0.0
+    for r in got:
+        taken[r.source] += r.n_tokens
+        total += r.n_tokens
+        off = max(off, *(abs(taken[s] - total * due[s] / 40_000) for s in due))
+        assert r.slot >= r.release
+    assert off <= BLOCK
+
+
 def test_mixture(spark, monkeypatch):
     monkeypatch.setattr(mixture, "GROUP_ROWS", 50)
     rng = random.Random(3)
@@ -29,15 +72,20 @@ def test_mixture(spark, monkeypatch):
     for r in got:
         so_far[r.source] += r.n_tokens
         total += r.n_tokens
-        assert all(abs(so_far[s] - weight[s] * total) < 3 * 40 for s in ("a", "b", "c"))
-        assert r.release < r.deadline
+        # A block of 39 tokens, and half a document at its borders.
+        assert all(abs(so_far[s] - weight[s] * total) < 39 + 20 for s in ("a", "b", "c"))
+        assert r.release <= r.slot < r.deadline
     for r in shares.collect():
         assert r.taken == so_far[r.source] and abs(r.reached_share - r.taken / total) < 1e-9
-        assert r.source == "none" or abs(r.reached_share - weight[r.source]) < 40 / total * 3
+        assert r.source == "none" or abs(r.reached_share - weight[r.source]) < 40 / total
     first = {}
     for r in got:
         assert r.use == 1 or first.get((r.doc_id, r.use - 1)) is not None
         first[r.doc_id, r.use] = r.turn
+    # Larger blocks where there would be too many.
+    monkeypatch.setattr(mixture, "MAX_BLOCKS", 10)
+    few = mix(sizes, spark.createDataFrame(goals, "source string, target_share double, max_repeats int"))[0]
+    assert few.count() == len(got) and few.select("slot").distinct().count() <= 13
 
 
 def test_empty(spark):
