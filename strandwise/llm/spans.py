@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from strandwise.runtime import cut
 
-#: Letters hashed at once inside a task.
-CHUNK = 1 << 20
-SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Letters hashed at once inside a task, and letters of a segment of a long record.
+CHUNK, SEGMENT = 1 << 20, 1 << 16
+#: Bits of a filter of anchors at most (32 MB).
+FILTER_BITS = 1 << 28
+SEED = 0x9E3779B97F4A7C15
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -43,93 +45,162 @@ def _letters(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list]]:
-    """Records joined to runs of about CHUNK letters: (letters, record of each letter, place in it, letters left from here, rest of the rows)."""
-    rows: list[tuple] = []
-    size = 0
+def _pieces(batches: Iterator[pa.RecordBatch], segment: int, over: int) -> Iterator[tuple[int, int, str]]:
+    """(record, segment, letters) of every segment of every text, with the ``over`` letters behind it."""
     for batch in batches:
         for k in range(0, batch.num_rows, 64):
-            for row in zip(*(c.slice(k, 64).to_pylist() for c in batch.columns)):
-                if row[1]:
-                    rows.append(row)
-                    size += len(row[1])
-                if size >= CHUNK:
-                    yield _joined(rows)
-                    rows, size = [], 0
-    if rows:
-        yield _joined(rows)
-
-
-def _joined(rows: list[tuple]):
-    texts = [_letters(r[1]) for r in rows]
+            for b, text in zip(*(c.slice(k, 64).to_pylist() for c in batch.columns[:2])):
+                for n, at in enumerate(range(0, len(text), segment)):
+                    yield b, n, text[at : at + segment + over]
+
+
+def _runs(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Rows (.., .., letters, ...) in lists of about CHUNK letters."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[2])
+        if size >= CHUNK:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _joined(rows: list[tuple], segment: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The letters of all rows one after another; of each letter its row, its place in the segment (-1 behind the segment) and how many letters are left from it on."""
+    texts = [_letters(r[2]) for r in rows]
     lens = np.array([len(t) for t in texts])
-    start = np.cumsum(lens) - lens
-    record = np.repeat(np.arange(len(rows)), lens)
-    place = np.arange(lens.sum()) - start[record]
-    return np.concatenate(texts), record, place, lens[record] - place, rows
+    row = np.repeat(np.arange(len(rows)), lens)
+    place = np.arange(lens.sum()) - (np.cumsum(lens) - lens)[row]
+    return np.concatenate(texts), row, np.where(place < segment, place, -1), lens[row] - place
 
 
-def _positions(records: DataFrame, width: int, step: int) -> DataFrame:
-    """(h, b, wi) of the windows of ``width`` letters at places divisible by ``step``."""
+def _bits(h: np.ndarray, mask: int) -> tuple[np.ndarray, np.ndarray]:
+    u = h.view(np.uint64)
+    return (u & np.uint64(mask)).astype(np.int64), (u >> np.uint64(32) & np.uint64(mask)).astype(np.int64)
+
+
+def _holds(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether a filter may hold each hash; False is sure."""
+    a, b = _bits(h, len(bitmap) * 8 - 1)
+    return (bitmap[a >> 3] >> (a & 7).astype(np.uint8) & bitmap[b >> 3] >> (b & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _filter(keys: DataFrame, n: int) -> np.ndarray:
+    """Two bits for each of ``n`` hashes ``keys(h)`` in a bitmap of 16 bits a hash, at most ``FILTER_BITS`` altogether. Tasks set the bits; the driver gets the bitmap only."""
+    size = min(FILTER_BITS, max(1 << 15, 1 << (16 * n - 1).bit_length() if n else 0))
+    at = F.explode(F.array(F.col("h").bitwiseAND(size - 1) + 1, F.shiftrightunsigned("h", 32).bitwiseAND(size - 1) + 1))
+    rows = keys.select(at.alias("x")).groupBy(F.bitmap_bucket_number("x").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits")).collect()
+    bitmap = np.zeros(size // 8, np.uint8)
+    for r in rows:
+        bitmap[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(r.bits, np.uint8)
+    return bitmap
+
+
+def _anchors(records: DataFrame, width: int, segment: int) -> DataFrame:
+    """(h, b) of the blocks of ``width`` letters at multiples of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(_pieces(batches, segment, 0)):
+            letters, row, place, left = _joined(rows, segment)
+            h = window_hashes(letters, width, SEED)
+            ok = np.flatnonzero((left[: len(h)] >= width) & (place[: len(h)] % width == 0))
+            yield pa.RecordBatch.from_arrays([pa.array(h[ok]), pa.array(np.array([r[0] for r in rows], np.int64)[row[ok]])], names=["h", "b"])
+
+    return records.mapInArrow(run, "h bigint, b bigint")
+
+
+def _probes(records: DataFrame, width: int, segment: int, every, repeated) -> DataFrame:
+    """(h, b, wi) of the rolling windows that may meet an anchor: any for windows between anchors, one of several records for those that are anchors themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for letters, record, place, left, rows in _chunks(batches):
-            h = window_hashes(letters, width, SEEDS[0])
-            ok = np.flatnonzero((left[: len(h)] >= width) & (place[: len(h)] % step == 0))
-            ids = np.array([r[0] for r in rows], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h[ok]), pa.array(ids[record[ok]]), pa.array(place[ok].astype(np.int32))], names=["h", "b", "wi"])
+        of_any, of_several = every.value, repeated.value
+        for rows in _runs(_pieces(batches, segment, width - 1)):
+            letters, row, place, left = _joined(rows, segment)
+            h = window_hashes(letters, width, SEED)
+            here = place[: len(h)]
+            ok = np.flatnonzero((left[: len(h)] >= width) & (here >= 0))
+            own = here[ok] % width == 0
+            keep = np.zeros(len(ok), bool)
+            keep[own] = _holds(of_several, h[ok[own]])
+            keep[~own] = _holds(of_any, h[ok[~own]])
+            ok = ok[keep]
+            ids, at = np.array([r[0] for r in rows], np.int64), np.array([r[1] * segment for r in rows], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h[ok]), pa.array(ids[row[ok]]), pa.array((at[row[ok]] + here[ok]).astype(np.int32))], names=["h", "b", "wi"])
 
     return records.mapInArrow(run, "h bigint, b bigint, wi int")
 
 
-def _extended(anchored: DataFrame, width: int, least: int) -> DataFrame:
-    """(h1, h2, b, wi) of the windows of ``least`` letters that hold a hit anchor; input (b, text, places of hits)."""
+def _segments(records: DataFrame, segment: int, over: int) -> DataFrame:
+    """(b, seg, letters)"""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(_pieces(batches, segment, over)):
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string()))], names=["b", "seg", "letters"])
+
+    return records.mapInArrow(run, "b bigint, seg bigint, letters string")
+
+
+def _extended(met: DataFrame, width: int, least: int, segment: int) -> DataFrame:
+    """(letters, b, wi) of the windows of ``least`` letters around hits; input (b, seg, letters, places of hits in the record)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for letters, record, place, left, rows in _chunks(batches):
-            if len(letters) < least:
-                continue
-            first = np.flatnonzero(place == 0)
-            near = [np.asarray(r[2], np.int64) for r in rows]
-            hits = np.concatenate([first[k] + x[x < len(rows[k][1])] for k, x in enumerate(near)])
-            change = np.zeros(len(letters) + 1, np.int32)
-            np.add.at(change, np.maximum(hits - (least - width), first[record[hits]]), 1)
-            np.add.at(change, hits + 1, -1)
-            n = len(letters) - least + 1
-            ok = np.flatnonzero((np.cumsum(change)[:n] > 0) & (left[:n] >= least))
-            h1, h2 = (window_hashes(letters, least, s)[ok] for s in SEEDS)
-            ids = np.array([r[0] for r in rows], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array(ids[record[ok]]), pa.array(place[ok].astype(np.int32))], names=["h1", "h2", "b", "wi"])
-
-    return anchored.mapInArrow(run, "h1 bigint, h2 bigint, b bigint, wi int")
-
-
-def shared_spans(records: DataFrame, key: str, text: str, least: int = 50) -> DataFrame:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                b, seg, text, hits = (c[k].as_py() for c in batch.columns)
+                n = min(segment, len(text) - least + 1)
+                if n <= 0:
+                    continue
+                change = np.zeros(n + 1, np.int32)
+                hits = np.asarray(hits, np.int64) - seg * segment
+                np.add.at(change, np.clip(hits - (least - width), 0, n), 1)
+                np.add.at(change, np.clip(hits + 1, 0, n), -1)
+                ok = np.flatnonzero(np.cumsum(change)[:n] > 0)
+                for part in range(0, len(ok), 16_384):
+                    at = ok[part : part + 16_384]
+                    yield pa.RecordBatch.from_arrays([pa.array([text[p : p + least] for p in at.tolist()], pa.string()), pa.array(np.full(len(at), b, np.int64)), pa.array((at + seg * segment).astype(np.int32))], names=["letters", "b", "wi"])
+
+    return met.mapInArrow(run, "letters string, b bigint, wi int")
+
+
+def shared_spans(records: DataFrame, key: str, text: str, least: int = 50, segment: int = SEGMENT) -> DataFrame:
     """``(<key>, wi_from INT, wi_to INT)``: maximal runs of letters that lie in spans of ``least`` letters or more found in another record too.
 
-    Anchors are the windows of ``least // 2`` letters at every multiple of that width: any span of ``least`` letters holds a whole one.
-    All rolling windows of all records probe them; a hit counts if the anchor stands in another record. Hits are extended on both sides
-    to ``least`` letters, and extensions met in two records or more join to maximal repeats. Copies aren't
-    expanded into pairs: of each anchor and each extension only the smallest and the largest key go on, so a text held by a third
-    of all records costs one row a place. Anchors are matched by 64 bits (a wrong match only costs time), extensions by 128.
+    Anchors are the blocks of ``least // 2`` letters at every multiple of that width: any span of ``least`` letters holds a whole one.
+    All rolling windows of all records probe them. A filter of two bits for each anchor, broadcast and never larger than ``FILTER_BITS``, lets only likely
+    hits leave a task; it loses none, but thins out less when there are more anchors than it has room for. A hit counts if the anchor stands in another
+    record (matched by 64 bits: a wrong match only costs time). Hits are extended on both sides to all spans of ``least`` letters around them; these meet by
+    their letters, and those of two records or more join to maximal repeats. Copies aren't expanded into pairs: of each anchor and each
+    span only the smallest and the largest key go on, so a text held by a third of all records costs one row a place.
 
+    Texts are worked on in segments of ``segment`` letters with the letters behind, so no task holds what is found in a whole long record.
     Every code point is a letter, cases differ. Null, empty or shorter texts have no runs; neither has a record
     with a null key. Rows with the same key are one record (a repeat isn't another record); if their texts differ, runs of both come out. Whole texts are read.
     Other columns are ignored. An empty table gives no rows.
     """
+    context = records.sparkSession.sparkContext
     width = max(1, least // 2)
+    segment = -(-segment // width) * width
     kept = records.select(F.col(key).cast("bigint").alias("b"), F.col(text).alias("text")).where(F.col("b").isNotNull() & (F.length("text") >= least))
     both = [F.min("b").alias("lo"), F.max("b").alias("hi")]
-    anchors = _positions(kept, width, width).groupBy("h").agg(*both)
-    probes = _positions(kept, width, 1)
-    hits = probes.join(anchors.hint("shuffle_hash"), "h").where("lo <> b or hi <> b")
-    places = hits.groupBy("b").agg(F.collect_set("wi").alias("places"))
-    windows = cut(_extended(kept.join(places, "b"), width, least))
-    repeats = windows.groupBy("h1", "h2").agg(*both).where("lo <> hi").select("h1", "h2")
-    found = windows.join(repeats.hint("shuffle_hash"), ["h1", "h2"]).select("b", "wi").distinct()
-    w = Window.partitionBy("b").orderBy("wi")
+    anchors = cut(_anchors(kept, width, segment).groupBy("h").agg(*both))
+    several = anchors.where("lo <> hi")
+    filters = [context.broadcast(_filter(x.select("h"), x.count())) for x in (anchors, several)]
+    hits = _probes(kept, width, segment, *filters).join(anchors, "h").where("lo <> b or hi <> b")
+    seg = lambda at: F.floor(at / segment)
+    near = F.explode(F.array_distinct(F.array(seg(F.greatest(F.lit(0), F.col("wi") - (least - width))), seg(F.col("wi")))))
+    places = hits.select("b", near.alias("seg"), "wi").groupBy("b", "seg").agg(F.collect_set("wi").alias("places"))
+    windows = cut(_extended(_segments(kept, segment, least - 1).join(places, ["b", "seg"]), width, least, segment))
+    repeats = windows.groupBy("letters").agg(*both).where("lo <> hi").select("letters")
+    found = windows.join(repeats, "letters").select("b", "wi").distinct().withColumn("seg", seg(F.col("wi")))
+    w = Window.partitionBy("b", "seg").orderBy("wi")
     fresh = F.coalesce(F.col("wi") > F.lag("wi").over(w) + least, F.lit(True))
-    runs = found.withColumn("run", F.sum(fresh.cast("int")).over(w)).groupBy("b", "run").agg(F.min("wi").alias("wi_from"), (F.max("wi") + least).alias("wi_to"))
+    parts = found.withColumn("run", F.sum(fresh.cast("int")).over(w)).groupBy("b", "seg", "run").agg(F.min("wi").alias("wi_from"), (F.max("wi") + least).alias("wi_to"))
+    # Runs of a segment that reach into the next one's first run go on in it.
+    v = Window.partitionBy("b").orderBy("wi_from")
+    fresh = F.coalesce(F.col("wi_from") > F.lag("wi_to").over(v), F.lit(True))
+    runs = parts.withColumn("run", F.sum(fresh.cast("int")).over(v)).groupBy("b", "run").agg(F.min("wi_from").alias("wi_from"), F.max("wi_to").alias("wi_to"))
     return runs.select(F.col("b").alias(key), "wi_from", "wi_to")
 
 

@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
+from strandwise.llm import spans
 from strandwise.llm.spans import shared_report, shared_spans, window_hashes
 
 
@@ -27,14 +29,14 @@ def brute(rows, least):
     return sorted(out)
 
 
-@pytest.mark.parametrize("least", [50, 7, 2])
-def test_against_brute_force(spark, least):
+@pytest.mark.parametrize(("least", "segment"), [(50, 1 << 16), (50, 75), (7, 9), (2, 3)])
+def test_against_brute_force(spark, least, segment):
     rng = random.Random(least)
     word = lambda n: "".join(rng.choice("ACGTN日") for _ in range(n))
     shared = [word(rng.randrange(least - 1, least * 4)) for _ in range(6)]
     rows = [(b, word(rng.randrange(0, 80)) + rng.choice(shared) + word(rng.randrange(0, 40)) + rng.choice(shared)) for b in range(30)]
     rows += [(100 + b, "A" * (60 + b)) for b in range(12)] + [(200, None), (201, ""), (202, "a" * 90), (203, rows[0][1]), (204, "CA" * 60), (205, word(least))]
-    found = shared_spans(spark.createDataFrame(rows, "b long, catseq string"), "b", "catseq", least).collect()
+    found = shared_spans(spark.createDataFrame(rows, "b long, catseq string"), "b", "catseq", least, segment).collect()
     assert sorted(map(tuple, found)) == brute(rows, least)
 
 
@@ -59,3 +61,20 @@ def test_hashes_follow_the_letters():
     for width in (1, 2, 25, 50, 64):
         h = window_hashes(x, width, 7)
         assert len(h) == len(x) - width + 1 and (h[:-5] == h[5:]).all() and len(set(h.tolist())) == len({bytes(x[k : k + width]) for k in range(len(h))})
+
+
+def test_long_records_and_one_letter(spark):
+    """A record of ten million letters that holds two others, and records of one letter only."""
+    rng = np.random.default_rng(1)
+    long = "".join(np.array(list("ACGT"))[rng.integers(0, 4, 10_000_000)])
+    rows = [(0, long), (1, "NN" + long[65_500:65_700] + "N"), (2, long[9_999_900:]), (3, "A" * 30_000), (4, "A" * 70_001), (5, "A" * 40)]
+    found = shared_spans(spark.createDataFrame(rows, "b long, catseq string"), "b", "catseq", 50).collect()
+    assert sorted(map(tuple, found)) == [(0, 65_500, 65_700), (0, 9_999_900, 10_000_000), (1, 2, 202), (2, 0, 100), (3, 0, 30_000), (4, 0, 70_001)]
+
+
+def test_filter_loses_nothing(spark):
+    rng = np.random.default_rng(2)
+    h = rng.integers(-(2**63), 2**63, 5_000)
+    keys = spark.createDataFrame([(int(x),) for x in h], "h long")
+    bitmap = spans._filter(keys, len(h))
+    assert spans._holds(bitmap, h).all() and spans._holds(bitmap, rng.integers(-(2**63), 2**63, 20_000)).mean() < 0.05
