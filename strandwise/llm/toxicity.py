@@ -15,14 +15,11 @@ from pyspark.sql import types as T
 
 from strandwise.llm.tokens import text_runs
 
-#: Labelled documents of either kind that a model is fitted on, at most, and letters of each (others are scored whole).
+#: Labelled documents of either kind that a model is fitted on, at most.
 MAX_LABELLED = 1_500
-TRAIN_LETTERS = 20_000
 #: Hashed features of each place (the word itself and two neighbours on either side).
 BITS = 18
 PLACES = (0, -1, 1, -2, 2)
-#: Words in one chain; longer sentences go on in a new chain.
-CHAIN = 128
 #: Sentences alike that a model is fitted on.
 COPIES = 6
 MEMO_PIECES, MEMO_LETTERS = 200_000, 8_000_000
@@ -37,6 +34,8 @@ SPELLED = re.compile(r"\W*(?:[^\W_][^\w\s]){2,}[^\W_]\W*")
 NUMERAL = re.compile(r"[a-z]{0,2}[0-9]+[a-z]?")
 DOUBLE = re.compile(r"(.)\1+")
 LAST = re.compile(r"[.!?。！？…][\"'”’)\]>]*(?:</\w+>)?$|[。！？]")
+#: Ends of sentences that no space follows.
+STOP = re.compile(r"(?<=[。！？])(?=[^\s。！？\"'”’)\]>」』）])")
 
 
 def words_of(piece: str) -> list[str]:
@@ -132,7 +131,7 @@ class Reader:
         """(word codes, text of each, chain of each, pieces of each text)."""
         if len(self.pieces) > MEMO_PIECES or self.letters > MEMO_LETTERS:
             self.forget()
-        parts = [(t or "").split() for t in texts]
+        parts = [STOP.sub(" ", t or "").split() for t in texts]
         get = self.pieces.__getitem__
         code: list[int] = []
         for p in parts:
@@ -158,10 +157,6 @@ class Reader:
         if len(codes):
             cut[1:] = self.last[codes[:-1]] | (owner[1:] != owner[:-1])
         chain = np.repeat(np.cumsum(cut), n)
-        if len(chain):  # long sentences go on in new chains
-            begin = np.flatnonzero(np.r_[True, chain[1:] != chain[:-1]])
-            place = np.arange(len(chain)) - np.repeat(begin, np.diff(np.r_[begin, len(chain)]))
-            chain = np.cumsum(np.r_[False, (chain[1:] != chain[:-1]) | (place[1:] % CHAIN == 0)])
         return words, owner_of, chain, parts
 
 
@@ -365,26 +360,20 @@ class Scorer:
         return out
 
 
-_SCORERS: dict[int, Scorer] = {}
-
-
 def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, clean: str, limit: int) -> tuple[list[str], list[bool]]:
-    """Labelled documents of either kind, chosen by a hash of the key; of each at most TRAIN_LETTERS letters. About ``limit`` if there are more. Documents with differing labels count as bad."""
+    """Labelled documents, whole, at most ``limit`` of either kind: those with the smallest hash of the key. Documents with differing labels count as bad; of repeated ones the greatest text counts."""
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.max((F.col(label) != clean).cast("int")).alias("_bad"))
-    many = {r._bad: r["count"] for r in known.groupBy("_bad").count().collect()}
-    draw = F.pmod(F.xxhash64(key, F.lit(1)), F.lit(1_000_000))
-    of = lambda bad: known.where((F.col("_bad") == bad) & (draw < int(1_000_000 * min(1.0, limit / max(1, many.get(bad, 0))) + 0.5)))
-    picked = of(1).union(of(0)).limit(3 * limit)
-    rows = docs.select(key, F.substring(text, 1, TRAIN_LETTERS).alias("_text")).where("_text is not null").join(F.broadcast(picked), key).limit(4 * limit).collect()
-    rows.sort(key=lambda r: (r[0], r._text))
+    of = lambda bad: known.where(F.col("_bad") == bad).orderBy(F.xxhash64(key, F.lit(1)), key).limit(limit)
+    rows = docs.select(key, F.col(text).alias("_text")).where("_text is not null").join(F.broadcast(of(1).union(of(0))), key).groupBy(key).agg(F.max("_text").alias("_text"), F.max("_bad").alias("_bad")).collect()
+    rows.sort(key=lambda r: r[0])
     return [r._text for r in rows], [bool(r._bad) for r in rows]
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, keep: list[str], key: str = "doc_id", text: str = "text", label: str = "label", clean: str = "clean", threshold: float = 0.7, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """The ``keep`` columns with ``score DOUBLE, flagged BOOLEAN, spans ARRAY<STRUCT<from_: INT, to_: INT>>`` for every row.
 
-    The model is fitted on about ``max_labelled`` documents of either kind at most. Every text is tagged whole, in
-    chains of a sentence; its score is the highest mean marginal of a word and its neighbours in the chain, ``flagged`` is score >= threshold,
+    The model is fitted on at most ``max_labelled`` documents of either kind. Every text is tagged whole, in
+    chains of a sentence of any length; its score is the highest mean marginal of a word and its neighbours in the chain, ``flagged`` is score >= threshold,
     ``spans`` are the tagged places of flagged texts in code points, from and up to. Null, empty and blank texts score 0. Without
     bad or without clean labels nothing is flagged. Repeated rows are scored each; rows don't shuffle. ``keep`` mustn't hold the names of the results.
     """
@@ -394,15 +383,13 @@ def score_documents(docs: DataFrame, labels: DataFrame, keep: list[str], key: st
     model = docs.sparkSession.sparkContext.broadcast(fit(*labelled_sample(docs, labels, key, text, label, clean, max_labelled)))
     span = pa.struct([pa.field("from_", pa.int32(), False), pa.field("to_", pa.int32(), False)])
     schema = T.StructType([*[docs.schema[c] for c in keep], *T._parse_datatype_string("score double, flagged boolean, spans array<struct<from_:int,to_:int>>").fields])
-    last, stamp = len(keep), id(model)
+    last = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if stamp not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[stamp] = Scorer(model.value)
+        scorer = Scorer(model.value)
         for batch in batches:
             for begin, texts in text_runs(batch.column(last)):
-                scores, spans = _SCORERS[stamp].score(texts, threshold)
+                scores, spans = scorer.score(texts, threshold)
                 found = pa.array([[{"from_": a, "to_": b} for a, b in x] for x in spans], pa.list_(span))
                 yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(begin, len(texts)) for k in range(last)], pa.array(scores), pa.array(scores >= threshold), found], names=schema.names)
 

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from strandwise.llm.toxicity import Chains, Scorer, fit, rates, score_documents, words_of
+from strandwise.llm.toxicity import Chains, Scorer, fit, labelled_sample, rates, score_documents, words_of
 
 GOOD = ["The valve 12 opens the chamber.", "A lever kills the oscillation of the spring.", "The moderation module scores insults such as moron in messages.", "Der Kolben 3 bewegt die Feder."]
 BAD = ["You are a stupid moron and everybody knows it.", "Shut up you filthy idiot nobody wants you.", "I hope you choke on your own lever you loser."]
@@ -80,3 +80,22 @@ def test_without_both_labels():
     for labels in ([], [True], [False]):
         model = fit(["you moron"][: len(labels)], labels)
         assert model.a[0, 1] < -10
+
+
+def test_chains_are_as_long_as_sentences():
+    model = fit([f"{BAD[0]} {g}" for g in GOOD * 9] + GOOD * 9, [True] * len(GOOD) * 9 + [False] * len(GOOD) * 9)
+    reader = Scorer(model).reader
+    words, _, chain, _ = reader.read(["valve " * 5_000 + BAD[0], "これは弁です。それはばねである！" * 3])
+    assert np.bincount(chain)[0] == 5_000 + 9 and chain.max() == 6
+    scores, spans = Scorer(model).score(["valve " * 127 + BAD[0], "valve " * 20_000 + "opens."], 0.7)
+    assert scores[0] >= 0.7 > scores[1] and ("valve " * 127 + BAD[0])[spans[0][0][0] : spans[0][-1][1]].endswith("knows it.")
+
+
+def test_whole_labelled_texts(spark):
+    """A bad passage behind 30,000 letters is learnt; the sample is bounded by rows and the same every time."""
+    docs = [(k, GOOD[k % 4] * 1_000 + " " + BAD[k % 3] if k % 2 else GOOD[k % 4] * 3) for k in range(60)] + [(1, "zz")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, "hate" if k % 2 else "clean") for k in range(60)], "doc_id long, label string")
+    sample = [labelled_sample(df, labels.repartition(n), "doc_id", "text", "label", "clean", 10) for n in (1, 3)]
+    texts, bad = sample[0]
+    assert sample[0] == sample[1] and len(texts) == 20 and sum(bad) == 10 and min(len(t) for t, b in zip(texts, bad) if b and t != "zz") > 20_000
