@@ -11,91 +11,182 @@ from pyspark.sql import functions as F
 
 from strandwise.runtime import bare, cut, join_unique, partitions
 
-FAR = "9999-12-31 00:00:00"
+#: Later than every time, in microseconds.
+FAR = 1 << 62
+#: Keys of a range of the dictionary, which its bitmaps cover.
+RANGE = 1 << 15
+#: Members of a bitmap up to which it is a sorted list of two bytes each rather than a bit for each key of the range.
+SPARSE = RANGE // 16
 #: Rows of one (key, period) that a single task may get; hotter ones are broadcast or salted.
 HOT_ROWS = 100_000
+#: Lives of a key in one period that are carried to its references; where there are more, references and lives are put in order.
+LIVES = 256
+
+
+class Bitmap:
+    """A set of codes below ``RANGE``, as a sorted list where it is sparse, else as bits."""
+
+    __slots__ = ("codes", "bits")
+
+    def __init__(self, codes: np.ndarray):
+        codes = np.unique(codes).astype(np.uint16)
+        self.codes = self.bits = None
+        if len(codes) <= SPARSE:
+            self.codes = codes
+        else:
+            flags = np.zeros(RANGE, bool)
+            flags[codes] = True
+            self.bits = np.packbits(flags, bitorder="little")
+
+    def decoded(self) -> np.ndarray:
+        return self.codes if self.bits is None else np.flatnonzero(np.unpackbits(self.bits, bitorder="little")).astype(np.uint16)
+
+    def holds(self, codes: np.ndarray) -> np.ndarray:
+        if self.bits is not None:
+            return (self.bits[codes >> 3] >> (codes & 7).astype(np.uint8) & 1).astype(bool)
+        at = np.searchsorted(self.codes, codes)
+        return (self.codes[np.minimum(at, len(self.codes) - 1)] == codes) if len(self.codes) else np.zeros(len(codes), bool)
+
+    def and_not(self, other: Bitmap) -> np.ndarray:
+        """Codes of this set that the other lacks."""
+        if self.bits is not None and other.bits is not None:
+            return np.flatnonzero(np.unpackbits(self.bits & ~other.bits, bitorder="little")).astype(np.uint16)
+        codes = self.decoded()
+        return codes[~other.holds(codes)]
+
+
+def _merged(begin: np.ndarray, end: np.ndarray) -> list[dict]:
+    """Lives of one key without overlaps, in order."""
+    order = np.argsort(begin, kind="stable")
+    begin, reach = begin[order], np.maximum.accumulate(end[order])
+    new = np.r_[True, begin[1:] > reach[:-1]]
+    return [{"a": int(a), "z": int(z)} for a, z in zip(begin[new], reach[np.r_[np.flatnonzero(new)[1:] - 1, len(reach) - 1]])]
+
+
+LEFT = "_key string, _at bigint, _sure boolean, _n bigint, _known boolean, _first bigint, _lives array<struct<a:bigint,z:bigint>>"
+_ARROW = pa.schema([("_key", pa.string()), ("_at", pa.int64()), ("_sure", pa.bool_()), ("_n", pa.int64()), ("_known", pa.bool_()), ("_first", pa.int64()), ("_lives", pa.list_(pa.struct([("a", pa.int64()), ("z", pa.int64())])))])
+
+
+def _orphaned(keys: list[str], use: np.ndarray, live: np.ndarray, known: np.ndarray, first: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """What is left of one range of keys: references AND NOT lives, period by period.
+
+    ``use``: code, begin and end of the period (begin -1: no time), number of references; ``live``: code, begin, end of a life.
+    """
+    every = Bitmap(np.flatnonzero(known))
+    for at in np.unique(use[:, 1]):
+        asked = use[use[:, 1] == at]
+        ref, end = Bitmap(asked[:, 0]), asked[0, 2]
+        if at < 0:
+            sure, unsure, near = ref.and_not(every), np.zeros(0, np.uint16), live[:0]
+        else:
+            near = live[(live[:, 1] < end) & (live[:, 2] > at)]
+            some, whole = Bitmap(near[:, 0]), Bitmap(near[(near[:, 1] <= at) & (near[:, 2] >= end), 0])
+            sure = ref.and_not(some)
+            unsure = Bitmap(np.setdiff1d(ref.decoded(), sure, assume_unique=True)).and_not(whole)
+        n = np.zeros(RANGE, np.int64)
+        n[asked[:, 0]] = asked[:, 3]
+        near = near[np.argsort(near[:, 0], kind="stable")]
+        lo, hi = np.searchsorted(near[:, 0], unsure), np.searchsorted(near[:, 0], unsure, side="right")
+        lives = [[]] * len(sure) + [_merged(np.maximum(near[a:z, 1], at), near[a:z, 2]) for a, z in zip(lo.tolist(), hi.tolist())]
+        for codes in np.array_split(np.arange(len(lives)), len(lives) // 10_000 + 1):
+            code = np.r_[sure, unsure][codes]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([keys[c] for c in code.tolist()], pa.string()), pa.repeat(pa.scalar(None if at < 0 else int(at), pa.int64()), len(code)), pa.array(codes < len(sure)), pa.array(n[code]), pa.array(known[code]),
+                pa.array(first[code], mask=first[code] == FAR), pa.array([lives[k] for k in codes.tolist()], _ARROW.field("_lives").type),
+            ], schema=_ARROW)
+
+
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Codes for the keys of a task, which come in order, and what is left of every ``RANGE`` of them. Rows (key, of parents or not, begin, end, n)."""
+    keys: list[str] = []
+    parts: list[np.ndarray] = []
+
+    def left() -> Iterator[pa.RecordBatch]:
+        rows = np.concatenate(parts)
+        parent = rows[:, 1] == 1
+        lives = rows[parent]
+        known, first = np.zeros(RANGE, bool), np.full(RANGE, FAR, np.int64)
+        known[lives[:, 0]] = True
+        np.minimum.at(first, lives[:, 0], lives[:, 2])
+        yield from _orphaned(keys, rows[~parent][:, [0, 2, 3, 4]], lives[lives[:, 2] < lives[:, 3]][:, [0, 2, 3]], known, first)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0)
+        names = key.to_numpy(zero_copy_only=False)
+        new = np.r_[not keys or names[0] != keys[-1], names[1:] != names[:-1]]
+        code = len(keys) - 1 + np.cumsum(new)
+        rows = np.column_stack([code, *(batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(1, 5))])
+        keys.extend(names[new].tolist())
+        while len(keys) > RANGE:
+            here = rows[:, 0] < RANGE
+            parts.append(rows[here])
+            yield from left()
+            keys, parts = keys[RANGE:], []
+            rows = rows[~here]
+            rows[:, 0] -= RANGE
+        parts.append(rows)
+    if parts:
+        yield from left()
 
 
 def orphan_references(refs: DataFrame, ref_id: str, ref_key: str, ref_time: str, parents: DataFrame, parent_key: str, added: str, deleted: str, period: str = "month", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Rows of ``refs`` whose key has no live parent at ``ref_time``: ``(<ref_id>, key, period, reason)``.
 
-    Keys get integer ids. For each key range (32,768 ids) and period, one bitmap has the referenced keys, one the keys with a parent
-    that lives through the whole period, one those with a parent at some time of it. Referenced AND NOT any is surely orphaned;
-    any AND NOT whole is decided by time, row by row. Only surviving bits are decoded and joined back.
+    References, counted by key and period, and lives of parents are partitioned by ranges of keys once. A task numbers its keys in order; for each
+    ``RANGE`` of them and period, one bitmap has the referenced keys, one the keys with a parent that lives through the whole period, one those with a parent at some
+    time of it, as sorted lists where they are sparse. Referenced AND NOT any is surely orphaned; any AND NOT whole is decided by time, row by
+    row, with the key's lives in that period. Only surviving bits are decoded, and joined with the references.
 
     ``reason``: ``missing`` if no parent ever has the key, ``late`` if the first is added after the reference, else ``deleted``.
     Keys of references are compared without white space at the ends; null and empty ones refer to nothing. A parent row with a
     null ``added`` never lives but makes its key known; a null ``deleted`` is still live; a null parent key is ignored. A reference without
     a time is an orphan only if its key is missing. Repeated parents change nothing, repeated references come out as often as they come.
-    An empty parent table makes every reference missing. Other columns are ignored.
+    An empty parent table makes every reference missing. Other columns are ignored. A key may have any number of lives; they pass one task as three numbers each.
     """
-    rows = refs.select(F.col(ref_id).alias("_id"), bare(ref_key).alias("_key"), F.col(ref_time).alias("_t")).where("_key is not null")
-    rows = rows.withColumn("_period", F.date_trunc(period, "_t"))
-    reg = parents.select(F.col(parent_key).alias("_key"), F.col(added).alias("_from"), F.coalesce(deleted, F.lit(FAR).cast("timestamp")).alias("_to")).where("_key is not null").distinct()
-    used = cut(rows.groupBy("_key", "_period").agg(F.count(F.lit(1)).alias("_n")))
-    total, first, last = used.agg(F.sum("_n"), F.min("_period"), F.max("_period")).first()
-    hot_rows = max(hot_rows, (total or 0) // 2000)
-    known = reg.groupBy("_key").agg(F.min("_from").alias("_first"))
-
-    # Dictionary: sorted keys, ids dense within each range of keys; written once, so that ids stay as they are.
-    keys = cut(used.select("_key").union(known.select("_key")).distinct().repartitionByRange("_key").sortWithinPartitions("_key").select("_key", (F.monotonically_increasing_id() + 1).alias("_code")))
-    bits = lambda df, name: df.groupBy("_bucket", "_period").agg(F.bitmap_construct_agg(F.bitmap_bit_position("_code")).alias(name))
-    # The dictionary grows with the keys and its files are far smaller than its rows: it is never broadcast.
-    merged = keys.hint("merge")
-    coded = lambda df: df.join(merged, "_key").withColumn("_bucket", F.bitmap_bucket_number("_code"))
-    end = lambda p: F.date_trunc(period, p + F.expr("interval 1 day" if period == "day" else f"interval 1 {period}"))
-    ref_bits = bits(coded(used.where("_period is not null")).repartition("_bucket"), "ref")
-    # A life is one small row until it is spread over its periods, so the number of tasks doesn't go by bytes.
-    span = coded(reg.where("_from is not null and _from < _to")).repartition(partitions(refs.sparkSession), "_bucket")
-    if first is None:
-        span = span.limit(0).withColumn("_period", F.lit(None).cast("timestamp"))
-    else:
-        lo, hi = F.greatest(F.date_trunc(period, "_from"), F.lit(first)), F.least(F.date_trunc(period, "_to"), F.lit(last))
-        span = span.where(lo <= hi).withColumn("_period", F.explode(F.sequence(lo, hi, F.expr(f"interval 1 {period}"))))
-    whole = (F.col("_from") <= F.col("_period")) & (F.col("_to") >= end(F.col("_period")))
-    place = F.bitmap_bit_position("_code")
-    live_bits = span.groupBy("_bucket", "_period").agg(F.bitmap_construct_agg(place).alias("any"), F.bitmap_construct_agg(F.when(whole, place)).alias("whole"))
-    left = ref_bits.join(live_bits, ["_bucket", "_period"], "left").mapInArrow(_and_not, "_code bigint, _period timestamp, _sure boolean")
-    left = left.join(merged, "_code").join(used, ["_key", "_period"])
-    timeless = used.where("_period is null").join(known, "_key", "left_anti").select("_key", "_period", F.lit(True).alias("_sure"), "_n")
-    left = cut(left.select("_key", "_period", "_sure", "_n").unionByName(timeless).join(known.withColumn("_known", F.lit(True)), "_key", "left"))
-
-    # Null periods take part in the join under a stand-in.
-    stand_in = F.coalesce("_period", F.lit(FAR).cast("timestamp"))
-    found = join_unique(rows.withColumn("_p", stand_in), left.withColumn("_p", stand_in).drop("_period"), ["_key", "_p"], "_n", hot_rows)
-    sure = found.where("_sure").select("_id", "_key", "_t", "_period", "_first", "_known")
-    dead = _dead_at(found.where("not _sure"), left.where("not _sure"), reg, end, hot_rows)
-    reason = F.when(F.col("_known").isNull(), "missing").when(F.col("_first") > F.col("_t"), "late").otherwise("deleted")
-    return sure.unionByName(dead).select(F.col("_id").alias(ref_id), F.col("_key").alias("key"), F.col("_period").alias("period"), reason.alias("reason"))
-
-
-def _and_not(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Referenced AND NOT live, decoded: (code, period, sure)."""
-    zero = bytes(4096)
-    for batch in batches:
-        for bucket, at, ref, some, whole in zip(*(batch.column(k).to_pylist() if k != 1 else batch.column(k) for k in range(5))):
-            ref, some, whole = (np.frombuffer(x or zero, np.uint8) for x in (ref, some, whole))
-            for bits, sure in ((ref & ~some, True), (ref & some & ~whole, False)):
-                codes = np.flatnonzero(np.unpackbits(bits, bitorder="little")) + (bucket - 1) * 32768 + 1
-                if len(codes):
-                    yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.repeat(at, len(codes)), pa.repeat(sure, len(codes))], names=["_code", "_period", "_sure"])
-
-
-def _dead_at(rows: DataFrame, left: DataFrame, reg: DataFrame, end, hot_rows: int) -> DataFrame:
-    """Of rows whose key is live for a part of the period: those outside every parent's life.
-
-    Parents' lives, clipped to the period, and references form one stream of events by key and period; the latest end seen so far
-    decides. A hot key and period is dealt to several groups, each of which gets all its lives.
+    parts = partitions(refs.sparkSession)
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    rows = refs.select(F.col(ref_id).alias("_id"), bare(ref_key).alias("_key"), F.col(ref_time).cast("timestamp").alias("_t")).where("_key is not null").withColumn("_period", F.date_trunc(period, "_t"))
+    used = rows.groupBy("_key", "_period").agg(F.count(F.lit(1)).alias("_n"))
+    end = F.date_trunc(period, F.col("_period") + F.expr(f"interval 1 {period}"))
+    used = used.select("_key", F.lit(0).alias("_parent"), F.coalesce(micros(F.col("_period")), F.lit(-1)).alias("_a"), F.coalesce(micros(end), F.lit(-1)).alias("_z"), "_n")
+    never = F.lit(FAR)
+    lives = parents.where(F.col(parent_key).isNotNull()).select(F.col(parent_key).cast("string").alias("_key"), F.coalesce(micros(F.col(added)), never).alias("_a"), F.coalesce(micros(F.col(deleted)), never).alias("_z"))
+    lives = lives.groupBy("_key", "_a").agg(F.max("_z").alias("_z")).select("_key", F.lit(1).alias("_parent"), "_a", "_z", F.lit(0).cast("bigint").alias("_n"))
+    events = cut(used.unionByName(lives))
+    total = events.agg(F.sum("_n")).first()[0] or 0
+    hot_rows = max(hot_rows, total // 2000)
+    left = cut(events.repartitionByRange(parts, "_key").sortWithinPartitions("_key").mapInArrow(_ranges, LEFT))
+
+    # References without a time take part in the join under a stand-in.
+    at = F.coalesce(micros(F.col("_period")), F.lit(-1))
+    found = join_unique(rows.withColumn("_at", at), left.withColumn("_at", F.coalesce("_at", F.lit(-1))), ["_key", "_at"], "_n", hot_rows)
+    t = micros(F.col("_t"))
+    known = F.size("_lives") <= LIVES
+    dead = found.where(F.col("_sure") | (known & ~F.exists("_lives", lambda x: (x["a"] <= t) & (t < x["z"]))))
+    columns = ["_id", "_key", "_t", "_period", "_first", "_known"]
+    dead = dead.select(*columns)
+    many = left.where(~F.col("_sure") & ~known)
+    if not many.isEmpty():
+        dead = dead.unionByName(_dead_at(found.where(~F.col("_sure") & ~known), many, hot_rows).select(*columns))
+    reason = F.when(~F.col("_known"), "missing").when(F.col("_first") > t, "late").otherwise("deleted")
+    return dead.select(F.col("_id").alias(ref_id), F.col("_key").alias("key"), F.col("_period").alias("period"), reason.alias("reason"))
+
+
+def _dead_at(rows: DataFrame, many: DataFrame, hot_rows: int) -> DataFrame:
+    """Of rows whose key has many lives in the period: those outside every one.
+
+    Lives and references form one stream of events by key and period; the latest end seen so far decides.
+    A hot key and period is dealt to several groups, each of which gets all its lives.
     """
     salts = F.ceil(F.col("_n") / F.lit(hot_rows)).cast("int")
-    lives = left.select("_key", "_period", salts.alias("_salts")).join(reg, "_key").where((F.col("_from") < end(F.col("_period"))) & (F.col("_to") > F.col("_period")))
-    lives = lives.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
-    none = {"_id": F.lit(None), "_first": F.lit(None).cast("timestamp"), "_known": F.lit(None).cast("boolean")}
-    events = lives.select("_key", "_period", "_salt", F.greatest("_from", "_period").alias("_t"), "_to", *[c.alias(k) for k, c in none.items()])
-    asked = rows.select("_key", "_period", F.pmod(F.xxhash64("_id"), salts).cast("int").alias("_salt"), "_t", F.lit(None).cast("timestamp").alias("_to"), "_id", "_first", F.lit(True).alias("_known"))
-    w = Window.partitionBy("_key", "_period", "_salt").orderBy("_t", F.col("_known").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    seen = asked.unionByName(events).withColumn("_until", F.max("_to").over(w))
-    return seen.where("_known and (_until is null or _until <= _t)").select("_id", "_key", "_t", "_period", "_first", "_known")
+    lives = many.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).select("_key", "_at", "_salt", F.explode("_lives").alias("_x"))
+    lives = lives.select("_key", "_at", "_salt", F.col("_x.a").alias("_when"), F.col("_x.z").alias("_until"), F.lit(False).alias("_asked"))
+    asked = rows.drop("_lives").withColumn("_salt", F.pmod(F.xxhash64("_id"), salts).cast("int")).withColumn("_when", F.unix_micros("_t")).withColumn("_asked", F.lit(True))
+    w = Window.partitionBy("_key", "_at", "_salt").orderBy("_when", "_asked").rowsBetween(Window.unboundedPreceding, 0)
+    seen = asked.unionByName(lives, allowMissingColumns=True).withColumn("_last", F.max("_until").over(w))
+    return seen.where("_asked and (_last is null or _last <= _when)")
 
 
 def orphan_report(orphans: DataFrame, table: str) -> DataFrame:

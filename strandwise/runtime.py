@@ -90,5 +90,7 @@ def join_unique(big: DataFrame, small: DataFrame, on: list[str], n_col: str, hot
     rows(big) / hot_rows of them, and callers let ``hot_rows`` grow with the input. The rest is an ordinary shuffle join.
     """
     hot = small.where(F.col(n_col) > hot_rows)
+    if hot.isEmpty():
+        return big.join(small, on, how)
     cold = small.where(F.col(n_col) <= hot_rows)
     return big.join(F.broadcast(hot), on, how).unionByName(big.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on, how))
