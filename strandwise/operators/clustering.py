@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from strandwise.operators.motifs import reverse_complement
 from strandwise.operators.ordering import ordered
-from strandwise.runtime import cut
+from strandwise.runtime import cut, partitions
 
 #: Profiles of a block; a task holds the products of two blocks.
 BLOCK = 512
@@ -27,6 +27,7 @@ def grams(kmers: DataFrame, k: int, directional: bool) -> DataFrame:
 def distances(kmers: DataFrame, k: int = 4, directional: bool = True) -> DataFrame:
     """``(a, b, distance)`` for a < b: 1 - p.q / (|p|^2 + |q|^2 - p.q); zeros become half the smallest positive one.
 
+    The whole matrix, as average linkage needs it, of a list of motifs; of large tables ``near_distances`` finds the pairs that are near.
     Profiles are dealt to blocks of about ``BLOCK`` and every two blocks meet in a task, which multiplies them: pairs don't shuffle, and no gram is a
     hot key. Pairs that share no gram have distance 1 and no row.
     """
@@ -38,6 +39,31 @@ def distances(kmers: DataFrame, k: int = 4, directional: bool = True) -> DataFra
     return met.groupBy("_i", "_j").applyInArrow(_products, "a string, b string, distance double")
 
 
+def near_distances(kmers: DataFrame, k: int = 4, directional: bool = True, at_most: float = 0.3) -> DataFrame:
+    """``(a, b, distance)`` for a < b of all pairs whose distance (as in ``distances``, but 0 for equal profiles) is ``at_most``, which is below 1.
+
+    Only likely pairs meet: with t = 1 - at_most, p.q >= t / (1 + t) * (|p|^2 + |q|^2) >= 2 t / (1 + t) * |p| |q|, so the first gram of two near profiles in a
+    common order can't lie in the tail of a profile whose norm is below 2 t / (1 + t) of the whole. Profiles are joined on the grams in front of their tails, rarest
+    grams first, and each pair is taken at its first common one. K-mers shorter than ``k`` have no grams and no row.
+    """
+    t = 1 - at_most
+    least = (2 * t / (1 + t)) ** 2
+    g = cut(grams(kmers.select("kmer").distinct(), k, directional))
+    often = g.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
+    x = F.array_sort(F.collect_list(F.struct("often", "gram", "n"))).alias("x")
+    profiles = g.join(often, "gram").groupBy("kmer").agg(x, F.sum(F.col("n") * F.col("n")).alias("norm"))
+    # Squared norm of the tail from each gram on; a gram is in front if what comes from it on is large enough.
+    tail = F.transform("x", lambda _, j: F.aggregate(F.slice("x", j + 1, F.size("x")), F.lit(0).cast("bigint"), lambda s, e: s + e["n"] * e["n"]))
+    front = F.transform(F.filter(F.arrays_zip("x", tail.alias("tail")), lambda e: e["tail"] >= F.col("norm") * (least - 1e-9)), lambda e: e["x"]["gram"])
+    rows = cut(profiles.select("kmer", "norm", front.alias("front"), F.map_from_entries(F.transform("x", lambda e: F.struct(e["gram"], e["n"]))).alias("of")))
+    side = lambda name: rows.select(F.explode("front").alias("gram"), *[F.col(c).alias(f"{name}_{c}") for c in rows.columns])
+    parts = partitions(kmers.sparkSession)
+    met = side("a").repartition(parts, "gram").join(side("b").repartition(parts, "gram"), "gram").where((F.col("a_kmer") < F.col("b_kmer")) & (F.get(F.array_intersect("a_front", "b_front"), F.lit(0)) == F.col("gram")))
+    dot = F.aggregate(F.map_entries("a_of"), F.lit(0).cast("bigint"), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at("b_of", e["key"]), F.lit(0)))
+    apart = met.select(F.col("a_kmer").alias("a"), F.col("b_kmer").alias("b"), dot.alias("dot"), (F.col("a_norm") + F.col("b_norm")).alias("both"))
+    return apart.select("a", "b", (1 - F.col("dot") / (F.col("both") - F.col("dot"))).alias("distance")).where(F.col("distance") <= at_most + 1e-9)
+
+
 def _products(group: pa.Table) -> pa.Table:
     """Distances within a block, or between the rows of two."""
     names = np.array(group["kmer"].to_pylist(), object)

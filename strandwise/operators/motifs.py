@@ -6,12 +6,12 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandwise.operators.suffixes import suffix_keys
-from strandwise.operators.text import AHEAD, text_at
+from strandwise.operators.suffixes import places_of
 from strandwise.runtime import cut
 
 #: Complements of bases; brackets of patterns turn round.
@@ -92,17 +92,16 @@ def as_matrix(long: DataFrame, name: str, values: list[str]) -> DataFrame:
 def locate(seqs: DataFrame, patterns: dict[str, list[str]], name: str, base: int = 1, show_match: bool = False, longest: bool = True, plain: bool = False) -> DataFrame:
     """``(seqid, <name>, location INT[, match])``: matches that don't overlap, cases alike, places from ``base``; ``match`` is in upper case.
 
-    Each pattern is a list of alternatives; ``longest`` tries longer ones first, else they go in sorted order. ``plain``: alternatives are
-    texts, not expressions. Sequences with a null id or text have no matches. The rows don't shuffle.
+    Each pattern is a list of alternatives. ``longest``: of the matches at the leftmost place the longest is taken, whatever alternatives
+    or groups it comes from; else the alternatives are tried in sorted order. ``plain``: alternatives are texts, not expressions. Sequences with a null id or text have no matches. The rows don't shuffle.
     """
     ready = []
     for label, members in patterns.items():
-        order = sorted(set(members), key=lambda m: (-len(m), m)) if longest else sorted(set(members))
-        ready.append((label, "|".join(re.escape(m) if plain else m for m in order)))
+        ready.append((label, "|".join(re.escape(m) if plain else m for m in sorted(set(members)))))
     schema = T.StructType([T.StructField("seqid", T.StringType()), T.StructField(name, T.StringType()), T.StructField("location", T.IntegerType()), *([T.StructField("match", T.StringType())] if show_match else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = [(label, re.compile(p, re.IGNORECASE)) for label, p in ready]
+        compiled = [(label, regex.compile(p, regex.IGNORECASE | (regex.POSIX if longest else 0))) for label, p in ready]
         for batch in batches:
             rows = []
             for seq_id, seq in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -122,7 +121,7 @@ def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 
 
 def regex_locate(seqs: DataFrame, patterns: list[str], **how) -> DataFrame:
-    return locate(seqs, {p: p.split("|") if not re.search(r"[()\[\]\\]", p) else [p] for p in patterns}, "regex", **how)
+    return locate(seqs, {p: [p] for p in patterns}, "regex", **how)
 
 
 def locate_kmers(seqs: DataFrame, kmers: list[str], directional: bool = True, **how) -> DataFrame:
@@ -152,29 +151,6 @@ def prune_intervals(rows: DataFrame, start: str = "s", end: Column | None = None
     return base.join(kept, ["_s", "_e"]).where(F.col(key) == F.col("_keep")).drop("_s", "_e", "_keep")
 
 
-def places_of(kmers: DataFrame, blocks: DataFrame) -> DataFrame:
-    """``(_at BIGINT, _new STRING)``: every place of the text where one of ``kmers(kmer)``, distinct and not empty, stands.
-
-    K-mers meet the text by an equi-join on their first letters, as many as the power of two below their length, up to ``AHEAD``: a few joins whatever
-    the lengths. The rest is compared piece by piece of ``AHEAD`` letters, each piece only where all before it agreed.
-    """
-    n = F.length("kmer")
-    wanted = cut(kmers.select(F.col("kmer").alias("_new"), n.alias("_size"), F.expr(f"cast(pow(2, least(floor(log2(length(kmer) + 0.5)), {AHEAD.bit_length() - 1})) as int)").alias("_first")))
-    sizes = sorted((r._first, r.n) for r in wanted.groupBy("_first").agg(F.max("_size").alias("n")).collect())
-    out, text = None, suffix_keys(blocks, AHEAD).select(F.col("s").alias("_at"), "key")
-    for first, longest in sizes:
-        here = wanted.where(F.col("_first") == first).withColumn("_k", F.col("_new").substr(1, first))
-        met = text.withColumn("_k", F.col("key").substr(1, first)).join(here, "_k").where(F.startswith("key", F.col("_new").substr(1, AHEAD))).select("_at", "_new", "_size")
-        for done in range(AHEAD, longest, AHEAD):
-            met = cut(met)
-            rest = text_at(met.where(F.col("_size") > done).withColumn("_next", F.col("_at") + done), blocks, "_next", F.least(F.lit(AHEAD), F.col("_size") - done), "_t")
-            met = met.where(F.col("_size") <= done).unionByName(rest.where(F.col("_t") == F.col("_new").substr(done + 1, AHEAD)).select("_at", "_new", "_size"))
-        out = met if out is None else out.unionByName(met)
-    if out is None:
-        return text.select("_at", F.lit("").alias("_new")).limit(0)
-    return cut(out.select("_at", "_new"))
-
-
 def extend_kmers(table: DataFrame, blocks: DataFrame, suffixes: DataFrame, compatible: bool = False) -> DataFrame:
     """Lengthen k-mers to longer ones of the same table that stand around them in the text.
 

@@ -11,46 +11,80 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from strandwise.runtime import cut, partitions
 
 
 def ordered(df: DataFrame, keys: list[str], then: list[str] = (), keep: list[str] | None = None) -> DataFrame:
-    """The rows with ``pos``, their 0-based place in the order of ``keys`` (then of ``then``), and ``first``, the place of the first row with equal keys.
+    """The rows with ``pos``, their 0-based place in the order of ``keys`` (then of ``then``), ``first``, the place of the first row with equal keys, and ``tied``, whether there are others.
 
-    Range-partitioned and sorted; each task numbers its rows and the rows before a task come from the tasks' counts (one row a task).
-    Rows with equal keys share a range, so none crosses tasks. Nulls come first.
+    Range-partitioned by ``keys`` and ``then`` and sorted, so rows with equal keys may fill several tasks if ``then`` tells them apart. Each task numbers its rows and
+    tells how many there are and its first and last keys, two rows a task; from these the driver makes out what goes before a task and which runs of equal keys
+    go on from one task to the next. Nulls come first.
     """
     columns = df.columns if keep is None else keep
     parts = partitions(df.sparkSession)
-    ranged = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys, *then).select(*columns, *[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)])
-    fields = [T.StructField("_task", T.IntegerType()), T.StructField("_row", T.LongType()), T.StructField("_first", T.LongType())]
-    schema = T.StructType([*[df.schema[c] for c in columns], *fields])
-    width = len(columns)
+    ranged = df.repartitionByRange(parts, *keys, *then).sortWithinPartitions(*keys, *then).select(*columns, *[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)])
+    fields = [T.StructField("_task", T.IntegerType()), T.StructField("_row", T.LongType()), T.StructField("_first", T.LongType()), T.StructField("_tied", T.BooleanType())]
+    edges = [T.StructField(f"_k{n}", df.schema[k].dataType) for n, k in enumerate(keys)]
+    schema = T.StructType([*[T.StructField(c, df.schema[c].dataType) for c in columns], *fields, *edges])
+    width, arrow = len(columns), to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, seen, begin, last = TaskContext.get().partitionId(), 0, 0, None
+        task, seen, begin, held, head = TaskContext.get().partitionId(), 0, 0, None, None
+
+        def told(batch: pa.RecordBatch, first: np.ndarray, tied: np.ndarray) -> pa.RecordBatch:
+            """All rows but the last, which waits for the next batch."""
+            n = batch.num_rows - 1
+            none = [pa.nulls(n, f.type) for f in arrow][width + len(fields) :]
+            made = [pa.array(np.full(n, task, np.int32)), pa.array(seen + np.arange(n)), pa.array(first[:n]), pa.array(tied[:n])]
+            return pa.RecordBatch.from_arrays([*[c.slice(0, n) for c in batch.columns[:width]], *made, *none], schema=arrow)
+
+        joined, reached = False, 0  # whether the row held is tied to the one before, and its first
         for batch in batches:
-            n = batch.num_rows
-            if not n:
+            if not batch.num_rows:
                 continue
-            new = np.zeros(n, bool)
-            new[0] = last is None or any(batch.column(width + k)[0].as_py() != last[k] for k in range(len(keys)))
-            for k in range(len(keys)):
-                c = batch.column(width + k)
-                a, b = c.slice(1), c.slice(0, n - 1)
-                same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
-                new[1:] |= ~np.asarray(same)
-            rows = seen + np.arange(n)
-            first = np.maximum.accumulate(np.where(new, rows, begin))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(np.full(n, task, np.int32)), pa.array(rows), pa.array(first)], names=schema.names)
-            begin, seen, last = int(first[-1]), seen + n, [batch.column(width + k)[n - 1].as_py() for k in range(len(keys))]
+            if held is None:
+                head = [c[0].as_py() for c in batch.columns[width:]]
+            else:
+                batch = pa.Table.from_batches([held, batch.cast(held.schema)]).combine_chunks().to_batches()[0]
+            n = batch.num_rows
+            new = np.ones(n, bool)
+            new[0] = not joined
+            same = np.ones(n - 1, bool)
+            for c in batch.columns[width:]:
+                x, y = c.slice(1), c.slice(0, n - 1)
+                same &= pc.or_(pc.fill_null(pc.equal(x, y), False), pc.and_(pc.is_null(x), pc.is_null(y))).to_numpy(zero_copy_only=False)
+            new[1:] = ~same
+            first = np.maximum.accumulate(np.where(new, seen + np.arange(n), reached))
+            tied = ~new
+            tied[:-1] |= same
+            if n > 1:
+                yield told(batch, first, tied)
+            held, joined, reached = batch.slice(n - 1), bool(tied[-1]), int(first[-1])
+            seen += n - 1
+        if held is not None:
+            last = [c[0].as_py() for c in held.columns[width:]]
+            final = [[held.columns[k][0].as_py(), None, None] for k in range(width)]
+            rows = [*final, [task] * 3, [seen, -1, -2], [reached, seen + 1, reached], [joined, None, None], *[[None, h, t] for h, t in zip(head, last)]]
+            yield pa.RecordBatch.from_arrays([pa.array(r, f.type) for r, f in zip(rows, arrow)], schema=arrow)
 
     numbered = cut(ranged.mapInArrow(run, schema))
-    counts = sorted((r._task, r.n) for r in numbered.groupBy("_task").agg(F.count(F.lit(1)).alias("n")).collect())
-    before, total = [], 0
-    for task, n in counts:
-        before.append((task, total))
+    ends: dict[int, dict] = {}
+    for r in numbered.where("_row < 0").select("_task", "_row", "_first", *[e.name for e in edges]).collect():
+        ends.setdefault(r._task, {})[r._row] = (r._first, tuple(r[3:]))
+    plan, total, tail = [], 0, None  # tail: keys of the last row so far and the place of the first row with them
+    for task in sorted(ends):
+        (n, head), (begin, last) = ends[task][-1], ends[task][-2]
+        carry = tail[1] if tail is not None and tail[0] == head else None
+        if carry is not None:
+            plan[-1][3] = tail[2]
+        tail = (last, carry if carry is not None and begin == 0 else total + begin, begin)
+        plan.append([task, total, carry, None])
         total += n
-    offsets = df.sparkSession.createDataFrame(before, "_task int, _before bigint")
-    return numbered.join(F.broadcast(offsets), "_task").select(*columns, (F.col("_before") + F.col("_row")).alias("pos"), (F.col("_before") + F.col("_first")).alias("first"))
+    offsets = df.sparkSession.createDataFrame(plan, "_task int, _before bigint, _carry bigint, _tail bigint")
+    carried = (F.col("_first") == 0) & F.col("_carry").isNotNull()
+    first = F.when(carried, F.col("_carry")).otherwise(F.col("_before") + F.col("_first"))
+    tied = F.col("_tied") | carried | F.coalesce(F.col("_first") == F.col("_tail"), F.lit(False))
+    return numbered.where("_row >= 0").join(F.broadcast(offsets), "_task").select(*columns, (F.col("_before") + F.col("_row")).alias("pos"), first.alias("first"), tied.alias("tied"))

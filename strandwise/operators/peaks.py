@@ -62,11 +62,9 @@ def kmer_lengths(rows: DataFrame, suffixes: DataFrame, blocks: DataFrame, half:
 
     The sum runs over the window's ranks but its own and is divided by 2 * half also where the text's ends cut the window. Null if half is 0.
     """
-    if kmax > AHEAD:
-        raise ValueError(f"kmax is at most {AHEAD}")
     near = rows.select("i").distinct().withColumn("j", F.explode(F.sequence(F.col("i") - half, F.col("i") + half)))
     pairs = near.join(suffixes.select(F.col("i").alias("j"), F.col("s")), "j")
-    texts = cut(text_at(pairs, blocks, "s", F.lit(kmax), "t"))
+    texts = cut(text_at(pairs, blocks, "s", kmax, "t"))
     own = texts.where("i = j").select("i", F.col("t").alias("own"))
     # Letters until the first difference: agreement of ever longer prefixes, summed.
     common = F.aggregate(F.sequence(F.lit(1), F.lit(kmax)), F.lit(0), lambda n, k: F.when((n == k - 1) & (F.length("t") >= k) & (F.length("own") >= k) & (F.col("t").substr(k, F.lit(1)) == F.col("own").substr(k, F.lit(1))), k).otherwise(n))
@@ -78,7 +76,7 @@ def kmer_lengths(rows: DataFrame, suffixes: DataFrame, blocks: DataFrame, half:
 def described(rows: DataFrame, x: dict, suffixes: DataFrame, blocks: DataFrame, kmax: int) -> DataFrame:
     """Rows ``(i, s, b, windowed, gini, spatial_windowed, spatial_gini)`` as the table of peaks; the k-mer has round(khat) letters, halves up, and may run into the next block."""
     long = kmer_lengths(rows, suffixes, blocks, x["half_window"], kmax)
-    named = text_at(long, blocks, "s", F.coalesce(F.round("khat"), F.lit(0)).cast("int"), "kmer")
+    named = text_at(long, blocks, "s", F.coalesce(F.round("khat"), F.lit(0)).cast("int"), "kmer", short=kmax <= AHEAD)
     return _table(named, x, blocks, kmax)
 
 
@@ -147,17 +145,15 @@ def merged_intervals(rows: DataFrame, n: int) -> DataFrame:
 def merged_sub_peaks(suffixes: DataFrame, blocks: DataFrame, grid: DataFrame, limits: DataFrame | None, peakify: bool = True, kmax: int = 12) -> DataFrame:
     """Merged intervals of the sub-peaks of every parameter row, as a table of peaks: values of the interval's first place, ``kmer`` its whole text.
 
-    Intervals are cut into look-ahead pieces and joined again, so they may be of any length.
+    Intervals may be of any length.
     """
     parts = []
     for x, rows, median in stages(suffixes, blocks, grid, limits):
         inner = cut(sub_peaks(call_peaks(rows, x, median, peakify), rows, x))
         long = cut(kmer_lengths(inner, suffixes, blocks, x["half_window"], kmax))
         spans = merged_intervals(long, x["n"])
-        pieces = spans.withColumn("_at", F.explode(F.sequence("s_start", F.greatest(F.col("s_start"), F.col("s_end") - 1), F.lit(AHEAD))))
-        texts = text_at(pieces, blocks, "_at", F.least(F.lit(AHEAD), F.col("s_end") - F.col("_at")), "_t")
-        joined = texts.groupBy("s_start").agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("_at", "_t"))), lambda p: p["_t"])).alias("kmer"))
-        parts.append(_table(long.join(joined.withColumnRenamed("s_start", "s"), "s"), x, blocks, kmax))
+        joined = text_at(spans.withColumnRenamed("s_start", "s"), blocks, "s", F.col("s_end") - F.col("s"), "kmer").select("s", "kmer")
+        parts.append(_table(long.join(joined, "s"), x, blocks, kmax))
     return _united(parts)
 
 

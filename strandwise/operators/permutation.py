@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,11 +11,11 @@ from pyspark.sql import functions as F
 
 from strandwise.operators.filters import gini_mask, grid_rows, median_gini, relative_gini
 from strandwise.operators.ordering import ordered
-from strandwise.operators.smoothing import ROWS, _chunked, smooth, smooth_spatial
+from strandwise.operators.smoothing import ROWS, _chunked, haloed, smooth, smooth_spatial
 from strandwise.runtime import cut
 
 #: Repetitions computed in one pass over the suffixes; bounds the width of a row.
-REPS_AT_ONCE = 32
+REPS_AT_ONCE = 128
 
 
 class JavaRandom:
@@ -54,7 +53,7 @@ def java_permutations(reps: int, n: int, seed: int) -> list[list[int]]:
 def permutations(blocks: DataFrame, reps: int, seed: int, compatible: bool = False) -> DataFrame:
     """``(rep INT, b BIGINT, score DOUBLE)``: in every repetition the scores dealt anew to the blocks.
 
-    Each repetition ranks the blocks by a hash of (seed, rep, b) and gives rank p the score of block p; one range sort for all.
+    Each repetition ranks the blocks by the md5 of ``seed:rep:b``, which others can compute as well, and gives rank p the score of block p; one range sort for all.
     ``compatible`` repeats java.util shuffles of small block tables instead (refused above 100,000 blocks: they are sequential).
     """
     spark = blocks.sparkSession
@@ -66,90 +65,115 @@ def permutations(blocks: DataFrame, reps: int, seed: int, compatible: bool = Fal
         dealt = spark.createDataFrame([(rep, b, to) for rep, row in enumerate(java_permutations(reps, n, seed)) for b, to in enumerate(row)], "rep int, b bigint, to bigint")
         return dealt.join(base, "b").select("rep", F.col("to").alias("b"), "score")
     each = base.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    hashed = ordered(each.select("rep", "b", F.xxhash64(F.lit(seed), "rep", "b").alias("h")), ["rep", "h", "b"])
+    hashed = ordered(each.select("rep", "b", F.md5(F.concat_ws(":", F.lit(seed), "rep", "b")).alias("h")), ["rep", "h", "b"], keep=["rep", "b"])
     first = hashed.groupBy("rep").agg(F.min("pos").alias("base"))
     return hashed.join(F.broadcast(first), "rep").select("rep", F.col("b").alias("to"), (F.col("pos") - F.col("base")).alias("b")).join(base, "b").select("rep", F.col("to").alias("b"), "score")
 
 
-def _null_windows(dealt: DataFrame, half: int, n: int, reps: int, rows: int = ROWS) -> DataFrame:
-    """``(i, s, m ARRAY<FLOAT>)``: the windowed mean of each repetition at each rank."""
-    width = 2 * half + 1
-
-    def kernel(table: pa.Table, low: int, high: int) -> pa.Table:
-        i = table.column("i").to_numpy()
-        values = table.column("scores").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(i), reps)
-        sums = np.concatenate([np.zeros((1, reps)), np.cumsum(values, axis=0, dtype=np.float64)])
-        centre = np.clip(i[low:high], half, n - 1 - half) - i[0]
-        mean = np.round((sums[centre + half + 1] - sums[centre - half]) / width, 9).astype(np.float32)
-        return table.slice(low, high - low).select(["i", "s"]).append_column("m", _rows(mean))
-
-    return _chunked(dealt.select("i", "s", "scores"), "i", 2 * half, 2 * half, kernel, "i bigint, s bigint, m array<float>", rows)
-
+def _rows(matrix: np.ndarray) -> pa.Array:
+    n, width = matrix.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(matrix.ravel()), type=pa.list_(pa.field("element", pa.float32())))
 
-def _null_spatial(null: DataFrame, length: int, n: int, reps: int, rows: int = ROWS) -> DataFrame:
-    def kernel(table: pa.Table, low: int, high: int) -> pa.Table:
-        s = table.column("s").to_numpy()
-        values = table.column("m").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(s), reps)
-        sums = np.concatenate([np.zeros((1, reps)), np.cumsum(values, axis=0, dtype=np.float64)])
-        begin = np.minimum(s[low:high], n - length) - s[0]
-        mean = np.round((sums[begin + length] - sums[begin]) / length, 9).astype(np.float32)
-        return table.slice(low, high - low).select(["i", "s"]).append_column("m", _rows(mean))
 
-    return _chunked(null.select("i", "s", "m"), "s", length, length, kernel, "i bigint, s bigint, m array<float>", rows)
+def _means(values: np.ndarray, begin: np.ndarray, width: int) -> np.ndarray:
+    """Means of ``width`` rows from each of ``begin`` on."""
+    sums = np.concatenate([np.zeros((1, values.shape[1])), np.cumsum(values, axis=0, dtype=np.float64)])
+    return np.round((sums[begin + width] - sums[begin]) / width, 9).astype(np.float32)
 
 
-def _rows(matrix: np.ndarray) -> pa.Array:
-    n, width = matrix.shape
-    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(matrix.ravel()), type=pa.list_(pa.field("element", pa.float32())))
+def _most(values: np.ndarray, ok: np.ndarray) -> np.ndarray:
+    return values[ok].max(axis=0) if ok.any() else np.full(values.shape[1], -np.inf, np.float32)
 
 
-def _maxima(null: DataFrame, reps: int, first: int) -> DataFrame:
-    """``(rep, max)`` of the columns of ``m``: each task sends one row."""
+def _null_windows(flags: DataFrame, arrays: DataFrame, half: int, n: int, filters: list[int], values: bool, rows: int) -> DataFrame:
+    """``(s, ok, m ARRAY<FLOAT>)``: the windowed means of all repetitions at each place (only if ``values``), and of every chunk of ranks and filter f the largest that aren't masked, under s = -1 - f.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        most = np.full(reps, -np.inf)
-        for batch in batches:
-            if batch.num_rows:
-                most = np.maximum(most, batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, reps).max(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + reps, dtype=np.int32)), pa.array(most.astype(np.float32))], names=["rep", "max"])
+    ``flags(i, s, b, ok)``: bit f of ok is set where filter f doesn't mask the row. Of each chunk and block that it has the permuted scores ``arrays(b, scores)`` come once.
+    """
+    chunk = haloed(flags.select("i", "s", "b", "ok"), "i", 2 * half, 2 * half, rows)
+    dealt = chunk.select(F.col("_c").alias("_d"), F.col("b").alias("_b")).distinct().join(arrays.select(F.col("b").alias("_b"), "scores"), "_b")
+    schema = pa.schema([("s", pa.int64()), ("ok", pa.int32()), ("m", pa.list_(pa.field("element", pa.float32())))])
+
+    def run(key: tuple, table: pa.Table, scores: pa.Table) -> pa.Table:
+        c = key[0].as_py()
+        table = table.sort_by("i")
+        i, b = table.column("i").to_numpy(), table.column("b").to_numpy()
+        low, high = np.searchsorted(i, [c * rows, (c + 1) * rows])
+        if low == high:
+            return schema.empty_table()
+        known = scores.column("_b").to_numpy()
+        order = np.argsort(known)
+        matrix = scores.column("scores").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(known), -1)
+        dealt = matrix[order[np.searchsorted(known[order], b)]]
+        mean = _means(dealt, np.clip(i[low:high], half, n - 1 - half) - half - i[0], 2 * half + 1)
+        ok = table.column("ok").to_numpy()[low:high]
+        s, most = np.array([-1 - f for f in filters], np.int64), np.stack([_most(mean, (ok >> f & 1).astype(bool)) for f in filters])
+        if values:
+            s, most, ok = np.concatenate([s, table.column("s").to_numpy()[low:high]]), np.concatenate([most, mean]), np.concatenate([np.zeros(len(filters), ok.dtype), ok])
+        else:
+            ok = np.zeros(len(filters), np.int32)
+        return pa.Table.from_arrays([pa.array(s), pa.array(ok.astype(np.int32)), _rows(most)], schema=schema)
+
+    return chunk.groupBy("_c").cogroup(dealt.groupBy("_d")).applyInArrow(run, "s bigint, ok int, m array<float>")
+
+
+def _null_spatial(null: DataFrame, length: int, n: int, filters: list[int], rows: int) -> DataFrame:
+    """``(f, m)``: of every chunk of places and filter the largest spatial means that aren't masked."""
 
-    return null.select("m").mapInArrow(run, "rep int, max float").groupBy("rep").agg(F.max("max").alias("max"))
+    def kernel(table: pa.Table, low: int, high: int) -> pa.Table:
+        s, ok = table.column("s").to_numpy(), table.column("ok").to_numpy()[low:high]
+        values = table.column("m").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(s), -1)
+        mean = _means(values, np.minimum(s[low:high], n - length) - s[0], length)
+        return pa.table({"f": pa.array(filters, pa.int32()), "m": _rows(np.stack([_most(mean, (ok >> f & 1).astype(bool)) for f in filters]))})
+
+    return _chunked(null.where("s >= 0"), "s", length, length, kernel, "f int, m array<float>", rows)
+
+
+def _unmasked(base: DataFrame, median: float | None, filters: list[dict], n: int) -> DataFrame:
+    """``(i, s, b, ok)``: bit f of ok is set where neither Gini test of filter f masks the row."""
+    out = base.select("i", "s", "b", F.lit(0).alias("ok"))
+    for k, length in enumerate(dict.fromkeys(x["spatial_length"] for x in filters)):
+        wide, bits = smooth_spatial(base, length, n), F.lit(0)
+        for x in (x for x in filters if x["spatial_length"] == length):
+            mask = gini_mask(relative_gini(median, x["min_gini"]), relative_gini(median, x["min_spatial_gini"]), length > 1)
+            bits = bits.bitwiseOR(F.when(F.coalesce(mask, F.lit(False)), 0).otherwise(1 << x["f"]))
+        part = wide.select("i", "s", "b", bits.cast("int").alias("_bits"))
+        out = part.withColumnRenamed("_bits", "ok") if k == 0 else out.join(part.select("i", "_bits"), "i").withColumn("ok", F.col("ok").bitwiseOR(F.col("_bits"))).drop("_bits")
+    return out
 
 
-def permutation_distribution(suffixes: DataFrame, blocks: DataFrame, grid: DataFrame, perms: DataFrame, reps: int, smoothed: dict[int, DataFrame] | None = None, rows: int = ROWS) -> DataFrame:
+def permutation_distribution(suffixes: DataFrame, blocks: DataFrame, grid: DataFrame, perms: DataFrame, reps: int, smoothed: dict[int, DataFrame] | None = None, rows: int = ROWS // 2) -> DataFrame:
     """``(f INT, rep INT, max_windowed FLOAT, max_spatial FLOAT)``: per parameter row and repetition the largest smoothed values of permuted scores.
 
     Rows masked by either Gini test count for neither maximum; all masked gives -infinity; ``max_spatial`` is null where spatial
-    smoothing isn't active. Gini and mask are computed once for each parameter row; repetitions go through the suffixes in groups of ``REPS_AT_ONCE``, permuted
-    scores joined by block, and only maxima leave a task.
+    smoothing isn't active. Gini and masks are computed once for each half window; repetitions go through the suffixes in groups of ``REPS_AT_ONCE``, permuted
+    scores come to a chunk once for each block, and only maxima leave the last tasks.
     """
     n = suffixes.count()
     scored = suffixes.join(blocks.select("b", "score"), "b")
-    found, cache = None, dict(smoothed or {})
     filters = grid_rows(grid)
+    if len(filters) > 31:
+        raise ValueError("a grid has at most 31 rows; larger ones are worked on in parts")
+    flags: dict[int, DataFrame] = {}
+    for half in dict.fromkeys(x["half_window"] for x in filters):
+        base = (smoothed or {}).get(half)
+        base = cut(smooth(scored, half, n)) if base is None else base
+        flags[half] = cut(_unmasked(base, median_gini(base), [x for x in filters if x["half_window"] == half], n))
+    found = None
     for first in range(0, reps, REPS_AT_ONCE):
         many = min(REPS_AT_ONCE, reps - first)
-        arrays = perms.where((F.col("rep") >= first) & (F.col("rep") < first + many)).groupBy("b").agg(F.transform(F.array_sort(F.collect_list(F.struct("rep", "score"))), lambda x: x["score"]).alias("scores"))
-        dealt = suffixes.select("i", "s", "b").join(arrays, "b")
-        for half in dict.fromkeys(x["half_window"] for x in filters):
-            null = cut(_null_windows(dealt, half, n, many, rows))
-            if half not in cache:
-                cache[half] = cut(smooth(scored, half, n, rows))
-            median = median_gini(cache[half])
-            for length in dict.fromkeys(x["spatial_length"] for x in filters if x["half_window"] == half):
-                spatial = length > 1
-                wide = smooth_spatial(cache[half], length, n, rows)
-                for x in (x for x in filters if (x["half_window"], x["spatial_length"]) == (half, length)):
-                    mask = gini_mask(relative_gini(median, x["min_gini"]), relative_gini(median, x["min_spatial_gini"]), spatial)
-                    passed = wide.where(~mask).select("i")
-                    part = _maxima(null.join(passed, "i"), many, first).withColumnRenamed("max", "max_windowed")
-                    if spatial:
-                        part = part.join(_maxima(_null_spatial(null, length, n, many, rows).join(passed, "i"), many, first).withColumnRenamed("max", "max_spatial"), "rep")
-                    else:
-                        part = part.withColumn("max_spatial", F.lit(None).cast("float"))
-                    part = part.select(F.lit(x["f"]).alias("f"), "rep", "max_windowed", "max_spatial")
-                    found = part if found is None else found.unionByName(part)
-    return found
+        arrays = cut(perms.where((F.col("rep") >= first) & (F.col("rep") < first + many)).groupBy("b").agg(F.transform(F.array_sort(F.collect_list(F.struct("rep", "score"))), lambda x: x["score"]).alias("scores")))
+        for half, ok in flags.items():
+            mine = [x for x in filters if x["half_window"] == half]
+            lengths = dict.fromkeys(x["spatial_length"] for x in mine if x["spatial_length"] > 1)
+            null = cut(_null_windows(ok, arrays, half, n, [x["f"] for x in mine], bool(lengths), rows))
+            parts = [null.where("s < 0").select((-1 - F.col("s")).cast("int").alias("f"), "m", F.lit("max_windowed").alias("kind"))]
+            for length in lengths:
+                parts.append(_null_spatial(null, length, n, [x["f"] for x in mine if x["spatial_length"] == length], rows).withColumn("kind", F.lit("max_spatial")))
+            for part in parts:
+                part = part.select("f", "kind", F.posexplode("m").alias("rep", "max")).groupBy("f", "kind", "rep").agg(F.max("max").alias("max")).withColumn("rep", F.col("rep") + first)
+                found = part if found is None else found.unionByName(part)
+    return found.groupBy("f", "rep").pivot("kind", ["max_windowed", "max_spatial"]).agg(F.max("max"))
 
 
 def thresholds(permdist: DataFrame, n_sigma: float = 4.0) -> DataFrame:
@@ -195,12 +219,29 @@ def false_positive_rate(permdist: DataFrame, limits: DataFrame, level: float = 0
     return spark.createDataFrame([(fp, n, fp / n if n else None, lower, upper)], "fp bigint, n bigint, mean double, lower double, upper double")
 
 
+def estimate_false_positive_rate(suffixes: DataFrame, blocks: DataFrame, grid: DataFrame, limits: DataFrame, reps: int, seed: int, level: float = 0.95, compatible: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(``false_positive_rate`` of thresholds ``limits`` under new permutations, their distribution). ``seed`` should differ from that of the thresholds' permutations."""
+    perms = cut(permutations(blocks, reps, seed, compatible))
+    null = cut(permutation_distribution(suffixes, blocks, grid, perms, reps))
+    return false_positive_rate(null, limits, level), null
+
+
 def zrank(peaks: DataFrame, permdist: DataFrame, grid: DataFrame, best_only: bool = True) -> DataFrame:
     """``(kmer, half_window, min_gini, zmax)``: the largest (windowed - mean) / sd of each k-mer against its parameter row without spatial smoothing; ``best_only`` keeps each k-mer's best row."""
     null = permdist.groupBy("f").agg(F.avg("max_windowed").alias("mean"), F.stddev_samp("max_windowed").alias("sd"))
-    level = F.broadcast(null.join(grid.where("spatial_length < 2"), "f").select("half_window", "min_gini", "mean", "sd"))
+    return _zrank(peaks, null.join(grid.where("spatial_length < 2"), "f"), best_only)
+
+
+def zrank_selection(peaks: DataFrame, null: DataFrame, best_only: bool = True) -> DataFrame:
+    """``zrank`` of the tables of a selection run: peaks and maxima (``halfWindow, minGini, .., max``) without spatial smoothing."""
+    named = [F.col("halfWindow").alias("half_window"), F.col("minGini").alias("min_gini")]
+    return _zrank(peaks.select("kmer", *named, "windowed"), null.groupBy(*named).agg(F.avg("max").alias("mean"), F.stddev_samp("max").alias("sd")), best_only)
+
+
+def _zrank(peaks: DataFrame, level: DataFrame, best_only: bool) -> DataFrame:
+    level = F.broadcast(level.select("half_window", "min_gini", "mean", "sd"))  # a grid of parameters
     z = peaks.join(level, ["half_window", "min_gini"]).groupBy("kmer", "half_window", "min_gini").agg(F.max((F.col("windowed") - F.col("mean")) / F.col("sd")).alias("zmax"))
     if not best_only:
         return z
-    w = Window.partitionBy("kmer").orderBy(F.desc("zmax"), "half_window", "min_gini")
-    return z.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    best = F.min_by(F.struct("half_window", "min_gini", "zmax"), F.struct(-F.col("zmax"), "half_window", "min_gini")).alias("_b")
+    return z.groupBy("kmer").agg(best).select("kmer", "_b.half_window", "_b.min_gini", "_b.zmax")

@@ -1,6 +1,5 @@
 """Queries of the motif engine over the blocks, peaks and scores tables, with the same in SQL where SQL can say it."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandwise import sinks, sources
@@ -8,9 +7,13 @@ from strandwise.operators import clustering, filters, motifs, peaks, permutation
 from strandwise.runtime import bare, cut, fresh_path, kept
 from strandwise.sources import table
 
-HALF, LENGTH, THETA, KMAX, REPS, SEED = 4, 3, 0.8, 12, 10, 123
+HALF, LENGTH, THETA, KMAX, REPS, SEED, TEST_SEED, SIGMA = 4, 3, 0.8, 12, 100, 123, 321, 0.0
+#: The grid of the queries from scores to peaks: two half windows, without and with spatial smoothing.
+HALVES, LENGTHS = (4, 8), (0, 3)
 PATTERNS = ["CATACTGAGA", "TACTGA", "AAAA", "ACGT", "TT[AC]G"]
 MOTIFS = ["CATACTGAGA", "TACTGA", "ACGT", "AAAA", "GATTACA"]
+#: Letters of the long k-mers that are looked for.
+LONG = (65, 100, 400)
 CLUSTERS = {"tata": ["TATAAA", "TATA", "TATATA"], "ctgag": ["CTGAG", "TGAGA", "ACTGA"]}
 
 
@@ -35,7 +38,7 @@ def _suffixes(spark, d):
         b = cut(_aligned(spark, d))
         return b, cut(suffixes.suffix_order(b))
 
-    return kept(spark, "suffixes", d, make)
+    return kept("suffixes", table(spark, d, "blocks"), make)
 
 
 def _smooth(b, sx, half):
@@ -77,9 +80,19 @@ def c_kmer_at(spark, d):
     return text.text_at(rows, _stored(spark, d), "s", F.col("kmax"), "letters").select("peak_id", "s", "letters")
 
 
+def c_kmer_around(spark, d):
+    """Twenty letters before each peak and two hundred behind it."""
+    rows = table(spark, d, "peaks").select("peak_id", "s").distinct()
+    return text.text_at(rows, _stored(spark, d), "s", 200, "letters", from_=-20).select("peak_id", "s", "letters")
+
+
 def d_find_kmer(spark, d):
+    """Short motifs, and the first letters of the first blocks that have as many."""
     b, sx = _suffixes(spark, d)
-    return suffixes.find_kmer(b, sx, spark.createDataFrame([(m,) for m in ["", *MOTIFS]], "kmer string"))
+    asked = spark.createDataFrame([(m,) for m in ["", *MOTIFS]], "kmer string")
+    for n in LONG:
+        asked = asked.unionByName(b.where(F.col("len") >= n).agg(F.min_by(F.col("seq").substr(1, n), "b").alias("kmer")))
+    return suffixes.find_kmer(b, sx, asked)
 
 
 def e_smooth(spark, d):
@@ -144,8 +157,9 @@ def f_peaks_spatial(spark, d):
 
 
 def f_block_info(spark, d):
+    """Every place of the blocks in which intervals of selected peaks begin."""
     b, sx = _suffixes(spark, d)
-    return _rounded(peaks.block_info(sx, b, b.select("seq_id"), _grid(spark), None, KMAX))
+    return _rounded(peaks.block_info(sx, b, g_selected(spark, d).select(F.col("block").alias("seq_id")), _grid(spark), None, KMAX))
 
 
 def g_merged(spark, d):
@@ -168,52 +182,76 @@ def g_islands(spark, d):
     return peaks.islands(rows, "s").groupBy("island").agg(F.count(F.lit(1)).alias("n")).select(F.col("island").alias("s_start"), (F.col("island") + F.col("n")).alias("s_end"))
 
 
-def h_permutation_distribution(spark, d):
+def _wide(spark):
+    return filters.parameter_grid(spark, list(HALVES), list(LENGTHS), [1.1])
+
+
+def _null(spark, d, seed=SEED):
+    """The distribution of maxima under permuted scores, on the grid; shared by the queries of a session."""
     b, sx = _suffixes(spark, d)
-    grid = filters.parameter_grid(spark, [HALF], [0, LENGTH], [1.1])
-    return permutation.permutation_distribution(sx, b, grid, cut(permutation.permutations(b, REPS, SEED)), REPS)
+    make = lambda: cut(permutation.permutation_distribution(sx, b, _wide(spark), cut(permutation.permutations(b, REPS, seed)), REPS))
+    return kept(f"null {seed}", table(spark, d, "blocks"), make)
 
 
-def h_permutations(spark, d):
-    """How often each score was dealt in every repetition: as often as it is there."""
-    b = cut(_aligned(spark, d))
-    return permutation.permutations(b, REPS, SEED).groupBy("rep", "score").agg(F.count(F.lit(1)).alias("n"))
+def _selecting(spark, d):
+    return cut(permutation.thresholds(_null(spark, d), SIGMA))
 
 
-def _maxima(spark, d):
-    """Largest windowed values of every run and month, in the shape of a permutation distribution."""
-    rows = table(spark, d, "peaks").where("windowed is not null and not isnan(windowed)")
-    f = (F.dense_rank().over(Window.orderBy("halfwindow", "spatiallength")) - 1).cast("int")
-    runs = rows.select("halfwindow", "spatiallength").distinct().withColumn("f", f)
-    day = F.datediff(F.col("called_at"), F.lit("2000-01-01").cast("date"))
-    keyed = rows.withColumn("rep", day).join(F.broadcast(runs), ["halfwindow", "spatiallength"])
-    spatial = F.when(F.col("spatiallength") > 1, F.col("spatialwindowed"))
-    return keyed.groupBy("f", "rep").agg(F.avg("windowed").cast("float").alias("max_windowed"), F.avg(spatial).cast("float").alias("max_spatial")), runs
+def h_permutation_distribution(spark, d):
+    return _rounded(_null(spark, d))
+
+
+def h_permutations(spark, d):
+    """The score that each block was dealt in every repetition."""
+    return permutation.permutations(cut(_aligned(spark, d)), REPS, SEED)
 
 
 def h_thresholds(spark, d):
-    limits = permutation.thresholds(_maxima(spark, d)[0], 2.0)
-    return limits.select("f", *[F.round(F.col(c).cast("double"), 4).alias(c) for c in ("theta", "spatial_theta")])
+    return _rounded(_selecting(spark, d))
 
 
 def h_false_positives(spark, d):
-    maxima, _ = _maxima(spark, d)
-    return permutation.false_positives(maxima, permutation.thresholds(maxima, 1.0))
+    """Of new permutations, those in which a threshold is reached."""
+    return permutation.false_positives(_null(spark, d, TEST_SEED), _selecting(spark, d))
 
 
 def h_false_positive_rate(spark, d):
-    maxima, _ = _maxima(spark, d)
-    return permutation.false_positive_rate(maxima, permutation.thresholds(maxima, 1.0))
+    b, sx = _suffixes(spark, d)
+    rate, _ = permutation.estimate_false_positive_rate(sx, b, _wide(spark), _selecting(spark, d), REPS, TEST_SEED)
+    return rate.select("fp", "n", "mean", *[F.round(c, 6).alias(c) for c in ("lower", "upper")])
 
 
-def h_zrank(spark, d):
-    rows = table(spark, d, "peaks").where("windowed is not null and not isnan(windowed) and spatiallength < 2 and mingini is not null")
-    maxima, runs = _maxima(spark, d)
-    grid = runs.select("f", F.col("halfwindow").alias("half_window"), F.col("spatiallength").alias("spatial_length")).join(rows.select(F.col("halfwindow").alias("half_window"), (F.col("mingini") + 0.0).alias("min_gini")).distinct(), "half_window")
-    ranked = permutation.zrank(rows.select(F.upper(bare("kmer")).alias("kmer"), F.col("halfwindow").alias("half_window"), (F.col("mingini") + 0.0).alias("min_gini"), "windowed").where("kmer is not null"), maxima, grid, best_only=False)
+def _zrank(spark, d, best_only):
+    b, sx = _suffixes(spark, d)
+    grid = filters.parameter_grid(spark, list(HALVES), [0], [1.1])
+    limits = spark.createDataFrame([(f, THETA, None) for f in range(len(HALVES))], "f int, theta float, spatial_theta float")
+    found = peaks.kmer_peaks(sx, b, grid, limits, True, KMAX).select("kmer", F.col("halfWindow").alias("half_window"), F.col("minGini").alias("min_gini"), "windowed")
+    ranked = permutation.zrank(found, _null(spark, d), _wide(spark), best_only)
     return ranked.select("kmer", "half_window", "min_gini", F.round("zmax", 3).alias("zmax"))
 
 
+def h_zrank(spark, d):
+    """The motifs of all peaks against the permuted maxima of their own parameters."""
+    return _zrank(spark, d, False)
+
+
+def h_zrank_best(spark, d):
+    """Of every motif its best parameters."""
+    return _zrank(spark, d, True)
+
+
+def f_selected(spark, d):
+    """From scores to peaks: thresholds from permutations, for every parameter row."""
+    b, sx = _suffixes(spark, d)
+    return _rounded(peaks.kmer_peaks(sx, b, _wide(spark), _selecting(spark, d), True, KMAX))
+
+
+def g_selected(spark, d):
+    """From scores to intervals, for every parameter row."""
+    b, sx = _suffixes(spark, d)
+    return _rounded(peaks.merged_sub_peaks(sx, b, _wide(spark), _selecting(spark, d), True, KMAX))
+
+
 def i_prune(spark, d):
     rows = table(spark, d, "peaks").where("kmer is not null").groupBy("peak_id").agg(F.min("s").alias("s"), F.min("kmer").alias("kmer"))
     return motifs.prune_intervals(rows, "s", None, "peak_id").select("peak_id", "s", "kmer")
@@ -279,11 +317,13 @@ def _motifs(spark, d):
 
 
 def k_distances(spark, d):
-    return clustering.distances(_motifs(spark, d), 3).select("a", "b", F.round("distance", 6).alias("distance"))
+    """The pairs of motifs whose distance is at most 0.3."""
+    return clustering.near_distances(_motifs(spark, d), 4, at_most=0.3).select("a", "b", F.round("distance", 6).alias("distance"))
 
 
 def k_clusters(spark, d):
-    return clustering.cluster_kmers(_motifs(spark, d), 3, directional=False)
+    """Clusters of the motifs that the merged peaks give."""
+    return clustering.cluster_kmers(motifs.extract_kmers(g_merged_kmers(spark, d)), 3, directional=False)
 
 
 def k_orient(spark, d):
@@ -307,19 +347,16 @@ def a_fasta(spark, d):
 
 
 def a_scores(spark, d):
-    """Score lines written as files and read again: the largest id's valid lines."""
+    """Score lines written as files in the order of their ids and read again: of each sequence the last valid line."""
     path = fresh_path(spark, "scores")
-    table(spark, d, "simulated_scores_raw").select(F.regexp_replace("line", "[\r\n]", "").alias("value")).write.text(path)
-    return sources.read_scores(spark, path).groupBy("seq_id").agg(F.count("score").alias("n"))
+    table(spark, d, "simulated_scores_raw").orderBy("line_id").select(F.regexp_replace("line", "[\r\n]", "").alias("value")).write.text(path)
+    return sources.read_scores(spark, path)
 
 
 def a_thresholds(spark, d):
-    """The thresholds of all runs written as a file and read again."""
-    maxima, runs = _maxima(spark, d)
-    spatial = F.when(F.col("spatiallength") > 1, 1.1)
-    grid = runs.select("f", F.col("halfwindow").alias("half_window"), F.lit(1.1).alias("min_gini"), F.col("spatiallength").alias("spatial_length"), spatial.alias("min_spatial_gini"))
+    """The thresholds of the grid written as a file and read again."""
     root = fresh_path(spark, "thresholds") + "/"
-    sinks.write_thresholds(permutation.thresholds(maxima, 2.0), grid, root)
+    sinks.write_thresholds(_selecting(spark, d), _wide(spark), root)
     return _rounded(sources.read_thresholds(spark, root + "theta.tsv"))
 
 
@@ -334,8 +371,8 @@ def a_kmers(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        c_blocks, c_suffix_order, c_source_block, c_source_score, c_rank_of_place, c_place_of_rank, c_kmer_at, d_find_kmer, e_smooth, e_smooth_spatial, e_neighbours, e_block_counts, f_grid, f_gini_threshold, f_peaks, f_peaks_spatial, f_block_info, g_merged, g_merged_spatial, g_merged_kmers, g_islands,
-        h_permutation_distribution, h_permutations, h_thresholds, h_false_positives, h_false_positive_rate, h_zrank, i_prune, i_extend, i_extract, j_regex_counts, j_regex_counts_overlap, j_kmer_counts, j_cluster_counts, j_count_matrix, j_all_kmers, j_regex_locate, j_locate_kmers,
+        c_blocks, c_suffix_order, c_source_block, c_source_score, c_rank_of_place, c_place_of_rank, c_kmer_at, c_kmer_around, d_find_kmer, e_smooth, e_smooth_spatial, e_neighbours, e_block_counts, f_grid, f_gini_threshold, f_peaks, f_peaks_spatial, f_block_info, f_selected, g_selected, g_merged, g_merged_spatial, g_merged_kmers, g_islands,
+        h_permutation_distribution, h_permutations, h_thresholds, h_false_positives, h_false_positive_rate, h_zrank, h_zrank_best, i_prune, i_extend, i_extract, j_regex_counts, j_regex_counts_overlap, j_kmer_counts, j_cluster_counts, j_count_matrix, j_all_kmers, j_regex_locate, j_locate_kmers,
         j_locate_kmers_from_zero, j_locate_clusters, j_reverse_complement, k_distances, k_clusters, k_orient, k_position_counts, k_aligned, a_fasta, a_scores, a_thresholds, a_kmers,
     )
 }
@@ -343,49 +380,134 @@ QUERIES = {
 # Suffixes compare by their first 1,000 letters here: the longest repeat of the test tables has 462.
 _TEXT = """
 WITH a AS (SELECT row_number() OVER (ORDER BY seq_id) - 1 AS b, seq_id, max(coalesce(catseq, '')) AS seq, max(score) AS score FROM blocks WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY seq_id),
-e AS (SELECT b, seq_id, score, length(seq)::INT AS len, (sum(length(seq) + 1) OVER (ORDER BY b) - length(seq) - 1)::BIGINT AS o, seq || '$' || coalesce(string_agg(seq || '$', '') OVER (ORDER BY b ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING), '') AS t FROM a)
+e AS (SELECT b, seq_id, seq, score, length(seq)::INT AS len, (sum(length(seq) + 1) OVER (ORDER BY b) - length(seq) - 1)::BIGINT AS o, seq || '$' || coalesce(string_agg(seq || '$', '') OVER (ORDER BY b ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING), '') AS t FROM a)
 """
 _SUFFIXES = _TEXT + """,
 x AS (SELECT b, o + wi AS s, wi::INT AS wi, score, seq_id, substring(t, wi + 1, 1000) AS k FROM (SELECT *, unnest(range(len + 1)) AS wi FROM e)),
-sx AS (SELECT row_number() OVER (ORDER BY k) - 1 AS i, s, b, wi, score, seq_id, substring(k, 1, 64) AS k, count(*) OVER () AS n FROM x),
-sc AS (SELECT *, greatest(4, least(i, n - 5)) AS ci, least(s, n - 3) AS cs FROM sx)
+sx AS (SELECT row_number() OVER (ORDER BY k) - 1 AS i, s, b, wi, score, seq_id, substring(k, 1, 64) AS k, count(*) OVER () AS n FROM x)
 """
 _N = "(SELECT count(*) FROM sx)"
-_SMOOTH = _SUFFIXES + """,
-m AS (SELECT i, avg(score) OVER (ORDER BY i ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS y FROM sx),
-pr AS (SELECT i, count(*) AS p FROM (SELECT unnest(range(greatest(r.i - 4, 0), l.i + 5)) AS i FROM (SELECT i, b, unnest(range(i + 1, i + 9)) AS j FROM sx) l JOIN sx r ON r.i = l.j AND r.b = l.b) GROUP BY i),
-sm AS (SELECT sc.*, m.y::FLOAT AS windowed, (1 - (9 + 2 * coalesce(pr.p, 0)) / 81.0)::FLOAT AS gini FROM sc JOIN m ON m.i = sc.ci LEFT JOIN pr ON pr.i = sc.ci)
+
+
+def _clamped(h: int) -> str:
+    """The frame of rank i, moved to the nearest full window."""
+    c = f"greatest({h}, least(i, n - {h + 1}))"
+    return f"ROWS BETWEEN (i - {c} + {h}) PRECEDING AND ({c} + {h} - i) FOLLOWING"
+
+
+_AHEAD = "ROWS BETWEEN (s - least(s, n - 3)) PRECEDING AND (least(s, n - 3) + 2 - s) FOLLOWING"
+
+
+def _smooth_sql(h: int) -> str:
+    """sm: windowed and Gini; sp: with spatial means; nb: with neighbours; q: the Gini threshold; of half window h."""
+    w = 2 * h + 1
+    return f""",
+pr{h} AS (SELECT i, count(*) AS p FROM (SELECT unnest(range(greatest(r.i - {h}, 0), l.i + {h + 1})) AS i FROM (SELECT i, b, unnest(range(i + 1, i + {w})) AS j FROM sx) l JOIN sx r ON r.i = l.j AND r.b = l.b) GROUP BY i),
+sm{h} AS (SELECT sx.*, (avg(score) OVER (ORDER BY sx.i {_clamped(h).replace('i,', 'sx.i,').replace('(i ', '(sx.i ').replace('- i)', '- sx.i)')}))::FLOAT AS windowed, (1 - ({w} + 2 * coalesce(pr{h}.p, 0)) / {w * w}.0)::FLOAT AS gini FROM sx LEFT JOIN pr{h} ON pr{h}.i = greatest({h}, least(sx.i, n - {h + 1}))),
+sp{h} AS (SELECT *, (avg(windowed::DOUBLE) OVER v)::FLOAT AS spatial_windowed, (avg(gini::DOUBLE) OVER v)::FLOAT AS spatial_gini FROM sm{h} WINDOW v AS (ORDER BY s {_AHEAD})),
+nb{h} AS (SELECT *, coalesce(lag(windowed) OVER (ORDER BY s), windowed) AS before, coalesce(lead(windowed) OVER (ORDER BY s), windowed) AS after FROM sp{h}),
+q{h} AS (SELECT 1 - (1 - median(gini)) * 1.1 AS gmin FROM sm{h})
 """
-_SPATIAL = _SMOOTH + """,
-w3 AS (SELECT s, avg(windowed::DOUBLE) OVER (ORDER BY s ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS y, avg(gini::DOUBLE) OVER (ORDER BY s ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS g FROM sm),
-sp AS (SELECT sm.*, w3.y::FLOAT AS spatial_windowed, w3.g::FLOAT AS spatial_gini FROM sm JOIN w3 ON w3.s = sm.cs)
+
+
+_LCP = "CASE WHEN " + " WHEN ".join(f"substring({{0}}, 1, {k}) = substring({{1}}, 1, {k}) AND length({{0}}) >= {k} AND length({{1}}) >= {k} THEN {k}" for k in range(12, 0, -1)) + " ELSE 0 END"
+
+
+def _khat_sql(name: str, rows: str, h: int) -> str:
+    """Rows with khat."""
+    return f""",
+kj_{name} AS (SELECT i, k, unnest(range(i - {h}, i + {h + 1})) AS j FROM {rows}),
+kh_{name} AS (SELECT p.i, (sum({_LCP.format("p.k", "j.k")}) / {2 * h}.0)::FLOAT AS khat FROM kj_{name} p JOIN sx j ON j.i = p.j AND j.i <> p.i GROUP BY p.i),
+{name} AS (SELECT * FROM {rows} JOIN kh_{name} USING (i))
 """
-_NEAR = """,
-nb AS (SELECT *, coalesce(lag(windowed) OVER (ORDER BY s), windowed) AS before, coalesce(lead(windowed) OVER (ORDER BY s), windowed) AS after FROM {rows}),
-q AS (SELECT 1 - (1 - median(gini)) * 1.1 AS gmin FROM sm)
+
+
+def _peaks_sql(name: str, h: int, theta: str = "", spatial: str = "") -> str:
+    """Peaks of half window h; without or with spatial thresholds."""
+    ok = [f"windowed >= {theta}"] if theta else []
+    ok += [f"spatial_windowed >= {spatial} AND spatial_gini >= gmin"] if spatial else []
+    return f""",
+{name}_p AS (SELECT nb{h}.* FROM nb{h}, q{h} WHERE gini >= gmin AND before <= windowed AND after <= windowed AND {" AND ".join(ok)})
 """
-_LCP = "CASE WHEN " + " WHEN ".join(f"substring({{0}}, 1, {k}) = substring({{1}}, 1, {k}) AND length({{0}}) >= {k} AND length({{1}}) >= {k} THEN {k}" for k in range(12, 0, -1)) + " ELSE 0 END"
-_KHAT = """,
-kj AS (SELECT i, k, unnest(range(i - 4, i + 5)) AS j FROM pk),
-kh AS (SELECT p.i, (sum(""" + _LCP.format("p.k", "j.k") + """) / 8.0)::FLOAT AS khat FROM kj p JOIN sx j ON j.i = p.j AND j.i <> p.i GROUP BY p.i)
+
+
+def _merged_sql(name: str, h: int, theta: str = "", spatial: str = "") -> str:
+    """Intervals {name}: places below spatial windows, islands, the values of the first place and the whole text."""
+    rows = f"{name}_p"
+    out = _peaks_sql(name, h, theta, spatial)
+    if spatial:
+        rows = f"{name}_u"
+        out += f""",
+{name}_c AS (SELECT DISTINCT unnest(range(s, least(s + 3, n))) AS s FROM {name}_p),
+{name}_u AS (SELECT m.* FROM {name}_c c JOIN nb{h} m USING (s) LEFT JOIN {name}_c l ON l.s = c.s - 1 LEFT JOIN sm{h} pm ON pm.s = c.s - 1 WHERE m.windowed >= {spatial} AND (l.s IS NOT NULL OR pm.windowed IS NULL OR pm.windowed < {spatial}))
+"""
+    return out + _khat_sql(f"{name}_k", rows, h) + f""",
+{name}_g AS (SELECT *, s - row_number() OVER (ORDER BY s) AS g FROM {name}_k),
+{name}_iv AS (SELECT min(s) AS s, least(max(s + round(khat)::INT), {_N}) AS z FROM {name}_g GROUP BY g),
+{name} AS (SELECT v.* EXCLUDE (k), substring(x.k, 1, (z - iv.s)::INT) AS kmer FROM {name}_iv iv JOIN {name}_g v USING (s) JOIN x ON x.s = iv.s)
+"""
+
+
+_SMOOTH, _SMOOTH_8 = _SUFFIXES + _smooth_sql(4), _smooth_sql(8)
+_PEAKS = _SMOOTH + _peaks_sql("pk", 4, "0.8::FLOAT") + _khat_sql("pt", "pk_p", 4)
+_PEAKS_SPATIAL = _SMOOTH + _peaks_sql("pk", 4, spatial="0.7::FLOAT") + _khat_sql("pt", "pk_p", 4)
+_MERGED = _SMOOTH + _merged_sql("mg", 4, "0.8::FLOAT")
+_MERGED_COLUMNS = "SELECT i, s, kmer, round(khat::DOUBLE, 4) AS khat, seq_id AS block, wi FROM mg"
+
+
+def _null_sql(seed: int, name: str = "mx") -> str:
+    """Maxima under permuted scores, by f and rep."""
+    return f""",
+{name}_dealt AS (SELECT r.rep, r.b, a.score AS y FROM (SELECT rep, b, row_number() OVER (PARTITION BY rep ORDER BY md5('{seed}:' || rep || ':' || b)) - 1 AS p FROM a, (SELECT unnest(range({REPS})) AS rep)) r JOIN a ON a.b = r.p),
+{name}_w AS (SELECT rep, i, s, n, (avg(y) OVER (PARTITION BY rep ORDER BY i {_clamped(4)}))::FLOAT AS y4, (avg(y) OVER (PARTITION BY rep ORDER BY i {_clamped(8)}))::FLOAT AS y8 FROM sx JOIN {name}_dealt d USING (b)),
+{name}_s AS (SELECT *, (avg(y4::DOUBLE) OVER v)::FLOAT AS z4, (avg(y8::DOUBLE) OVER v)::FLOAT AS z8 FROM {name}_w WINDOW v AS (PARTITION BY rep ORDER BY s {_AHEAD})),
+{name}_ok AS (SELECT p4.i, p4.gini >= q4.gmin AS a, p4.gini >= q4.gmin AND p4.spatial_gini >= q4.gmin AS b, p8.gini >= q8.gmin AS c, p8.gini >= q8.gmin AND p8.spatial_gini >= q8.gmin AS d FROM sp4 p4 JOIN sp8 p8 USING (i), q4, q8),
+{name}_m AS (SELECT rep, max(y4) FILTER (a) AS m0, max(y4) FILTER (b) AS m1, max(z4) FILTER (b) AS s1, max(y8) FILTER (c) AS m2, max(y8) FILTER (d) AS m3, max(z8) FILTER (d) AS s3 FROM {name}_s JOIN {name}_ok USING (i) GROUP BY rep),
+{name} AS (SELECT f::INT AS f, rep::INT AS rep, coalesce(CASE f WHEN 0 THEN m0 WHEN 1 THEN m1 WHEN 2 THEN m2 ELSE m3 END, '-infinity'::FLOAT) AS a, CASE f WHEN 1 THEN coalesce(s1, '-infinity'::FLOAT) WHEN 3 THEN coalesce(s3, '-infinity'::FLOAT) END AS z FROM {name}_m, (SELECT unnest(range(4)) AS f))
+"""
+
+
+_NULL = _SMOOTH + _SMOOTH_8 + _null_sql(SEED)
+_LIMITS = _NULL + f""",
+th AS (SELECT f, CASE WHEN count(z) = 0 THEN (avg(a) + {SIGMA} * stddev_samp(a))::FLOAT END AS theta, (avg(z) + {SIGMA} * stddev_samp(z))::FLOAT AS spatial_theta FROM mx GROUP BY f)
+"""
+_HITS = _LIMITS + _null_sql(TEST_SEED, "tx") + ", h AS (SELECT rep, max((coalesce(a >= theta, FALSE) OR coalesce(z >= spatial_theta, FALSE))::INT) AS hit FROM tx JOIN th USING (f) GROUP BY rep), fp AS (SELECT sum(hit) AS fp, count(*) AS n FROM h)"
+_AT_MOST = "list_sum(list_transform(range(0, {k} + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({p}) + (n - j) * ln(1 - {p}))))"
+_RATE = _HITS.replace("WITH a AS", "WITH RECURSIVE a AS", 1) + f""",
+bs AS (SELECT 0 AS step, fp::BIGINT AS k, n, 0.0::DOUBLE AS la, 1.0::DOUBLE AS lz, 0.0::DOUBLE AS ua, 1.0::DOUBLE AS uz FROM fp UNION ALL
+  SELECT step + 1, k, n, CASE WHEN lo THEN (la + lz) / 2 ELSE la END, CASE WHEN lo THEN lz ELSE (la + lz) / 2 END, CASE WHEN up THEN (ua + uz) / 2 ELSE ua END, CASE WHEN up THEN uz ELSE (ua + uz) / 2 END
+  FROM (SELECT *, k > 0 AND 1 - {_AT_MOST.format(k="k - 1", p="((la + lz) / 2)")} < 0.025 AS lo, {_AT_MOST.format(k="k", p="((ua + uz) / 2)")} > 0.025 AS up FROM bs WHERE step < 60))
+SELECT k AS fp, n, k / n AS mean, round(CASE WHEN k = 0 THEN 0 ELSE (la + lz) / 2 END, 6) AS lower, round(CASE WHEN k = n THEN 1 ELSE (ua + uz) / 2 END, 6) AS upper FROM bs WHERE step = 60"""
+#: Half window, spatial length and CTE of the rows of the grid.
+_ROWS = [(h, length, f"f{n}") for n, (h, length) in enumerate((h, length) for h in HALVES for length in LENGTHS)]
+
+
+def _limit(f: int, length: int) -> dict:
+    return {"spatial": f"(SELECT spatial_theta FROM th WHERE f = {f})"} if length > 1 else {"theta": f"(SELECT theta FROM th WHERE f = {f})"}
+
+
+def _told(name: str, f: int, h: int, length: int, kmer: str) -> str:
+    """The table of peaks, floats rounded."""
+    at = lambda c: f"round({c}::DOUBLE, 4)"
+    spatial = lambda c: at(c) if length > 1 else "NULL::DOUBLE"
+    return f"""SELECT i, s, {kmer} AS kmer, {at("khat")} AS khat, seq_id AS block, wi, {at("gini")} AS gini, {spatial("spatial_gini")} AS "spatialGini", {at("score::FLOAT")} AS score, {at("windowed")} AS windowed, {spatial("spatial_windowed")} AS "spatialWindowed",
+12 AS kmax, {h} AS "halfWindow", 1.1::DOUBLE AS "minGini", (SELECT {at("theta")} FROM th WHERE f = {f}) AS theta, {length} AS "spatialLength", {"1.1" if length > 1 else "NULL"}::DOUBLE AS "minSpatialGini", (SELECT {at("spatial_theta")} FROM th WHERE f = {f}) AS "spatialTheta" FROM {name}"""
+
+
+_SELECTED = _LIMITS + "".join(_merged_sql(name, h, **_limit(f, length)) for f, (h, length, name) in enumerate(_ROWS))
+_SELECTED_PEAKS = _LIMITS + "".join(_peaks_sql(name, h, **_limit(f, length)) + _khat_sql(name, f"{name}_p", h) for f, (h, length, name) in enumerate(_ROWS))
+_ZRANK = _NULL + _peaks_sql("za", 4, "0.8::FLOAT") + _khat_sql("zk", "za_p", 4) + _peaks_sql("zb", 8, "0.8::FLOAT") + _khat_sql("zl", "zb_p", 8) + """,
+nu AS (SELECT f, avg(a) AS m, stddev_samp(a) AS sd FROM mx GROUP BY f),
+zr AS (SELECT kmer, half_window, 1.1::DOUBLE AS min_gini, max((windowed - m) / sd) AS zmax FROM (SELECT substring(k, 1, round(khat)::INT) AS kmer, 4 AS half_window, 0 AS f, windowed FROM zk UNION ALL SELECT substring(k, 1, round(khat)::INT), 8, 2, windowed FROM zl) JOIN nu USING (f) GROUP BY ALL)
 """
-_PEAKS = _SMOOTH + _NEAR.format(rows="sm") + ", pk AS (SELECT nb.* FROM nb, q WHERE windowed >= 0.8::FLOAT AND gini >= gmin AND before <= windowed AND after <= windowed)" + _KHAT
-_PEAKS_SPATIAL = _SPATIAL + _NEAR.format(rows="sp") + ", pk AS (SELECT nb.* FROM nb, q WHERE gini >= gmin AND spatial_windowed >= 0.7::FLOAT AND spatial_gini >= gmin AND before <= windowed AND after <= windowed)" + _KHAT
 _SEQS = "SELECT seq_id, upper(coalesce(catseq, '')) AS x FROM blocks"
 _COUNT = "SELECT seq_id, '{0}' AS {2}, len(regexp_extract_all(x, '{1}'))::BIGINT AS n FROM ({3})"
-_FREQUENT = """
-WITH p AS (SELECT upper(trim(kmer, chr(32) || chr(9) || chr(10) || chr(13) || chr(160))) AS kmer, block FROM peaks WHERE block IS NOT NULL),
-r AS (SELECT * FROM p WHERE regexp_full_match(kmer, '[ACGT]+')), n AS (SELECT count(DISTINCT block) AS n FROM r),
-fr AS (SELECT kmer FROM r, n GROUP BY kmer, n.n HAVING count(DISTINCT block) * 100 >= n.n)
+_MOTIFS = """
+WITH mo AS (SELECT DISTINCT kmer FROM (SELECT upper(trim(kmer, chr(32) || chr(9) || chr(10) || chr(13) || chr(160))) AS kmer FROM peaks WHERE block IS NOT NULL) WHERE regexp_full_match(kmer, '[ACGT]+'))
 """
-_GRAMS = _FREQUENT + """, g AS (SELECT kmer, substring(kmer, q::INT, 3) AS gram, count(*) AS n FROM (SELECT kmer, unnest(range(1, length(kmer) - 1)) AS q FROM fr WHERE length(kmer) >= 3) GROUP BY ALL)
+_GRAMS = _MOTIFS + """, g AS (SELECT kmer, substring(kmer, q::INT, 4) AS gram, count(*) AS n FROM (SELECT kmer, unnest(range(1, length(kmer) - 2)) AS q FROM mo WHERE length(kmer) >= 4) GROUP BY ALL)
 """
-_MAXIMA = """
-WITH v AS (SELECT *, dense_rank() OVER (ORDER BY halfwindow, spatiallength) - 1 AS f, datediff('day', DATE '2000-01-01', called_at::DATE) AS rep FROM peaks WHERE windowed IS NOT NULL AND NOT isnan(windowed)),
-mx AS (SELECT f::INT AS f, rep, avg(windowed)::FLOAT AS a, avg(CASE WHEN spatiallength > 1 THEN spatialwindowed END)::FLOAT AS z FROM v GROUP BY ALL),
-th AS (SELECT f, CASE WHEN count(z) = 0 THEN (avg(a) + {0} * stddev_samp(a))::FLOAT END AS theta, (avg(z) + {0} * stddev_samp(z))::FLOAT AS spatial_theta FROM mx GROUP BY f)
-"""
-_HITS = _MAXIMA.format("1.0") + ", h AS (SELECT rep, max((coalesce(a >= theta, FALSE) OR coalesce(z >= spatial_theta, FALSE))::INT) AS hit FROM mx JOIN th USING (f) GROUP BY rep)"
+_REP = "CATACTGAGA"
 
 
 def _rc(x: str) -> str:
@@ -406,6 +528,12 @@ def _places(m: str, base: int, size: int | None = None) -> str:
     return f"SELECT seq_id AS seqid, '{m}' AS kmer, (list_sum(list_transform(p[1:j], lambda z: length(z))) + (j - 1) * {size or len(m)} + {base})::INT AS location FROM (SELECT seq_id, p, unnest(range(1, len(p))) AS j FROM (SELECT seq_id, {parts} AS p FROM blocks WHERE catseq IS NOT NULL))"
 
 
+def _located(name: str, members: list[str]) -> str:
+    """Places and letters of matches of any member, longer ones first."""
+    pattern = "|".join(members).lower()
+    return f"SELECT seq_id AS seqid, '{name}' AS cluster, (list_sum(list_transform(p[1:j], lambda z: length(z))) + coalesce(list_sum(list_transform(m[1:j - 1], lambda z: length(z))), 0) + 1)::INT AS location, upper(m[j]) AS match FROM (SELECT seq_id, p, m, unnest(range(1, len(p))) AS j FROM (SELECT seq_id, regexp_split_to_array(lower(catseq), '{pattern}') AS p, regexp_extract_all(lower(catseq), '{pattern}') AS m FROM blocks WHERE catseq IS NOT NULL))"
+
+
 SQL = {
     "c_blocks": _TEXT + 'SELECT b, seq_id, score, o AS "offset", len FROM e',
     "c_suffix_order": _SUFFIXES + "SELECT i, s, b, wi FROM sx",
@@ -414,26 +542,43 @@ SQL = {
     "c_rank_of_place": _SUFFIXES + "SELECT DISTINCT p.peak_id, s, sx.i AS rank FROM (SELECT peak_id, s FROM peaks) p JOIN sx USING (s)",
     "c_place_of_rank": _SUFFIXES + "SELECT DISTINCT p.peak_id, i, sx.s AS place, b, wi FROM (SELECT peak_id, i FROM peaks) p JOIN sx USING (i)",
     "c_kmer_at": "WITH t AS (SELECT seq_offset AS o, length(coalesce(catseq, '')) + 1 AS n, coalesce(catseq, '') || '$' || coalesce(string_agg(coalesce(catseq, '') || '$', '') OVER (ORDER BY b ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING), '') AS t FROM blocks) SELECT peak_id, s, substring(t, s - o + 1, kmax) AS letters FROM (SELECT DISTINCT peak_id, s, kmax FROM peaks) p JOIN t ON s >= o AND s < o + n",
-    "d_find_kmer": _SUFFIXES + " SELECT m.kmer, min(i) AS i_from, max(i) + 1 AS i_to FROM (SELECT unnest(['', " + ", ".join(f"'{m}'" for m in MOTIFS) + "]) AS kmer) m JOIN sx ON starts_with(k, m.kmer) GROUP BY m.kmer",
-    "e_smooth": _SMOOTH + "SELECT i, s, round(windowed::DOUBLE, 5) AS windowed, round(gini::DOUBLE, 5) AS gini FROM sm",
-    "e_smooth_spatial": _SPATIAL + "SELECT i, s, round(spatial_windowed::DOUBLE, 4) AS spatial_windowed, round(spatial_gini::DOUBLE, 4) AS spatial_gini FROM sp",
-    "e_neighbours": _SMOOTH + _NEAR.format(rows="sm") + "SELECT i, s, round(before::DOUBLE, 5) AS before, round(after::DOUBLE, 5) AS after FROM nb",
+    "d_find_kmer": _SUFFIXES + " SELECT m.kmer, min(i) AS i_from, max(i) + 1 AS i_to FROM (SELECT unnest(['', " + ", ".join(f"'{m}'" for m in MOTIFS) + "]) AS kmer" + "".join(f" UNION SELECT arg_min(substring(seq, 1, {n}), b) FROM e WHERE len >= {n}" for n in LONG) + ") m JOIN (SELECT i, x.k FROM sx JOIN x USING (s)) t ON starts_with(t.k, m.kmer) GROUP BY m.kmer",
+    "e_smooth": _SMOOTH + "SELECT i, s, round(windowed::DOUBLE, 5) AS windowed, round(gini::DOUBLE, 5) AS gini FROM sm4",
+    "e_smooth_spatial": _SMOOTH + "SELECT i, s, round(spatial_windowed::DOUBLE, 4) AS spatial_windowed, round(spatial_gini::DOUBLE, 4) AS spatial_gini FROM sp4",
+    "e_neighbours": _SMOOTH + "SELECT i, s, round(before::DOUBLE, 5) AS before, round(after::DOUBLE, 5) AS after FROM nb4",
     "e_block_counts": _SUFFIXES + "SELECT centre, count(*) AS n_blocks, max(n) AS most FROM (SELECT c.i AS centre, j.b, count(*) AS n FROM (SELECT i, unnest(range(i - 4, i + 5)) AS q FROM sx WHERE i BETWEEN 4 AND n - 5) c JOIN sx j ON j.i = c.q GROUP BY ALL) GROUP BY centre",
     "f_grid": """WITH h AS (SELECT DISTINCT halfwindow AS half_window FROM peaks WHERE halfwindow IS NOT NULL), l AS (SELECT DISTINCT spatiallength AS spatial_length FROM peaks WHERE spatiallength IS NOT NULL), g AS (SELECT DISTINCT mingini + 0.0 AS min_gini FROM peaks WHERE mingini IS NOT NULL)
 SELECT (row_number() OVER (ORDER BY half_window, spatial_length, min_gini) - 1)::INT AS f, half_window, spatial_length, min_gini, CASE WHEN spatial_length > 1 THEN min_gini END AS min_spatial_gini FROM h, l, g""",
-    "f_gini_threshold": _SMOOTH + "SELECT round(median(gini)::DOUBLE, 5) AS median_gini, round(1 - (1 - median(gini)::DOUBLE) * 1.1, 5) AS min_gini FROM sm",
-    "f_peaks": _PEAKS + "SELECT i, s, substring(k, 1, round(khat)::INT) AS kmer, round(khat::DOUBLE, 4) AS khat, seq_id AS block, wi, round(gini::DOUBLE, 4) AS gini, round(windowed::DOUBLE, 4) AS windowed FROM pk JOIN kh USING (i)",
-    "f_peaks_spatial": _PEAKS_SPATIAL + "SELECT i, s, substring(k, 1, round(khat)::INT) AS kmer, round(khat::DOUBLE, 4) AS khat, seq_id AS block, wi, round(spatial_windowed::DOUBLE, 4) AS \"spatialWindowed\", 0.7 AS \"spatialTheta\" FROM pk JOIN kh USING (i)",
-    "g_merged": _PEAKS + ", v AS (SELECT *, s - row_number() OVER (ORDER BY s) AS g FROM pk JOIN kh USING (i)), iv AS (SELECT min(s) AS s, least(max(s + round(khat)::INT), " + _N + ") AS z FROM v GROUP BY g) SELECT i, iv.s, substring(x.k, 1, (z - iv.s)::INT) AS kmer, round(khat::DOUBLE, 4) AS khat, v.seq_id AS block, v.wi FROM iv JOIN v USING (s) JOIN x ON x.s = iv.s",
-    "f_block_info": _SMOOTH + ", pk AS (SELECT * FROM sm)" + _KHAT + """SELECT i, s, substring(k, 1, round(khat)::INT) AS kmer, round(khat::DOUBLE, 4) AS khat, seq_id AS block, wi, round(gini::DOUBLE, 4) AS gini, NULL::DOUBLE AS "spatialGini", round(score, 4) AS score, round(windowed::DOUBLE, 4) AS windowed, NULL::DOUBLE AS "spatialWindowed",
-  12 AS kmax, 4 AS "halfWindow", 1.1::DOUBLE AS "minGini", NULL::DOUBLE AS theta, 0 AS "spatialLength", NULL::DOUBLE AS "minSpatialGini", NULL::DOUBLE AS "spatialTheta" FROM pk JOIN kh USING (i)""",
+    "f_gini_threshold": _SMOOTH + "SELECT round(median(gini)::DOUBLE, 5) AS median_gini, round(1 - (1 - median(gini)::DOUBLE) * 1.1, 5) AS min_gini FROM sm4",
+    "f_peaks": _PEAKS + "SELECT i, s, substring(k, 1, round(khat)::INT) AS kmer, round(khat::DOUBLE, 4) AS khat, seq_id AS block, wi, round(gini::DOUBLE, 4) AS gini, round(windowed::DOUBLE, 4) AS windowed FROM pt",
+    "f_peaks_spatial": _PEAKS_SPATIAL + 'SELECT i, s, substring(k, 1, round(khat)::INT) AS kmer, round(khat::DOUBLE, 4) AS khat, seq_id AS block, wi, round(spatial_windowed::DOUBLE, 4) AS "spatialWindowed", 0.7::DOUBLE AS "spatialTheta" FROM pt',
+    "g_merged": _MERGED + _MERGED_COLUMNS,
+    "f_block_info": _SELECTED + ", bi_p AS (SELECT * FROM sm4 WHERE b IN (" + " UNION ALL ".join(f"SELECT b FROM {name}" for _, _, name in _ROWS) + "))" + _khat_sql("bi", "bi_p", 4) + """SELECT i, s, substring(k, 1, round(khat)::INT) AS kmer, round(khat::DOUBLE, 4) AS khat, seq_id AS block, wi, round(gini::DOUBLE, 4) AS gini, NULL::DOUBLE AS "spatialGini", round(score::FLOAT::DOUBLE, 4) AS score, round(windowed::DOUBLE, 4) AS windowed, NULL::DOUBLE AS "spatialWindowed",
+  12 AS kmax, 4 AS "halfWindow", 1.1::DOUBLE AS "minGini", NULL::DOUBLE AS theta, 0 AS "spatialLength", NULL::DOUBLE AS "minSpatialGini", NULL::DOUBLE AS "spatialTheta" FROM bi""",
+    "f_selected": _SELECTED_PEAKS + " UNION ALL ".join(_told(name, f, h, length, "substring(k, 1, round(khat)::INT)") for f, (h, length, name) in enumerate(_ROWS)),
+    "g_selected": _SELECTED + " UNION ALL ".join(_told(name, f, h, length, "kmer") for f, (h, length, name) in enumerate(_ROWS)),
+    "g_merged_spatial": _SMOOTH + _merged_sql("mg", 4, spatial="0.7::FLOAT") + _MERGED_COLUMNS,
+    "h_permutation_distribution": _NULL + "SELECT f, rep, round(a::DOUBLE, 4) AS max_windowed, round(z::DOUBLE, 4) AS max_spatial FROM mx",
+    "h_false_positive_rate": _RATE,
+    "h_zrank_best": _ZRANK + "SELECT kmer, half_window, min_gini, round(zmax, 3) AS zmax FROM (SELECT *, row_number() OVER (PARTITION BY kmer ORDER BY zmax DESC, half_window) AS r FROM zr) WHERE r = 1",
+    "i_extend": _MERGED + """,
+nw AS (SELECT DISTINCT kmer FROM mg WHERE kmer <> ''), pl AS (SELECT x.s AS pos, nw.kmer AS new FROM x JOIN nw ON starts_with(x.k, nw.kmer)), lg AS (SELECT max(length(kmer)) AS most FROM mg),
+ex AS (SELECT m.i, arg_min(pos, (-length(new), pos)) AS pos, arg_min(new, (-length(new), pos)) AS new FROM mg m JOIN pl ON pos <= m.s AND pos + length(new) >= m.s + length(m.kmer) AND length(new) > length(m.kmer), lg WHERE length(m.kmer) < most GROUP BY m.i)
+SELECT sx.i, sx.s, coalesce(ex.new, m.kmer) AS kmer, m.seq_id AS block, (m.wi + sx.s - m.s)::INT AS wi FROM mg m LEFT JOIN ex USING (i) JOIN sx ON sx.s = coalesce(ex.pos, m.s)""",
+    "c_kmer_around": "WITH t AS (SELECT string_agg(coalesce(catseq, '') || '$', '' ORDER BY b) AS t FROM blocks) SELECT peak_id, s, substring(t, greatest(s - 20, 0) + 1, s + 200 - greatest(s - 20, 0)) AS letters FROM (SELECT DISTINCT peak_id, s FROM peaks) p, t",
+    "j_locate_clusters": " UNION ALL ".join(_located(c, sorted({x for k in m for x in (k, _comp(k))}, key=lambda k: (-len(k), k))) for c, m in CLUSTERS.items()),
+    "k_orient": _MOTIFS + f""", rp AS (SELECT substring('{_REP}', q::INT, 3) AS gram, count(*) AS m FROM (SELECT unnest(range(1, {len(_REP) - 1})) AS q) GROUP BY 1),
+tu AS (SELECT kmer, {_rc('kmer')} AS rc FROM mo), sc AS (SELECT kmer, rc, coalesce((SELECT sum(m) FROM rp, (SELECT unnest(range(1, length(kmer) - 1)) AS q) WHERE substring(kmer, q::INT, 3) = gram), 0) AS f, coalesce((SELECT sum(m) FROM rp, (SELECT unnest(range(1, length(kmer) - 1)) AS q) WHERE substring(rc, q::INT, 3) = gram), 0) AS r FROM tu)
+SELECT kmer, CASE WHEN r > f THEN rc ELSE kmer END AS oriented FROM sc""",
+    "k_aligned": _MOTIFS + f""", t AS (SELECT kmer, o, (SELECT count(*) FROM (SELECT unnest(range(1, length(kmer) + 1)) AS p) WHERE p + o >= 1 AND p + o <= {len(_REP)} AND substring(kmer, p::INT, 1) = substring('{_REP}', (p + o)::INT, 1)) AS same FROM (SELECT kmer, unnest(range(1 - length(kmer), {len(_REP)})) AS o FROM mo)),
+bo AS (SELECT kmer, arg_min(o, (-same, abs(o), o)) AS o FROM t GROUP BY kmer), ed AS (SELECT least(min(o), 0) AS low, greatest(max(o + length(kmer)), {len(_REP)}) AS high FROM bo)
+SELECT kmer, rpad(repeat('-', (o - low)::INT) || kmer, (high - low)::INT, '-') AS aligned FROM bo, ed""",
     "g_islands": "SELECT min(s) AS s_start, max(s) + 1 AS s_end FROM (SELECT s, s - row_number() OVER (ORDER BY s) AS g FROM (SELECT DISTINCT s FROM peaks)) GROUP BY g",
-    "h_permutations": "SELECT rep::INT AS rep, score, count(*) AS n FROM blocks, (SELECT unnest(range(10)) AS rep) WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY ALL",
-    "h_thresholds": _MAXIMA.format("2.0") + "SELECT f, round(theta::DOUBLE, 4) AS theta, round(spatial_theta::DOUBLE, 4) AS spatial_theta FROM th",
-    "h_false_positives": _HITS + "SELECT sum(hit) AS fp, count(*) AS n FROM h",
-    "h_zrank": _MAXIMA.format("1.0") + """, nu AS (SELECT f, avg(a) AS m, stddev_samp(a) AS sd FROM mx GROUP BY f)
-SELECT upper(trim(kmer, chr(32) || chr(9) || chr(10) || chr(13) || chr(160))) AS kmer, halfwindow AS half_window, mingini + 0.0 AS min_gini, round(max((windowed - m) / sd), 3) AS zmax FROM v JOIN nu USING (f) WHERE spatiallength < 2 AND mingini IS NOT NULL AND trim(kmer, chr(32) || chr(9) || chr(10) || chr(13) || chr(160)) <> '' GROUP BY ALL""",
-    "i_prune": "WITH r AS (SELECT peak_id, min(s) AS s, min(kmer) AS kmer FROM peaks WHERE kmer IS NOT NULL GROUP BY peak_id), q AS (SELECT *, s + length(kmer) AS z FROM r) SELECT peak_id, s, kmer FROM q a WHERE NOT EXISTS (SELECT 1 FROM q o WHERE o.s BETWEEN a.s - 64 AND a.s AND o.s <= a.s AND o.z >= a.z AND (o.s <> a.s OR o.z <> a.z OR o.peak_id < a.peak_id))",
+    "h_permutations": _TEXT + f"SELECT r.rep::INT AS rep, r.b, a.score FROM (SELECT rep, b, row_number() OVER (PARTITION BY rep ORDER BY md5('{SEED}:' || rep || ':' || b)) - 1 AS p FROM a, (SELECT unnest(range({REPS})) AS rep)) r JOIN a ON a.b = r.p",
+    "h_thresholds": _LIMITS + "SELECT f, round(theta::DOUBLE, 4) AS theta, round(spatial_theta::DOUBLE, 4) AS spatial_theta FROM th",
+    "h_false_positives": _HITS + "SELECT fp, n FROM fp",
+    "h_zrank": _ZRANK + "SELECT kmer, half_window, min_gini, round(zmax, 3) AS zmax FROM zr",
+    "i_prune": "WITH r AS (SELECT peak_id, min(s) AS s, min(kmer) AS kmer FROM peaks WHERE kmer IS NOT NULL GROUP BY peak_id), q AS (SELECT *, s + length(kmer) AS z FROM r), w AS (SELECT *, max(z) OVER (ORDER BY s, z DESC, peak_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM q) SELECT peak_id, s, kmer FROM w WHERE far IS NULL OR far < z",
     "i_extract": f"SELECT DISTINCT least(kmer, {_rc('kmer')}) AS kmer FROM peaks WHERE kmer IS NOT NULL",
     "j_regex_counts": " UNION ALL ".join(_COUNT.format(p, p, "regex", _SEQS) for p in PATTERNS),
     "j_regex_counts_overlap": " UNION ALL ".join(f"SELECT seq_id, '{m}' AS regex, len(list_filter(range(1, length(x) - {len(m) - 2}), lambda p: substring(x, p::INT, {len(m)}) = '{m}'))::BIGINT AS n FROM ({_SEQS})" for m in MOTIFS),
@@ -444,11 +589,13 @@ SELECT upper(trim(kmer, chr(32) || chr(9) || chr(10) || chr(13) || chr(160))) AS
     "j_locate_kmers": " UNION ALL ".join(_places(m, 1) for m in MOTIFS),
     "j_locate_kmers_from_zero": " UNION ALL ".join(_places(m, 0) for m in MOTIFS),
     "j_reverse_complement": f"SELECT seq_id, {_rc('catseq')} AS rc FROM blocks",
-    "k_distances": _GRAMS + ", nm AS (SELECT kmer, sum(n * n) AS q FROM g GROUP BY kmer), dt AS (SELECT a.kmer AS a, b.kmer AS b, sum(a.n * b.n) AS d FROM g a JOIN g b USING (gram) WHERE a.kmer < b.kmer GROUP BY ALL) SELECT a, b, round(1 - d / (x.q + y.q - d), 6) AS distance FROM dt JOIN nm x ON x.kmer = a JOIN nm y ON y.kmer = b",
-    "k_position_counts": _FREQUENT + ", c AS (SELECT (p - 1)::INT AS pos, substring(kmer, p::INT, 1) AS base FROM (SELECT kmer, unnest(range(1, length(kmer) + 1)) AS p FROM fr)) SELECT pos, " + ", ".join(f"count(*) FILTER (base = '{x}') AS {x}" for x in "ACGT") + " FROM c GROUP BY pos",
+    "k_distances": _GRAMS + ", nm AS (SELECT kmer, sum(n * n) AS q FROM g GROUP BY kmer), dt AS (SELECT a.kmer AS a, b.kmer AS b, sum(a.n * b.n) AS d FROM g a JOIN g b USING (gram) WHERE a.kmer < b.kmer GROUP BY ALL) SELECT a, b, round(1 - d / (x.q + y.q - d), 6) AS distance FROM dt JOIN nm x ON x.kmer = a JOIN nm y ON y.kmer = b WHERE 1 - d / (x.q + y.q - d) <= 0.3 + 1e-9",
+    "k_position_counts": _MOTIFS + ", c AS (SELECT (p - 1)::INT AS pos, substring(kmer, p::INT, 1) AS base FROM (SELECT kmer, unnest(range(1, length(kmer) + 1)) AS p FROM mo)) SELECT pos, " + ", ".join(f"count(*) FILTER (base = '{x}') AS {x}" for x in "ACGT") + " FROM c GROUP BY pos",
     "j_regex_locate": f"SELECT seqid, 'TT[AC]G' AS regex, location, upper(substring(catseq, location, 4)) AS match FROM ({_places('TT[AC]G', 1, 4)}) JOIN blocks ON seq_id = seqid",
-    "a_scores": r"SELECT seq_id, count(*) AS n FROM (SELECT DISTINCT x[1] AS seq_id FROM (SELECT string_split(regexp_replace(line, '[\r\n]', '', 'g'), chr(9)) AS x FROM simulated_scores_raw) WHERE try_cast(trim(x[2], ' ') AS DOUBLE) IS NOT NULL) GROUP BY 1",
-    "a_thresholds": _MAXIMA.format("2.0") + "SELECT f, halfwindow AS half_window, 1.1::DOUBLE AS min_gini, spatiallength AS spatial_length, CASE WHEN spatiallength > 1 THEN 1.1::DOUBLE END AS min_spatial_gini, round(theta::DOUBLE, 4) AS theta, round(spatial_theta::DOUBLE, 4) AS spatial_theta FROM th JOIN (SELECT DISTINCT f, halfwindow, spatiallength FROM v) USING (f)",
+    "a_scores": r"""WITH l AS (SELECT line_id, string_split(regexp_replace(line, '[\r\n]', '', 'g'), chr(9)) AS x FROM simulated_scores_raw), h AS (SELECT line_id, x[1] AS seq_id, trim(x[2], ' ') AS y, regexp_extract(lower(trim(x[2], ' ')), '^([+-]?)0x([0-9a-f]+)p([+-]?[0-9]+)$', ['sign', 'digits', 'power']) AS p FROM l),
+v AS (SELECT line_id, seq_id, CASE WHEN p.digits <> '' THEN CASE WHEN p.sign = '-' THEN -1.0 ELSE 1.0 END * list_reduce(list_transform(string_split(p.digits, ''), lambda c: (strpos('0123456789abcdef', c) - 1)::DOUBLE), lambda m, c: 16 * m + c) * pow(2, p.power::INT) ELSE try_cast(y AS DOUBLE) END AS score FROM h)
+SELECT seq_id, arg_max(score, line_id) AS score FROM v WHERE score IS NOT NULL GROUP BY seq_id""",
+    "a_thresholds": _LIMITS + "SELECT f, CASE WHEN f < 2 THEN 4 ELSE 8 END AS half_window, 1.1::DOUBLE AS min_gini, CASE WHEN f % 2 = 0 THEN 0 ELSE 3 END AS spatial_length, CASE WHEN f % 2 = 1 THEN 1.1::DOUBLE END AS min_spatial_gini, round(theta::DOUBLE, 4) AS theta, round(spatial_theta::DOUBLE, 4) AS spatial_theta FROM th",
     "a_kmers": f"SELECT DISTINCT least(kmer, {_rc('kmer')}) AS kmer FROM (SELECT upper(trim(kmer, chr(32) || chr(9) || chr(10) || chr(13) || chr(160))) AS kmer FROM peaks) WHERE regexp_full_match(kmer, '[ACGT]+')",
     "a_fasta": "SELECT seq_id, coalesce(catseq, '') AS seq FROM blocks",
 }

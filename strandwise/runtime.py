@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,12 +20,14 @@ _KEPT: dict[tuple, object] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach; taken from ``spark.checkpoint.dir`` and only made up where that is unset."""
+    """Folder every executor can reach: ``spark.checkpoint.dir``. Only a local master, which has no other machines, may leave it unset."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     context = spark.sparkContext._jsc.sc()
     if not where:
         if context.getCheckpointDir().isDefined():
             return context.getCheckpointDir().get().rstrip("/")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
     if not context.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(where)
@@ -33,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a table written to the shared folder, so that later stages survive lost executors without recomputing.
 
-    The table goes when the driver ends, or with ``drop_tables``.
+    The table goes when the driver ends, with ``drop_tables``, or at the end of a ``scratch`` block.
     """
     spark = df.sparkSession
     path = fresh_path(spark, "cut")
@@ -48,12 +52,36 @@ def drop_tables(spark: SparkSession) -> None:
         _remove(spark, _WRITTEN.pop())
 
 
-def kept(spark: SparkSession, name: str, of: str, make):
-    """What ``make()`` returned first for this application, name and input; made anew after ``drop_tables``."""
-    key = (spark.sparkContext.applicationId, name, of)
-    if key not in _KEPT:
-        _KEPT[key] = make()
-    return _KEPT[key]
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written inside this block go at its end, when its results have been written or collected."""
+    before = set(_WRITTEN)
+    try:
+        yield
+    finally:
+        for path in [p for p in _WRITTEN if p not in before]:
+            _WRITTEN.remove(path)
+            _remove(spark, path)
+        _KEPT.clear()
+
+
+def files_of(df: DataFrame) -> tuple:
+    """The files behind a table with their sizes and times."""
+    spark, found = df.sparkSession, []
+    for f in sorted(df.inputFiles()):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f)
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        found.append((f, status.getLen(), status.getModificationTime()))
+    return tuple(found)
+
+
+def kept(name: str, of: DataFrame, make):
+    """What ``make()`` returned for this application, name and files of ``of``; made anew when a file has changed and after ``drop_tables``."""
+    key = (of.sparkSession.sparkContext.applicationId, name)
+    files = files_of(of)
+    if key not in _KEPT or _KEPT[key][0] != files:
+        _KEPT[key] = files, make()
+    return _KEPT[key][1]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

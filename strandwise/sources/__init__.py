@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import gzip
+import io
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,13 +15,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def _records(spark: SparkSession, path: str, sep: str) -> DataFrame:
+    """``(f, n, value)``: the parts of files between separators, in order of n. ``.gz`` is decompressed by the reader, ``.gzip`` in a task for each file."""
+    if not path.endswith(".gzip"):
+        return spark.read.option("lineSep", sep).text(path).select(F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("n"), "value")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for f, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                seen, rest, decoder = 0, "", io.TextIOWrapper(gzip.GzipFile(fileobj=io.BytesIO(content.as_py())), "utf-8", errors="replace", newline="")
+                while text := decoder.read(1 << 20):
+                    *parts, rest = (rest + text).split(sep)
+                    yield pa.RecordBatch.from_arrays([pa.array([f] * len(parts), pa.string()), pa.array(range(seen, seen + len(parts)), pa.int64()), pa.array(parts, pa.string())], names=["f", "n", "value"])
+                    seen += len(parts)
+                if rest:
+                    yield pa.RecordBatch.from_arrays([pa.array([f]), pa.array([seen]), pa.array([rest])], names=["f", "n", "value"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "f string, n bigint, value string")
+
+
 def read_fasta(spark: SparkSession, path: str, strip: bool = False) -> DataFrame:
     """``(seq_id, seq)``: a line that begins with ``>`` opens a record, its rest is the id as it stands; the other lines are joined.
 
-    ``.gz`` is decompressed. Text before the first ``>`` belongs to no record; of records with one id the last stays. ``strip`` trims
+    ``.gz`` and ``.gzip`` are decompressed. Text before the first ``>`` belongs to no record; of records with one id the last stays. ``strip`` trims
     every line. Files are read by record, so a large file splits into many tasks. A missing path is an error.
     """
-    raw = spark.read.option("lineSep", "\n>").text(path).select(F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("n"), "value")
+    raw = _records(spark, path, "\n>")
     first = F.col("value").startswith(">")
     opened = raw.groupBy("f").agg(F.min("n").alias("n0"))
     body = raw.join(F.broadcast(opened), "f").where((F.col("n") > F.col("n0")) | first).withColumn("value", F.when((F.col("n") == F.col("n0")) & first, F.expr("substring(value, 2)")).otherwise(F.col("value")))
@@ -28,7 +57,7 @@ def read_fasta(spark: SparkSession, path: str, strip: bool = False) -> DataFrame
 
 def read_scores(spark: SparkSession, path: str) -> DataFrame:
     """``(seq_id, score DOUBLE)`` of a tab-separated file. Lines whose second field is no number (a header) and lines of one field are left out; of repeated ids the last line stays."""
-    raw = spark.read.text(path).select(F.split("value", "\t").alias("x"), F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("n"))
+    raw = _records(spark, path, "\n").select(F.split(F.regexp_replace("value", "\r$", ""), "\t").alias("x"), "f", "n")
     rows = raw.select(F.get("x", F.lit(0)).alias("seq_id"), F.expr("try_cast(trim(get(x, 1)) as double)").alias("score"), "f", "n").where("score is not null")
     return rows.groupBy("seq_id").agg(F.max_by("score", F.struct("f", "n")).alias("score"))
 
@@ -74,7 +103,10 @@ def read_clusters(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_selection(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(peaks, maxima of permuted scores) without spatial smoothing, from the files of a selection run."""
-    peaks = spark.read.csv(f"{folder}/peaks.tsv", sep="\t", header=True, nullValue="null", inferSchema=True).where("spatialLength = 0")
-    null = spark.read.csv(f"{folder}/permdists_windowed.tsv", sep="\t", header=True, nullValue="null", inferSchema=True).where("spatialLength = 0")
-    return peaks, null
+    """(peaks, maxima of permuted scores) without spatial smoothing, from the files of a selection run or, where one isn't there, from its ``.gz``."""
+
+    def read(name: str) -> DataFrame:
+        path = f"{folder.rstrip('/')}/{name}"
+        return spark.read.csv(path if exists(spark, path) else f"{path}.gz", sep="\t", header=True, nullValue="null", inferSchema=True).where("spatialLength = 0")
+
+    return read("peaks.tsv"), read("permdists_windowed.tsv")

@@ -1,3 +1,5 @@
+import gzip
+import hashlib
 import random
 import re
 import statistics
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from strandwise import sinks, sources
 from strandwise.operators import clustering, filters, motifs, peaks, permutation, smoothing, suffixes, text
+from strandwise.operators.ordering import ordered
 from strandwise.operators.smoothing import gini_counts
 from strandwise.plans import motif as plans
 from strandwise.runtime import cut
@@ -35,7 +38,7 @@ def world(spark):
     seqs, scores = made()
     s, y = sources.from_rows(spark, seqs | {"no score": "AC"}, scores | {"no seq": 1.0})
     b = cut(text.align(s, y))
-    sx = cut(suffixes.suffix_order(b, 8))
+    sx = cut(suffixes.suffix_order(b, 1))
     names = sorted(seqs)
     whole = "".join(seqs[k] + "$" for k in names)
     block = [n for n, k in enumerate(names) for _ in range(len(seqs[k]) + 1)]
@@ -61,7 +64,7 @@ def test_order(world):
 
 def test_find(world):
     spark, _, _, _, whole, _, order, b, sx = world
-    words = ["", "CAT", "ACACACAC", "A$", "$", "GGGGGGGG", "zz"]
+    words = ["", "CAT", "ACACACAC", "A$", "$", "GGGGGGGG", "zz", "AC" * 33, "AC" * 100, "AC" * 100 + "$" + "AC" * 70, whole[7:407], whole[-90:], "AC" * 101]
     found = {r.kmer: (r.i_from, r.i_to) for r in suffixes.find_kmer(b, sx, spark.createDataFrame([(w,) for w in words], "kmer string")).collect()}
     for w in words:
         hits = [i for i, s in enumerate(order) if whole[s:].startswith(w)]
@@ -154,6 +157,38 @@ def test_extend_without_a_limit(world):
     assert got == sorted(want) and sum(len(t) == 150 for _, t, _, _ in got) == 3
 
 
+def test_order_of_equal_letters(spark):
+    """A hundred thousand equal letters: equal keys fill several tasks, and every tie is solved."""
+    b = cut(text.align(*sources.from_rows(spark, {"a": "A" * 100_000, "b": "C" + "A" * 700, "c": ""}, {"a": 1, "b": 2, "c": 3})))
+    whole = "A" * 100_000 + "$C" + "A" * 700 + "$$"
+    got = [r.s for r in suffixes.suffix_order(b).orderBy("i").collect()]
+    # Runs of A end in $C or in $$: the shorter run of two comes first, and of equal ones that before $$.
+    left = {s: (0, 100_000 - s, 1) for s in range(100_000)} | {100_002 + k: (0, 700 - k, 0) for k in range(700)}
+    want = sorted(left, key=lambda s: (left[s][1], left[s][2]))
+    assert got == [100_703, 100_702, 100_000, *want, 100_001] and len(got) == len(whole)
+
+
+def test_total_order_over_tasks(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["x"] * 8 + ["a", "z", None]), k) for k in range(2_000)]
+    got = ordered(spark.createDataFrame(rows, "k string, u long"), ["k"], ["u"]).orderBy("pos").collect()
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    keys = [r[0] for r in want]
+    assert [(r.k, r.u) for r in got] == want and [r.pos for r in got] == list(range(2_000))
+    assert [r.first for r in got] == [keys.index(k) for k in keys] and all(r.tied == (keys.count(r.k) > 1) for r in got)
+    lone = ordered(spark.createDataFrame([(k,) for k in range(300)], "k long"), ["k"]).collect()
+    assert not any(r.tied for r in lone) and ordered(spark.createDataFrame([], "k long"), ["k"]).count() == 0
+
+
+def test_text_of_any_length(world):
+    _, _, _, _, whole, _, _, b, sx = world
+    places = sx.select("s").where("s % 50 = 0")
+    for k, from_ in ((200, -30), (90, 0), (5, -5), (0, -100)):
+        assert all(r.kmer == whole[max(0, r.s + from_) : r.s + k] for r in text.text_at(places, b, "s", k, from_=from_).collect())
+    rows = text.text_at(places.withColumn("n", (F.col("s") % 400).cast("int")), b, "s", F.col("n"), "t").collect()
+    assert len(rows) == places.count() and all(r.t == whole[r.s : r.s + r.n] for r in rows)
+
+
 def test_permutations(world):
     spark, _, scores, _, whole, _, _, b, sx = world
     grid = filters.parameter_grid(spark, [4], [0, 3], [1.1])
@@ -170,7 +205,21 @@ def test_permutations(world):
         assert dist.where((F.col("f") == 0) & (F.col("rep") == rep)).first().max_windowed == pytest.approx(sm.where(F.col("gini") >= low).agg(F.max("windowed")).first()[0])
     limits = permutation.thresholds(dist, 1.0).orderBy("f").collect()
     assert limits[0].theta is not None and limits[1].theta is None and limits[1].spatial_theta is not None
-    assert permutation.false_positive_rate(dist, permutation.thresholds(dist, 1.0)).first().n == 3
+    rate, null = permutation.estimate_false_positive_rate(sx, b, grid, permutation.thresholds(dist, 1.0), 5, 6)
+    assert rate.first().n == 5 and 0 <= rate.first().fp <= 5 and null.count() == 10
+    md5 = lambda rep, k: hashlib.md5(f"5:{rep}:{k}".encode()).hexdigest()
+    score = {r.b: r.score for r in b.collect()}
+    want = {(rep, k): score[p] for rep in range(3) for p, k in enumerate(sorted(score, key=lambda k: md5(rep, k)))}
+    assert {(r.rep, r.b): r.score for r in perms.collect()} == want
+    # Repetitions in several passes.
+    permutation.REPS_AT_ONCE, before = 2, permutation.REPS_AT_ONCE
+    again = permutation.permutation_distribution(sx, b, grid, perms, 3)
+    permutation.REPS_AT_ONCE = before
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, dist.collect()))
+    wide = smoothing.smooth_spatial(gini, 3, len(whole))
+    dealt = smoothing.smooth_spatial(smoothing.smooth(sx.join(perms.where("rep = 1").select("b", "score"), "b"), 4, len(whole)), 3, len(whole)).select("i", F.col("spatial_windowed").alias("y"))
+    ok = wide.where((F.col("gini") >= low) & (F.col("spatial_gini") >= low)).join(dealt, "i")
+    assert dist.where("f = 1 and rep = 1").first().max_spatial == pytest.approx(ok.agg(F.max("y")).first()[0])
 
 
 def test_java_shuffles():
@@ -192,6 +241,8 @@ def test_motif_tables(spark):
     assert motifs.kmer_counts(seqs, ["TCTCA"], directional=False).where("seq_id = 'a'").first().n == 1
     found = motifs.locate_kmers(seqs, ["TCTCA", "aaa"], directional=False, show_match=True).collect()
     assert sorted((r.kmer, r.location, r.match) for r in found) == [("TCTCA", 10, "TGAGA"), ("aaa", 1, "AAA"), ("aaa", 14, "AAA")]
+    longest = motifs.regex_locate(seqs, ["(?:CAT|CATAC)(?:T|TGA)?"], show_match=True).collect()
+    assert [(r.location, r.match) for r in longest] == [(5, "CATACTGA")]
     rows = spark.createDataFrame([(1, 0, "ACGTA"), (2, 1, "CG"), (3, 0, "ACGTA"), (4, 4, "AC"), (5, 400, "A" * 300), (6, 690, "AAA")], "i int, s int, kmer string")
     assert sorted(r.i for r in motifs.prune_intervals(rows).collect()) == [1, 4, 5]
     assert sorted(r.kmer for r in motifs.extract_kmers(rows.where("i in (1, 4)")).collect()) == ["AC", "ACGTA"]
@@ -232,8 +283,12 @@ def test_every_motif_is_compared(spark, rare):
             dot = sum(n * profiles[b][g] for g, n in profiles[a].items())
             if dot:
                 want[a, b] = 1 - dot / (sum(n * n for n in profiles[a].values()) + sum(n * n for n in profiles[b].values()) - dot)
-    got = plans.k_distances(spark, d).collect()
+    kmers = spark.createDataFrame([(m,) for m in all_], "kmer string")
+    got = clustering.distances(kmers, 3).collect()
     assert len(got) == len(want) and all(r.distance == pytest.approx(want[r.a, r.b], abs=1e-6) for r in got)
+    for at_most in (0.0, 0.3, 0.6, 0.9):
+        near = {(r.a, r.b): r.distance for r in clustering.near_distances(kmers, 3, at_most=at_most).collect()}
+        assert near == pytest.approx({p: x for p, x in want.items() if x <= at_most + 1e-9}, abs=1e-9)
 
 
 def test_linkage_against_one_pair_at_a_time(spark):
@@ -261,6 +316,9 @@ def test_files(spark, tmp_path):
     (tmp_path / "s.fa").write_text("junk\n>a b\nACG\nT\n>c\n>d>e\nGG\r\n>a b\nTTT\n")
     rows = {r.seq_id: r.seq for r in sources.read_fasta(spark, str(tmp_path / "s.fa")).collect()}
     assert rows == {"a b": "TTT", "c": "", "d>e": "GG"}
+    with gzip.open(tmp_path / "s.gzip", "wb") as f:
+        f.write((tmp_path / "s.fa").read_bytes())
+    assert {r.seq_id: r.seq for r in sources.read_fasta(spark, str(tmp_path / "s.gzip")).collect()} == rows
     (tmp_path / "y.tsv").write_text("b\ty\na\t1\na\t2.5\nlone\nc\tx\n")
     assert [tuple(r) for r in sources.read_scores(spark, str(tmp_path / "y.tsv")).collect()] == [("a", 2.5)]
     grid = filters.parameter_grid(spark, [4, 8], [0, 3], [1.1])
@@ -273,7 +331,7 @@ def test_files(spark, tmp_path):
     assert sorted(r.kmer for r in sources.read_kmers(spark, kmers="TTT,ACG\nAAA").collect()) == ["AAA", "ACG"]
 
 
-def test_command_line(spark, tmp_path):
+def test_command_line(spark, tmp_path, capsys):
     from strandwise import cli
 
     seqs, scores = made(n=12, length=30)
@@ -285,6 +343,31 @@ def test_command_line(spark, tmp_path):
     assert header == peaks.COLUMNS and (tmp_path / "out" / "merged_peaks.tsv").exists()
     found, null = sources.read_selection(spark, str(tmp_path / "out"))
     assert null.count() == 4 and found.count() > 0
-    fp = cli.test(spark, cli.parser().parse_args(["test", *files, "-i", str(tmp_path / "out"), "-r", "4", "-e", "9"]))
+    fp = cli.test(spark, cli.parser().parse_args(["test", *files, "-i", str(tmp_path / "out"), "-r", "4", "-e", "9", "--interval"]))
     assert 0 <= fp <= 4
-    assert cli.count(spark, cli.parser().parse_args(["count", *files[:2], "-k", "CATACTGAGA"])).agg(F.sum("n")).first()[0] >= 4
+    best = cli.zrank(spark, cli.parser().parse_args(["zrank", "-i", str(tmp_path / "out")])).collect()
+    assert len({r.kmer for r in best}) == len(best) == found.select("kmer").distinct().count()
+    told = lambda *args: cli.count(spark, cli.parser().parse_args(["count", *files[:2], *args]))
+    capsys.readouterr()
+    assert told("-k", "CATACTGAGA").agg(F.sum("CATACTGAGA")).first()[0] >= 4
+    assert len(capsys.readouterr().out.splitlines()) == len(seqs) + 1
+    (tmp_path / "k.txt").write_text("AC\nGT\nTTT\n")
+    assert told("-k", str(tmp_path / "k.txt")).columns == ["seq_id", "AAA", "AC"]
+    assert told("-c", "ACAC,CACA", "-d").columns == ["seq_id", "ACAC,CACA"]
+    capsys.readouterr()
+    located = told("-k", "AC", "-d", "-l").count()
+    assert located > 200 and len(capsys.readouterr().out.splitlines()) == located + 1
+
+
+def test_tables_go_and_indexes_follow_their_files(spark, tmp_path):
+    from strandwise import runtime
+
+    df = spark.range(3)
+    with runtime.scratch(spark):
+        inside = runtime.cut(df).inputFiles()
+    assert inside and not any(sources.exists(spark, f) for f in inside)
+    path = str(tmp_path / "t")
+    df.write.parquet(path)
+    made = [runtime.kept("x", spark.read.parquet(path), lambda: n) for n in (1, 2)]
+    spark.range(5).write.mode("overwrite").parquet(path)
+    assert [*made, runtime.kept("x", spark.read.parquet(path), lambda: 3)] == [1, 1, 3]
