@@ -87,15 +87,18 @@ def _holds(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bitmap[a >> 3] >> (a & 7).astype(np.uint8) & bitmap[b >> 3] >> (b & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def _filter(keys: DataFrame, n: int) -> np.ndarray:
-    """Two bits for each of ``n`` hashes ``keys(h)`` in a bitmap of 16 bits a hash, at most ``FILTER_BITS`` altogether. Tasks set the bits; the driver gets the bitmap only."""
+def _filters(anchors: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Two bits for each hash of ``anchors(h, lo, hi)`` in a bitmap of 16 bits a hash, at most ``FILTER_BITS`` altogether; one of all, one of those in several records. Tasks set the bits; the driver gets the bitmaps only."""
+    n = anchors.count()
     size = min(FILTER_BITS, max(1 << 15, 1 << (16 * n - 1).bit_length() if n else 0))
     at = F.explode(F.array(F.col("h").bitwiseAND(size - 1) + 1, F.shiftrightunsigned("h", 32).bitwiseAND(size - 1) + 1))
-    rows = keys.select(at.alias("x")).groupBy(F.bitmap_bucket_number("x").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits")).collect()
-    bitmap = np.zeros(size // 8, np.uint8)
-    for r in rows:
-        bitmap[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(r.bits, np.uint8)
-    return bitmap
+    place = F.bitmap_bit_position("x")
+    rows = anchors.select(at.alias("x"), (F.col("lo") != F.col("hi")).alias("several")).groupBy(F.bitmap_bucket_number("x").alias("k"))
+    every, several = np.zeros(size // 8, np.uint8), np.zeros(size // 8, np.uint8)
+    for r in rows.agg(F.bitmap_construct_agg(place).alias("every"), F.bitmap_construct_agg(F.when(F.col("several"), place)).alias("several")).collect():
+        for bitmap, bits in ((every, r.every), (several, r.several)):
+            bitmap[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(bits, np.uint8)
+    return every, several
 
 
 def _anchors(records: DataFrame, width: int, segment: int) -> DataFrame:
@@ -185,8 +188,7 @@ def shared_spans(records: DataFrame, key: str, text: str, least: int = 50, segme
     kept = records.select(F.col(key).cast("bigint").alias("b"), F.col(text).alias("text")).where(F.col("b").isNotNull() & (F.length("text") >= least))
     both = [F.min("b").alias("lo"), F.max("b").alias("hi")]
     anchors = cut(_anchors(kept, width, segment).groupBy("h").agg(*both))
-    several = anchors.where("lo <> hi")
-    filters = [context.broadcast(_filter(x.select("h"), x.count())) for x in (anchors, several)]
+    filters = map(context.broadcast, _filters(anchors))
     hits = _probes(kept, width, segment, *filters).join(anchors, "h").where("lo <> b or hi <> b")
     seg = lambda at: F.floor(at / segment)
     near = F.explode(F.array_distinct(F.array(seg(F.greatest(F.lit(0), F.col("wi") - (least - width))), seg(F.col("wi")))))

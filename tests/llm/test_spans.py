@@ -75,6 +75,8 @@ def test_long_records_and_one_letter(spark):
 def test_filter_loses_nothing(spark):
     rng = np.random.default_rng(2)
     h = rng.integers(-(2**63), 2**63, 5_000)
-    keys = spark.createDataFrame([(int(x),) for x in h], "h long")
-    bitmap = spans._filter(keys, len(h))
-    assert spans._holds(bitmap, h).all() and spans._holds(bitmap, rng.integers(-(2**63), 2**63, 20_000)).mean() < 0.05
+    anchors = spark.createDataFrame([(int(x), 1, 1 + k % 2) for k, x in enumerate(h)], "h long, lo long, hi long")
+    other = rng.integers(-(2**63), 2**63, 20_000)
+    for bitmap, inside in zip(spans._filters(anchors), (h, h[1::2])):
+        assert spans._holds(bitmap, inside).all() and spans._holds(bitmap, other).mean() < 0.05
+    assert spans._holds(spans._filters(anchors)[1], h[::2]).mean() < 0.05
