@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from strandwise.runtime import bare, cut, join_unique, partitions
 
-#: Later than every time, in microseconds.
-FAR = 1 << 62
+#: Later than every time, in microseconds, and what stands for no time.
+FAR, NEVER = 1 << 62, -(1 << 62)
 #: Keys of a range of the dictionary, which its bitmaps cover.
 RANGE = 1 << 15
 #: Members of a bitmap up to which it is a sorted list of two bytes each rather than a bit for each key of the range.
@@ -70,13 +70,13 @@ _ARROW = pa.schema([("_key", pa.string()), ("_at", pa.int64()), ("_sure", pa.boo
 def _orphaned(keys: list[str], use: np.ndarray, live: np.ndarray, known: np.ndarray, first: np.ndarray) -> Iterator[pa.RecordBatch]:
     """What is left of one range of keys: references AND NOT lives, period by period.
 
-    ``use``: code, begin and end of the period (begin -1: no time), number of references; ``live``: code, begin, end of a life.
+    ``use``: code, begin and end of the period (begin ``NEVER``: no time), number of references; ``live``: code, begin, end of a life.
     """
     every = Bitmap(np.flatnonzero(known))
     for at in np.unique(use[:, 1]):
         asked = use[use[:, 1] == at]
         ref, end = Bitmap(asked[:, 0]), asked[0, 2]
-        if at < 0:
+        if at == NEVER:
             sure, unsure, near = ref.and_not(every), np.zeros(0, np.uint16), live[:0]
         else:
             near = live[(live[:, 1] < end) & (live[:, 2] > at)]
@@ -91,7 +91,7 @@ def _orphaned(keys: list[str], use: np.ndarray, live: np.ndarray, known: np.ndar
         for codes in np.array_split(np.arange(len(lives)), len(lives) // 10_000 + 1):
             code = np.r_[sure, unsure][codes]
             yield pa.RecordBatch.from_arrays([
-                pa.array([keys[c] for c in code.tolist()], pa.string()), pa.repeat(pa.scalar(None if at < 0 else int(at), pa.int64()), len(code)), pa.array(codes < len(sure)), pa.array(n[code]), pa.array(known[code]),
+                pa.array([keys[c] for c in code.tolist()], pa.string()), pa.repeat(pa.scalar(int(at), pa.int64()), len(code)), pa.array(codes < len(sure)), pa.array(n[code]), pa.array(known[code]),
                 pa.array(first[code], mask=first[code] == FAR), pa.array([lives[k] for k in codes.tolist()], _ARROW.field("_lives").type),
             ], schema=_ARROW)
 
@@ -150,7 +150,7 @@ def orphan_references(refs: DataFrame, ref_id: str, ref_key: str, ref_time: str,
     rows = refs.select(F.col(ref_id).alias("_id"), bare(ref_key).alias("_key"), F.col(ref_time).cast("timestamp").alias("_t")).where("_key is not null").withColumn("_period", F.date_trunc(period, "_t"))
     used = rows.groupBy("_key", "_period").agg(F.count(F.lit(1)).alias("_n"))
     end = F.date_trunc(period, F.col("_period") + F.expr(f"interval 1 {period}"))
-    used = used.select("_key", F.lit(0).alias("_parent"), F.coalesce(micros(F.col("_period")), F.lit(-1)).alias("_a"), F.coalesce(micros(end), F.lit(-1)).alias("_z"), "_n")
+    used = used.select("_key", F.lit(0).alias("_parent"), F.coalesce(micros(F.col("_period")), F.lit(NEVER)).alias("_a"), F.coalesce(micros(end), F.lit(NEVER)).alias("_z"), "_n")
     never = F.lit(FAR)
     lives = parents.where(F.col(parent_key).isNotNull()).select(F.col(parent_key).cast("string").alias("_key"), F.coalesce(micros(F.col(added)), never).alias("_a"), F.coalesce(micros(F.col(deleted)), never).alias("_z"))
     lives = lives.groupBy("_key", "_a").agg(F.max("_z").alias("_z")).select("_key", F.lit(1).alias("_parent"), "_a", "_z", F.lit(0).cast("bigint").alias("_n"))
@@ -159,9 +159,8 @@ def orphan_references(refs: DataFrame, ref_id: str, ref_key: str, ref_time: str,
     hot_rows = max(hot_rows, total // 2000)
     left = cut(events.repartitionByRange(parts, "_key").sortWithinPartitions("_key").mapInArrow(_ranges, LEFT))
 
-    # References without a time take part in the join under a stand-in.
-    at = F.coalesce(micros(F.col("_period")), F.lit(-1))
-    found = join_unique(rows.withColumn("_at", at), left.withColumn("_at", F.coalesce("_at", F.lit(-1))), ["_key", "_at"], "_n", hot_rows)
+    at = F.coalesce(micros(F.col("_period")), F.lit(NEVER))
+    found = join_unique(rows.withColumn("_at", at), left, ["_key", "_at"], "_n", hot_rows)
     t = micros(F.col("_t"))
     known = F.size("_lives") <= LIVES
     dead = found.where(F.col("_sure") | (known & ~F.exists("_lives", lambda x: (x["a"] <= t) & (t < x["z"]))))

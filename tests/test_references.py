@@ -49,6 +49,9 @@ def test_edges(spark):
     args = ("score_id", "b", "loaded_at")
     found = sorted((x.score_id, x.reason) for x in orphan_references(r, *args, p, "seq_id", "added_at", "deleted_at").collect())
     assert found == [(2, "missing"), (3, "deleted"), (3, "deleted")]
+    old = spark.createDataFrame([(1, "a", datetime(1950, 5, 5)), (2, "a", datetime(1961, 5, 5)), (3, "b", datetime(1950, 5, 5))], "score_id long, b string, loaded_at timestamp")
+    life = spark.createDataFrame([("a", datetime(1960, 1, 1), None)], "seq_id string, added_at timestamp, deleted_at timestamp")
+    assert sorted((x.score_id, x.reason) for x in orphan_references(old, *args, life, "seq_id", "added_at", "deleted_at").collect()) == [(1, "late"), (3, "missing")]
     none = orphan_references(r, *args, p.limit(0), "seq_id", "added_at", "deleted_at").collect()
     assert {x.reason for x in none} == {"missing"} and len(none) == 4
     assert orphan_references(r.limit(0), *args, p, "seq_id", "added_at", "deleted_at").count() == 0
