@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,9 +128,11 @@ def sub_peaks(peaks: DataFrame, smoothed: DataFrame, x: dict, rows: int = ROWS)
 def islands(rows: DataFrame, at: str, group: list[str] = (), size: int = ROWS) -> DataFrame:
     """Adds ``island``: the first of each run of consecutive distinct values of ``at``.
 
-    A run's first value is the last value up to here whose predecessor is missing; found within buckets of values and carried from bucket to bucket.
+    A run's first value is the last value up to here whose predecessor is missing; found within buckets of values and carried from bucket to bucket. Buckets have
+    at least as many values as there are buckets.
     """
     keys = [*group]
+    size = max(size, math.isqrt(max(0, rows.agg(F.max(at)).first()[0] or 0)))
     begins = rows.join(rows.select(*keys, (F.col(at) + 1).alias(at), F.lit(True).alias("_has")).distinct(), [*keys, at], "left").withColumn("_begin", F.when(F.col("_has").isNull(), F.col(at))).drop("_has").withColumn("_k", F.floor(F.col(at) / size))
     tops = begins.groupBy(*keys, "_k").agg(F.max("_begin").alias("_top"))
     carry = tops.select(*keys, "_k", F.last("_top", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))

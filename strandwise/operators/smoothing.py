@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of a chunk without its halo; the unit of work of a task.
@@ -100,10 +100,11 @@ def smooth_spatial(smoothed: DataFrame, length: int, n: int, rows: int = ROWS) -
     return _chunked(smoothed.select("i", "s", "b", "windowed", "gini"), "s", length, length, kernel, "i bigint, s bigint, b bigint, windowed float, gini float, spatial_windowed float, spatial_gini float", rows)
 
 
-def gini_impurity(counts: list[int]) -> float:
-    """1 - sum of squared shares."""
-    total = sum(counts)
-    return 1 - sum(c * c for c in counts) / total**2 if total else 0.0
+def gini_impurity(counts: Column | str) -> Column:
+    """1 - sum of squared shares of an array of counts; 0 where they add up to 0."""
+    add = lambda f: F.aggregate(counts, F.lit(0).cast("double"), lambda s, x: s + f(x))
+    total = add(lambda x: x)
+    return F.when(total > 0, 1 - add(lambda x: x * x.cast("double")) / (total * total)).otherwise(0.0)
 
 
 def window_block_counts(scored: DataFrame, centres: DataFrame, half: int) -> DataFrame:

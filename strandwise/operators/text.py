@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,8 +33,8 @@ def align(seqs: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def with_offsets(blocks: DataFrame, b: str, length: str) -> DataFrame:
-    """Adds ``offset``, the sum of length + 1 over smaller ``b`` (dense ranks)."""
-    bucket = F.floor(F.col(b) / BUCKETS)
+    """Adds ``offset``, the sum of length + 1 over smaller ``b`` (dense ranks): first over buckets of ranks, no more of them than ranks in one, then inside."""
+    bucket = F.floor(F.col(b) / max(BUCKETS, math.isqrt(blocks.count())))
     sums = blocks.groupBy(bucket.alias("_bucket")).agg(F.sum(F.col(length) + 1).alias("_sum"))
     before = sums.select("_bucket", F.coalesce(F.sum("_sum").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     inside = F.coalesce(F.sum(F.col(length) + 1).over(Window.partitionBy("_bucket").orderBy(b).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -49,6 +49,10 @@ def c_blocks(spark, d):
     return _aligned(spark, d).select("b", "seq_id", "score", "offset", "len")
 
 
+def c_block_scores(spark, d):
+    return text.block_scores(_aligned(spark, d))
+
+
 def c_suffix_order(spark, d):
     return _suffixes(spark, d)[1]
 
@@ -113,11 +117,11 @@ def e_neighbours(spark, d):
 
 
 def e_block_counts(spark, d):
-    """Of every full window the number of blocks in it and the most that one of them has."""
+    """Of every full window the number of blocks in it, the most that one of them has, and the Gini impurity of the counts."""
     b, sx = _suffixes(spark, d)
     centres = sx.where(F.col("i").between(HALF, sx.count() - 1 - HALF)).select(F.col("i").alias("centre"))
     counts = smoothing.window_block_counts(sx, centres, HALF)
-    return counts.groupBy("centre").agg(F.count("b").alias("n_blocks"), F.max("n").alias("most"))
+    return counts.groupBy("centre").agg(F.count("b").alias("n_blocks"), F.max("n").alias("most"), F.round(smoothing.gini_impurity(F.collect_list("n")), 6).alias("gini"))
 
 
 def f_grid(spark, d):
@@ -133,6 +137,14 @@ def f_gini_threshold(spark, d):
     return spark.createDataFrame([(round(median, 5), round(filters.relative_gini(median, 1.1), 5))], "median_gini double, min_gini double")
 
 
+def f_gini_mask(spark, d):
+    """Which places either Gini test masks."""
+    b, sx = _suffixes(spark, d)
+    base = cut(_smooth(b, sx, HALF))
+    low = filters.relative_gini(filters.median_gini(base), 1.1)
+    return smoothing.smooth_spatial(base, LENGTH, sx.count()).select("i", filters.gini_mask(low, low, True).alias("masked"))
+
+
 def _grid(spark, lengths=(0,)):
     return filters.parameter_grid(spark, [HALF], list(lengths), [1.1])
 
@@ -221,11 +233,15 @@ def h_false_positive_rate(spark, d):
     return rate.select("fp", "n", "mean", *[F.round(c, 6).alias(c) for c in ("lower", "upper")])
 
 
-def _zrank(spark, d, best_only):
+def _found(spark, d):
+    """The peaks above a fixed threshold, for each half window."""
     b, sx = _suffixes(spark, d)
-    grid = filters.parameter_grid(spark, list(HALVES), [0], [1.1])
     limits = spark.createDataFrame([(f, THETA, None) for f in range(len(HALVES))], "f int, theta float, spatial_theta float")
-    found = peaks.kmer_peaks(sx, b, grid, limits, True, KMAX).select("kmer", F.col("halfWindow").alias("half_window"), F.col("minGini").alias("min_gini"), "windowed")
+    return peaks.kmer_peaks(sx, b, filters.parameter_grid(spark, list(HALVES), [0], [1.1]), limits, True, KMAX)
+
+
+def _zrank(spark, d, best_only):
+    found = _found(spark, d).select("kmer", F.col("halfWindow").alias("half_window"), F.col("minGini").alias("min_gini"), "windowed")
     ranked = permutation.zrank(found, _null(spark, d), _wide(spark), best_only)
     return ranked.select("kmer", "half_window", "min_gini", F.round("zmax", 3).alias("zmax"))
 
@@ -360,6 +376,23 @@ def a_thresholds(spark, d):
     return _rounded(sources.read_thresholds(spark, root + "theta.tsv"))
 
 
+def a_permutations(spark, d):
+    """The maxima under permuted scores written as files and read again."""
+    root = fresh_path(spark, "permutations") + "/"
+    sinks.write_permutations(_null(spark, d), _wide(spark), root)
+    schema = "halfWindow int, minGini double, spatialLength int, minSpatialGini double, rep int, max float"
+    read = lambda name: spark.read.csv(root + name, sep="\t", header=True, nullValue="null", schema=schema).withColumn("file", F.lit(name))
+    return _rounded(read("windowed.tsv").unionByName(read("spatial_windowed.tsv")))
+
+
+def a_selection(spark, d):
+    """The files of a selection written and read again, and its motifs ranked."""
+    folder = fresh_path(spark, "selection")
+    sinks.write_peaks(_found(spark, d), f"{folder}/peaks.tsv")
+    sinks.write_permutations(_null(spark, d), _wide(spark), f"{folder}/permdists")
+    return permutation.zrank_selection(*sources.read_selection(spark, folder)).select("kmer", "half_window", "min_gini", F.round("zmax", 3).alias("zmax"))
+
+
 def a_kmers(spark, d):
     """The motifs of peaks written as a table and read again as canonical motifs."""
     path = fresh_path(spark, "kmers")
@@ -371,9 +404,9 @@ def a_kmers(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        c_blocks, c_suffix_order, c_source_block, c_source_score, c_rank_of_place, c_place_of_rank, c_kmer_at, c_kmer_around, d_find_kmer, e_smooth, e_smooth_spatial, e_neighbours, e_block_counts, f_grid, f_gini_threshold, f_peaks, f_peaks_spatial, f_block_info, f_selected, g_selected, g_merged, g_merged_spatial, g_merged_kmers, g_islands,
+        c_blocks, c_block_scores, c_suffix_order, c_source_block, c_source_score, c_rank_of_place, c_place_of_rank, c_kmer_at, c_kmer_around, d_find_kmer, e_smooth, e_smooth_spatial, e_neighbours, e_block_counts, f_grid, f_gini_threshold, f_gini_mask, f_peaks, f_peaks_spatial, f_block_info, f_selected, g_selected, g_merged, g_merged_spatial, g_merged_kmers, g_islands,
         h_permutation_distribution, h_permutations, h_thresholds, h_false_positives, h_false_positive_rate, h_zrank, h_zrank_best, i_prune, i_extend, i_extract, j_regex_counts, j_regex_counts_overlap, j_kmer_counts, j_cluster_counts, j_count_matrix, j_all_kmers, j_regex_locate, j_locate_kmers,
-        j_locate_kmers_from_zero, j_locate_clusters, j_reverse_complement, k_distances, k_clusters, k_orient, k_position_counts, k_aligned, a_fasta, a_scores, a_thresholds, a_kmers,
+        j_locate_kmers_from_zero, j_locate_clusters, j_reverse_complement, k_distances, k_clusters, k_orient, k_position_counts, k_aligned, a_fasta, a_scores, a_thresholds, a_permutations, a_selection, a_kmers,
     )
 }
 
@@ -546,10 +579,14 @@ SQL = {
     "e_smooth": _SMOOTH + "SELECT i, s, round(windowed::DOUBLE, 5) AS windowed, round(gini::DOUBLE, 5) AS gini FROM sm4",
     "e_smooth_spatial": _SMOOTH + "SELECT i, s, round(spatial_windowed::DOUBLE, 4) AS spatial_windowed, round(spatial_gini::DOUBLE, 4) AS spatial_gini FROM sp4",
     "e_neighbours": _SMOOTH + "SELECT i, s, round(before::DOUBLE, 5) AS before, round(after::DOUBLE, 5) AS after FROM nb4",
-    "e_block_counts": _SUFFIXES + "SELECT centre, count(*) AS n_blocks, max(n) AS most FROM (SELECT c.i AS centre, j.b, count(*) AS n FROM (SELECT i, unnest(range(i - 4, i + 5)) AS q FROM sx WHERE i BETWEEN 4 AND n - 5) c JOIN sx j ON j.i = c.q GROUP BY ALL) GROUP BY centre",
+    "e_block_counts": _SUFFIXES + "SELECT centre, count(*) AS n_blocks, max(n) AS most, round(1 - sum(n * n) / 81.0::DOUBLE, 6) AS gini FROM (SELECT c.i AS centre, j.b, count(*) AS n FROM (SELECT i, unnest(range(i - 4, i + 5)) AS q FROM sx WHERE i BETWEEN 4 AND n - 5) c JOIN sx j ON j.i = c.q GROUP BY ALL) GROUP BY centre",
     "f_grid": """WITH h AS (SELECT DISTINCT halfwindow AS half_window FROM peaks WHERE halfwindow IS NOT NULL), l AS (SELECT DISTINCT spatiallength AS spatial_length FROM peaks WHERE spatiallength IS NOT NULL), g AS (SELECT DISTINCT mingini + 0.0 AS min_gini FROM peaks WHERE mingini IS NOT NULL)
 SELECT (row_number() OVER (ORDER BY half_window, spatial_length, min_gini) - 1)::INT AS f, half_window, spatial_length, min_gini, CASE WHEN spatial_length > 1 THEN min_gini END AS min_spatial_gini FROM h, l, g""",
     "f_gini_threshold": _SMOOTH + "SELECT round(median(gini)::DOUBLE, 5) AS median_gini, round(1 - (1 - median(gini)::DOUBLE) * 1.1, 5) AS min_gini FROM sm4",
+    "f_gini_mask": _SMOOTH + "SELECT i, gini < gmin OR spatial_gini < gmin AS masked FROM sp4, q4",
+    "c_block_scores": _TEXT + "SELECT seq_id, score FROM e",
+    "a_permutations": _NULL + """SELECT CASE WHEN f < 2 THEN 4 ELSE 8 END AS "halfWindow", 1.1::DOUBLE AS "minGini", CASE WHEN f % 2 = 0 THEN 0 ELSE 3 END AS "spatialLength", CASE WHEN f % 2 = 1 THEN 1.1::DOUBLE END AS "minSpatialGini", rep, round(max::DOUBLE, 4) AS max, file
+FROM (SELECT f, rep, a AS max, 'windowed.tsv' AS file FROM mx UNION ALL SELECT f, rep, z, 'spatial_windowed.tsv' FROM mx)""",
     "f_peaks": _PEAKS + "SELECT i, s, substring(k, 1, round(khat)::INT) AS kmer, round(khat::DOUBLE, 4) AS khat, seq_id AS block, wi, round(gini::DOUBLE, 4) AS gini, round(windowed::DOUBLE, 4) AS windowed FROM pt",
     "f_peaks_spatial": _PEAKS_SPATIAL + 'SELECT i, s, substring(k, 1, round(khat)::INT) AS kmer, round(khat::DOUBLE, 4) AS khat, seq_id AS block, wi, round(spatial_windowed::DOUBLE, 4) AS "spatialWindowed", 0.7::DOUBLE AS "spatialTheta" FROM pt',
     "g_merged": _MERGED + _MERGED_COLUMNS,
@@ -599,4 +636,5 @@ SELECT seq_id, arg_max(score, line_id) AS score FROM v WHERE score IS NOT NULL G
     "a_kmers": f"SELECT DISTINCT least(kmer, {_rc('kmer')}) AS kmer FROM (SELECT upper(trim(kmer, chr(32) || chr(9) || chr(10) || chr(13) || chr(160))) AS kmer FROM peaks) WHERE regexp_full_match(kmer, '[ACGT]+')",
     "a_fasta": "SELECT seq_id, coalesce(catseq, '') AS seq FROM blocks",
 }
+SQL["a_selection"] = SQL["h_zrank_best"]
 SQL["g_merged_kmers"] = "SELECT DISTINCT kmer FROM (" + SQL["g_merged"] + ")"

@@ -107,6 +107,11 @@ def test_gini_counts_by_hand():
         assert gini_counts(b, half, 80 - half, half).tolist() == want
 
 
+def test_gini_impurity(spark):
+    rows = spark.createDataFrame([([1, 1, 2],), ([5],), ([],), (None,)], "n array<int>")
+    assert [r.g for r in rows.select(smoothing.gini_impurity("n").alias("g")).collect()] == [0.625, 0.0, 0.0, 0.0]
+
+
 def test_peaks_and_merge(world):
     spark, _, _, _, whole, _, order, b, sx = world
     y, g = smoothed_by_hand(world, 4)
