@@ -192,8 +192,9 @@ def shared_spans(records: DataFrame, key: str, text: str, least: int = 50, segme
     hits = _probes(kept, width, segment, *filters).join(anchors, "h").where("lo <> b or hi <> b")
     seg = lambda at: F.floor(at / segment)
     near = F.explode(F.array_distinct(F.array(seg(F.greatest(F.lit(0), F.col("wi") - (least - width))), seg(F.col("wi")))))
-    places = hits.select("b", near.alias("seg"), "wi").groupBy("b", "seg").agg(F.collect_set("wi").alias("places"))
-    windows = cut(_extended(_segments(kept, segment, least - 1).join(places, ["b", "seg"]), width, least, segment))
+    places = cut(hits.select("b", near.alias("seg"), "wi").groupBy("b", "seg").agg(F.collect_set("wi").alias("places")))
+    hit = kept.join(places.select("b").distinct(), "b", "left_semi").select("b", "text")
+    windows = cut(_extended(_segments(hit, segment, least - 1).join(places, ["b", "seg"]), width, least, segment))
     repeats = windows.groupBy("letters").agg(*both).where("lo <> hi").select("letters")
     found = windows.join(repeats, "letters").select("b", "wi").distinct().withColumn("seg", seg(F.col("wi")))
     w = Window.partitionBy("b", "seg").orderBy("wi")
