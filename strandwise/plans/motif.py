@@ -410,15 +410,35 @@ QUERIES = {
     )
 }
 
-# Suffixes compare by their first 1,000 letters here: the longest repeat of the test tables has 462.
 _TEXT = """
-WITH a AS (SELECT row_number() OVER (ORDER BY seq_id) - 1 AS b, seq_id, max(coalesce(catseq, '')) AS seq, max(score) AS score FROM blocks WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY seq_id),
-e AS (SELECT b, seq_id, seq, score, length(seq)::INT AS len, (sum(length(seq) + 1) OVER (ORDER BY b) - length(seq) - 1)::BIGINT AS o, seq || '$' || coalesce(string_agg(seq || '$', '') OVER (ORDER BY b ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING), '') AS t FROM a)
+WITH RECURSIVE a AS (SELECT row_number() OVER (ORDER BY seq_id) - 1 AS b, seq_id, max(coalesce(catseq, '')) AS seq, max(score) AS score FROM blocks WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY seq_id),
+e AS (SELECT b, seq_id, seq, score, length(seq)::INT AS len, (sum(length(seq) + 1) OVER (ORDER BY b) - length(seq) - 1)::BIGINT AS o FROM a),
+tt AS (SELECT string_agg(seq || '$', '' ORDER BY b) AS t FROM e)
 """
-_SUFFIXES = _TEXT + """,
-x AS (SELECT b, o + wi AS s, wi::INT AS wi, score, seq_id, substring(t, wi + 1, 1000) AS k FROM (SELECT *, unnest(range(len + 1)) AS wi FROM e)),
-sx AS (SELECT row_number() OVER (ORDER BY k) - 1 AS i, s, b, wi, score, seq_id, substring(k, 1, 64) AS k, count(*) OVER () AS n FROM x)
+
+
+def _suffixes_sql() -> str:
+    """sx: every suffix with its rank and first 64 letters. Letters and then ranks are doubled until no two suffixes tie, so suffixes compare whole."""
+    out = _TEXT + """,
+k1 AS (SELECT b, o + wi AS s, wi::INT AS wi, score, seq_id, substring(seq || '$', wi + 1, 1) AS k FROM (SELECT *, unnest(range(len + 1)) AS wi FROM e))"""
+    for n in (1, 2, 4, 8, 16, 32):
+        out += f""",
+k{2 * n} AS (SELECT * REPLACE (k || coalesce(lead(k, {n}) OVER (ORDER BY s), '') AS k) FROM k{n})"""
+    return out + """,
+rk AS (SELECT 64 AS ahead, s, rank() OVER (ORDER BY k) - 1 AS r, count(*) OVER (PARTITION BY k) > 1 AS tied FROM k64
+  UNION ALL SELECT ahead * 2, s, rank() OVER (ORDER BY r, r2) - 1, count(*) OVER (PARTITION BY r, r2) > 1 FROM (SELECT *, coalesce(lead(r, ahead) OVER (ORDER BY s), -1) AS r2, bool_or(tied) OVER () AS goes_on FROM rk) WHERE goes_on),
+sx AS (SELECT r AS i, k64.*, count(*) OVER () AS n FROM k64 JOIN (SELECT s, arg_max(r, ahead) AS r FROM rk GROUP BY s) USING (s))
 """
+
+
+_SUFFIXES = _suffixes_sql()
+
+
+def _at(place: str, letters: str) -> str:
+    """Whether k-mer ``letters`` of any length stands at a suffix of sx."""
+    return f"starts_with({place}.k, substring({letters}, 1, 64)) AND (length({letters}) <= 64 OR substring((SELECT t FROM tt), {place}.s + 1, length({letters})) = {letters})"
+
+
 _N = "(SELECT count(*) FROM sx)"
 
 
@@ -477,7 +497,7 @@ def _merged_sql(name: str, h: int, theta: str = "", spatial: str = "") -> str:
     return out + _khat_sql(f"{name}_k", rows, h) + f""",
 {name}_g AS (SELECT *, s - row_number() OVER (ORDER BY s) AS g FROM {name}_k),
 {name}_iv AS (SELECT min(s) AS s, least(max(s + round(khat)::INT), {_N}) AS z FROM {name}_g GROUP BY g),
-{name} AS (SELECT v.* EXCLUDE (k), substring(x.k, 1, (z - iv.s)::INT) AS kmer FROM {name}_iv iv JOIN {name}_g v USING (s) JOIN x ON x.s = iv.s)
+{name} AS (SELECT v.* EXCLUDE (k), substring(t, iv.s + 1, z - iv.s) AS kmer FROM {name}_iv iv JOIN {name}_g v USING (s), tt)
 """
 
 
@@ -506,7 +526,7 @@ th AS (SELECT f, CASE WHEN count(z) = 0 THEN (avg(a) + {SIGMA} * stddev_samp(a))
 """
 _HITS = _LIMITS + _null_sql(TEST_SEED, "tx") + ", h AS (SELECT rep, max((coalesce(a >= theta, FALSE) OR coalesce(z >= spatial_theta, FALSE))::INT) AS hit FROM tx JOIN th USING (f) GROUP BY rep), fp AS (SELECT sum(hit) AS fp, count(*) AS n FROM h)"
 _AT_MOST = "list_sum(list_transform(range(0, {k} + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({p}) + (n - j) * ln(1 - {p}))))"
-_RATE = _HITS.replace("WITH a AS", "WITH RECURSIVE a AS", 1) + f""",
+_RATE = _HITS + f""",
 bs AS (SELECT 0 AS step, fp::BIGINT AS k, n, 0.0::DOUBLE AS la, 1.0::DOUBLE AS lz, 0.0::DOUBLE AS ua, 1.0::DOUBLE AS uz FROM fp UNION ALL
   SELECT step + 1, k, n, CASE WHEN lo THEN (la + lz) / 2 ELSE la END, CASE WHEN lo THEN lz ELSE (la + lz) / 2 END, CASE WHEN up THEN (ua + uz) / 2 ELSE ua END, CASE WHEN up THEN uz ELSE (ua + uz) / 2 END
   FROM (SELECT *, k > 0 AND 1 - {_AT_MOST.format(k="k - 1", p="((la + lz) / 2)")} < 0.025 AS lo, {_AT_MOST.format(k="k", p="((ua + uz) / 2)")} > 0.025 AS up FROM bs WHERE step < 60))
@@ -567,6 +587,7 @@ def _located(name: str, members: list[str]) -> str:
     return f"SELECT seq_id AS seqid, '{name}' AS cluster, (list_sum(list_transform(p[1:j], lambda z: length(z))) + coalesce(list_sum(list_transform(m[1:j - 1], lambda z: length(z))), 0) + 1)::INT AS location, upper(m[j]) AS match FROM (SELECT seq_id, p, m, unnest(range(1, len(p))) AS j FROM (SELECT seq_id, regexp_split_to_array(lower(catseq), '{pattern}') AS p, regexp_extract_all(lower(catseq), '{pattern}') AS m FROM blocks WHERE catseq IS NOT NULL))"
 
 
+_WHOLE = "WITH t AS (SELECT string_agg(coalesce(catseq, '') || '$', '' ORDER BY b) AS t FROM blocks) "
 SQL = {
     "c_blocks": _TEXT + 'SELECT b, seq_id, score, o AS "offset", len FROM e',
     "c_suffix_order": _SUFFIXES + "SELECT i, s, b, wi FROM sx",
@@ -574,8 +595,8 @@ SQL = {
     "c_source_score": "SELECT peak_id, s, b.score AS source_score FROM (SELECT DISTINCT peak_id, s FROM peaks) p JOIN blocks b ON p.s >= b.seq_offset AND p.s < b.seq_offset + length(coalesce(catseq, '')) + 1",
     "c_rank_of_place": _SUFFIXES + "SELECT DISTINCT p.peak_id, s, sx.i AS rank FROM (SELECT peak_id, s FROM peaks) p JOIN sx USING (s)",
     "c_place_of_rank": _SUFFIXES + "SELECT DISTINCT p.peak_id, i, sx.s AS place, b, wi FROM (SELECT peak_id, i FROM peaks) p JOIN sx USING (i)",
-    "c_kmer_at": "WITH t AS (SELECT seq_offset AS o, length(coalesce(catseq, '')) + 1 AS n, coalesce(catseq, '') || '$' || coalesce(string_agg(coalesce(catseq, '') || '$', '') OVER (ORDER BY b ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING), '') AS t FROM blocks) SELECT peak_id, s, substring(t, s - o + 1, kmax) AS letters FROM (SELECT DISTINCT peak_id, s, kmax FROM peaks) p JOIN t ON s >= o AND s < o + n",
-    "d_find_kmer": _SUFFIXES + " SELECT m.kmer, min(i) AS i_from, max(i) + 1 AS i_to FROM (SELECT unnest(['', " + ", ".join(f"'{m}'" for m in MOTIFS) + "]) AS kmer" + "".join(f" UNION SELECT arg_min(substring(seq, 1, {n}), b) FROM e WHERE len >= {n}" for n in LONG) + ") m JOIN (SELECT i, x.k FROM sx JOIN x USING (s)) t ON starts_with(t.k, m.kmer) GROUP BY m.kmer",
+    "c_kmer_at": _WHOLE + "SELECT peak_id, s, substring(t, s + 1, kmax) AS letters FROM (SELECT DISTINCT peak_id, s, kmax FROM peaks) p, t WHERE s < length(t)",
+    "d_find_kmer": _SUFFIXES + " SELECT m.kmer, min(i) AS i_from, max(i) + 1 AS i_to FROM (SELECT unnest(['', " + ", ".join(f"'{m}'" for m in MOTIFS) + "]) AS kmer" + "".join(f" UNION SELECT arg_min(substring(seq, 1, {n}), b) FROM e WHERE len >= {n}" for n in LONG) + ") m JOIN sx ON " + _at("sx", "m.kmer") + " GROUP BY m.kmer",
     "e_smooth": _SMOOTH + "SELECT i, s, round(windowed::DOUBLE, 5) AS windowed, round(gini::DOUBLE, 5) AS gini FROM sm4",
     "e_smooth_spatial": _SMOOTH + "SELECT i, s, round(spatial_windowed::DOUBLE, 4) AS spatial_windowed, round(spatial_gini::DOUBLE, 4) AS spatial_gini FROM sp4",
     "e_neighbours": _SMOOTH + "SELECT i, s, round(before::DOUBLE, 5) AS before, round(after::DOUBLE, 5) AS after FROM nb4",
@@ -598,11 +619,11 @@ FROM (SELECT f, rep, a AS max, 'windowed.tsv' AS file FROM mx UNION ALL SELECT f
     "h_permutation_distribution": _NULL + "SELECT f, rep, round(a::DOUBLE, 4) AS max_windowed, round(z::DOUBLE, 4) AS max_spatial FROM mx",
     "h_false_positive_rate": _RATE,
     "h_zrank_best": _ZRANK + "SELECT kmer, half_window, min_gini, round(zmax, 3) AS zmax FROM (SELECT *, row_number() OVER (PARTITION BY kmer ORDER BY zmax DESC, half_window) AS r FROM zr) WHERE r = 1",
-    "i_extend": _MERGED + """,
-nw AS (SELECT DISTINCT kmer FROM mg WHERE kmer <> ''), pl AS (SELECT x.s AS pos, nw.kmer AS new FROM x JOIN nw ON starts_with(x.k, nw.kmer)), lg AS (SELECT max(length(kmer)) AS most FROM mg),
+    "i_extend": _MERGED + f""",
+nw AS (SELECT DISTINCT kmer FROM mg WHERE kmer <> ''), pl AS (SELECT sx.s AS pos, nw.kmer AS new FROM sx JOIN nw ON {_at('sx', 'nw.kmer')}), lg AS (SELECT max(length(kmer)) AS most FROM mg),
 ex AS (SELECT m.i, arg_min(pos, (-length(new), pos)) AS pos, arg_min(new, (-length(new), pos)) AS new FROM mg m JOIN pl ON pos <= m.s AND pos + length(new) >= m.s + length(m.kmer) AND length(new) > length(m.kmer), lg WHERE length(m.kmer) < most GROUP BY m.i)
 SELECT sx.i, sx.s, coalesce(ex.new, m.kmer) AS kmer, m.seq_id AS block, (m.wi + sx.s - m.s)::INT AS wi FROM mg m LEFT JOIN ex USING (i) JOIN sx ON sx.s = coalesce(ex.pos, m.s)""",
-    "c_kmer_around": "WITH t AS (SELECT string_agg(coalesce(catseq, '') || '$', '' ORDER BY b) AS t FROM blocks) SELECT peak_id, s, substring(t, greatest(s - 20, 0) + 1, s + 200 - greatest(s - 20, 0)) AS letters FROM (SELECT DISTINCT peak_id, s FROM peaks) p, t",
+    "c_kmer_around": _WHOLE + "SELECT peak_id, s, substring(t, greatest(s - 20, 0) + 1, s + 200 - greatest(s - 20, 0)) AS letters FROM (SELECT DISTINCT peak_id, s FROM peaks) p, t",
     "j_locate_clusters": " UNION ALL ".join(_located(c, sorted({x for k in m for x in (k, _comp(k))}, key=lambda k: (-len(k), k))) for c, m in CLUSTERS.items()),
     "k_orient": _MOTIFS + f""", rp AS (SELECT substring('{_REP}', q::INT, 3) AS gram, count(*) AS m FROM (SELECT unnest(range(1, {len(_REP) - 1})) AS q) GROUP BY 1),
 tu AS (SELECT kmer, {_rc('kmer')} AS rc FROM mo), sc AS (SELECT kmer, rc, coalesce((SELECT sum(m) FROM rp, (SELECT unnest(range(1, length(kmer) - 1)) AS q) WHERE substring(kmer, q::INT, 3) = gram), 0) AS f, coalesce((SELECT sum(m) FROM rp, (SELECT unnest(range(1, length(kmer) - 1)) AS q) WHERE substring(rc, q::INT, 3) = gram), 0) AS r FROM tu)
