@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +27,8 @@ def ordered(df: DataFrame, keys: list[str], then: list[str] = (), keep: list[str
     columns = df.columns if keep is None else keep
     parts = partitions(df.sparkSession)
     ranged = df.repartitionByRange(parts, *keys, *then).sortWithinPartitions(*keys, *then).select(*columns, *[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)])
-    fields = [T.StructField("_task", T.IntegerType()), T.StructField("_row", T.LongType()), T.StructField("_first", T.LongType()), T.StructField("_tied", T.BooleanType())]
-    edges = [T.StructField(f"_k{n}", df.schema[k].dataType) for n, k in enumerate(keys)]
-    schema = T.StructType([*[T.StructField(c, df.schema[c].dataType) for c in columns], *fields, *edges])
+    fields = [T.StructField("_task", T.IntegerType()), T.StructField("_row", T.LongType()), T.StructField("_first", T.LongType()), T.StructField("_tied", T.BooleanType()), T.StructField("_keys", T.BinaryType())]
+    schema = T.StructType([*[T.StructField(c, df.schema[c].dataType) for c in columns], *fields])
     width, arrow = len(columns), to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -37,9 +37,8 @@ def ordered(df: DataFrame, keys: list[str], then: list[str] = (), keep: list[str
         def told(batch: pa.RecordBatch, first: np.ndarray, tied: np.ndarray) -> pa.RecordBatch:
             """All rows but the last, which waits for the next batch."""
             n = batch.num_rows - 1
-            none = [pa.nulls(n, f.type) for f in arrow][width + len(fields) :]
-            made = [pa.array(np.full(n, task, np.int32)), pa.array(seen + np.arange(n)), pa.array(first[:n]), pa.array(tied[:n])]
-            return pa.RecordBatch.from_arrays([*[c.slice(0, n) for c in batch.columns[:width]], *made, *none], schema=arrow)
+            made = [pa.array(np.full(n, task, np.int32)), pa.array(seen + np.arange(n)), pa.array(first[:n]), pa.array(tied[:n]), pa.nulls(n, pa.binary())]
+            return pa.RecordBatch.from_arrays([*[c.slice(0, n) for c in batch.columns[:width]], *made], schema=arrow)
 
         joined, reached = False, 0  # whether the row held is tied to the one before, and its first
         for batch in batches:
@@ -67,13 +66,13 @@ def ordered(df: DataFrame, keys: list[str], then: list[str] = (), keep: list[str
         if held is not None:
             last = [c[0].as_py() for c in held.columns[width:]]
             final = [[held.columns[k][0].as_py(), None, None] for k in range(width)]
-            rows = [*final, [task] * 3, [seen, -1, -2], [reached, seen + 1, reached], [joined, None, None], *[[None, h, t] for h, t in zip(head, last)]]
+            rows = [*final, [task] * 3, [seen, -1, -2], [reached, seen + 1, reached], [joined, None, None], [None, pickle.dumps(head), pickle.dumps(last)]]
             yield pa.RecordBatch.from_arrays([pa.array(r, f.type) for r, f in zip(rows, arrow)], schema=arrow)
 
     numbered = cut(ranged.mapInArrow(run, schema))
     ends: dict[int, dict] = {}
-    for r in numbered.where("_row < 0").select("_task", "_row", "_first", *[e.name for e in edges]).collect():
-        ends.setdefault(r._task, {})[r._row] = (r._first, tuple(r[3:]))
+    for r in numbered.where("_row < 0").select("_task", "_row", "_first", "_keys").collect():
+        ends.setdefault(r._task, {})[r._row] = (r._first, pickle.loads(r._keys))
     plan, total, tail = [], 0, None  # tail: keys of the last row so far and the place of the first row with them
     for task in sorted(ends):
         (n, head), (begin, last) = ends[task][-1], ends[task][-2]
@@ -83,7 +82,8 @@ def ordered(df: DataFrame, keys: list[str], then: list[str] = (), keep: list[str
         tail = (last, carry if carry is not None and begin == 0 else total + begin, begin)
         plan.append([task, total, carry, None])
         total += n
-    offsets = df.sparkSession.createDataFrame(plan, "_task int, _before bigint, _carry bigint, _tail bigint")
+    names = ["_task", "_before", "_carry", "_tail"]
+    offsets = df.sparkSession.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in (zip(*plan) if plan else [[]] * 4)], names=names))
     carried = (F.col("_first") == 0) & F.col("_carry").isNotNull()
     first = F.when(carried, F.col("_carry")).otherwise(F.col("_before") + F.col("_first"))
     tied = F.col("_tied") | carried | F.coalesce(F.col("_first") == F.col("_tail"), F.lit(False))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandwise.operators.ordering import ordered
-from strandwise.runtime import cut
+from strandwise.runtime import cut, partitions
 
 #: Ends each block; sorts by code point like any letter.
 END = "$"
@@ -49,7 +49,8 @@ def chunks(blocks: DataFrame, size: int = CHUNK, ahead: int = AHEAD) -> DataFram
     start, stop = F.greatest(F.col("c") * size, o), F.least(F.col("c") * size + size + ahead, end)
     letters = F.concat("seq", F.lit(END)).substr((start - o + 1).cast("int"), (stop - start).cast("int"))
     parts = parts.where(stop > start).select("c", F.struct(start.alias("start"), "b", (stop - start).alias("n"), (start - o).alias("wi"), letters.alias("letters")).alias("p"))
-    grouped = parts.groupBy("c").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    # A number of tasks that stays: few bytes go in, but many rows come out of every chunk.
+    grouped = parts.repartition(partitions(blocks.sparkSession), "c").groupBy("c").agg(F.array_sort(F.collect_list("p")).alias("p"))
     return grouped.select("c", F.concat_ws("", F.col("p.letters")).alias("text"), F.transform("p", lambda x: F.struct(x["start"].alias("start"), x["b"].alias("b"), x["n"].alias("n"), x["wi"].alias("wi"))).alias("pieces"))
 
 
