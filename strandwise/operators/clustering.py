@@ -7,12 +7,12 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandwise.operators.motifs import reverse_complement
 from strandwise.operators.ordering import ordered
-from strandwise.runtime import cut, partitions
+from strandwise.runtime import cut
 
 #: Profiles of a block; a task holds the products of two blocks.
 BLOCK = 512
@@ -34,17 +34,17 @@ def distances(kmers: DataFrame, k: int = 4, directional: bool = True) -> DataFra
     g = grams(kmers.select("kmer").distinct(), k, directional)
     profiles = cut(g.groupBy("kmer").agg(F.collect_list("gram").alias("grams"), F.collect_list("n").alias("counts")))
     blocks = max(1, -(-profiles.count() // BLOCK))
-    dealt = profiles.withColumn("_x", F.pmod(F.xxhash64("kmer"), F.lit(blocks))).withColumn("_y", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-    met = dealt.select(F.least("_x", "_y").alias("_i"), F.greatest("_x", "_y").alias("_j"), (F.col("_x") <= F.col("_y")).alias("_low"), "kmer", "grams", "counts")
-    return met.groupBy("_i", "_j").applyInArrow(_products, "a string, b string, distance double")
+    met = _dealt(profiles, F.lit(blocks))
+    return met.groupBy("_i", "_j").applyInArrow(lambda group: _products(group), "a string, b string, distance double")
 
 
 def near_distances(kmers: DataFrame, k: int = 4, directional: bool = True, at_most: float = 0.3) -> DataFrame:
     """``(a, b, distance)`` for a < b of all pairs whose distance (as in ``distances``, but 0 for equal profiles) is ``at_most``, which is below 1.
 
     Only likely pairs meet: with t = 1 - at_most, p.q >= t / (1 + t) * (|p|^2 + |q|^2) >= 2 t / (1 + t) * |p| |q|, so the first gram of two near profiles in a
-    common order can't lie in the tail of a profile whose norm is below 2 t / (1 + t) of the whole. Profiles are joined on the grams in front of their tails, rarest
-    grams first, and each pair is taken at its first common one. K-mers shorter than ``k`` have no grams and no row.
+    common order can't lie in the tail of a profile whose norm is below 2 t / (1 + t) of the whole. Profiles meet on the grams in front of their tails, rarest
+    grams first, and each pair is taken at its first common one. The profiles of one gram are dealt to blocks of about ``BLOCK``, of which every two meet in a
+    task, so a hot gram fills many tasks and only near pairs leave them. K-mers shorter than ``k`` have no grams and no row.
     """
     t = 1 - at_most
     least = (2 * t / (1 + t)) ** 2
@@ -54,30 +54,43 @@ def near_distances(kmers: DataFrame, k: int = 4, directional: bool = True, at_mo
     profiles = g.join(often, "gram").groupBy("kmer").agg(x, F.sum(F.col("n") * F.col("n")).alias("norm"))
     # Squared norm of the tail from each gram on; a gram is in front if what comes from it on is large enough.
     tail = F.transform("x", lambda _, j: F.aggregate(F.slice("x", j + 1, F.size("x")), F.lit(0).cast("bigint"), lambda s, e: s + e["n"] * e["n"]))
-    front = F.transform(F.filter(F.arrays_zip("x", tail.alias("tail")), lambda e: e["tail"] >= F.col("norm") * (least - 1e-9)), lambda e: e["x"]["gram"])
-    rows = cut(profiles.select("kmer", "norm", front.alias("front"), F.map_from_entries(F.transform("x", lambda e: F.struct(e["gram"], e["n"]))).alias("of")))
-    side = lambda name: rows.select(F.explode("front").alias("gram"), *[F.col(c).alias(f"{name}_{c}") for c in rows.columns])
-    parts = partitions(kmers.sparkSession)
-    met = side("a").repartition(parts, "gram").join(side("b").repartition(parts, "gram"), "gram").where((F.col("a_kmer") < F.col("b_kmer")) & (F.get(F.array_intersect("a_front", "b_front"), F.lit(0)) == F.col("gram")))
-    dot = F.aggregate(F.map_entries("a_of"), F.lit(0).cast("bigint"), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at("b_of", e["key"]), F.lit(0)))
-    apart = met.select(F.col("a_kmer").alias("a"), F.col("b_kmer").alias("b"), dot.alias("dot"), (F.col("a_norm") + F.col("b_norm")).alias("both"))
-    return apart.select("a", "b", (1 - F.col("dot") / (F.col("both") - F.col("dot"))).alias("distance")).where(F.col("distance") <= at_most + 1e-9)
-
-
-def _products(group: pa.Table) -> pa.Table:
-    """Distances within a block, or between the rows of two."""
+    fronts = F.size(F.filter(tail, lambda e: e >= F.col("norm") * (least - 1e-9)))
+    rows = cut(profiles.select("kmer", F.col("x.gram").alias("grams"), F.col("x.n").alias("counts"), fronts.alias("fronts")))
+    at = rows.withColumn("_gram", F.explode(F.slice("grams", F.lit(1), F.col("fronts"))))
+    blocks = at.groupBy("_gram").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_n"))
+    met = _dealt(at.join(blocks, "_gram"), F.col("_n"))
+    found = met.groupBy("_gram", "_i", "_j").applyInArrow(lambda group: _products(group, at_most), "a string, b string, distance double")
+    return found.where(F.col("distance") <= at_most + 1e-9)
+
+
+def _dealt(profiles: DataFrame, blocks: Column) -> DataFrame:
+    """Each profile once for every block it meets, its own included: blocks ``_i`` <= ``_j``, and whether it is of the first."""
+    rows = profiles.withColumn("_x", F.pmod(F.xxhash64("kmer"), blocks)).withColumn("_y", F.explode(F.sequence(F.lit(0).cast("bigint"), (blocks - 1).cast("bigint"))))
+    return rows.select(*(["_gram"] if "_gram" in profiles.columns else []), F.least("_x", "_y").alias("_i"), F.greatest("_x", "_y").alias("_j"), (F.col("_x") <= F.col("_y")).alias("_low"), "kmer", "grams", "counts")
+
+
+def _products(group: pa.Table, at_most: float | None = None) -> pa.Table:
+    """Distances within a block, or between the rows of two; with ``at_most`` of near ones that have no common gram before the one that they meet at."""
     names = np.array(group["kmer"].to_pylist(), object)
     low = group["_low"].to_numpy()
     codes = group["grams"].combine_chunks().flatten().dictionary_encode()
     lengths = pc.list_value_length(group["grams"]).to_numpy()
     x = np.zeros((len(names), len(codes.dictionary)))
-    x[np.repeat(np.arange(len(names)), lengths), codes.indices.to_numpy()] = group["counts"].combine_chunks().flatten().to_numpy()
+    row, gram = np.repeat(np.arange(len(names)), lengths), codes.indices.to_numpy()
+    x[row, gram] = group["counts"].combine_chunks().flatten().to_numpy()
     norm = (x * x).sum(1)
     same = group["_i"][0] == group["_j"][0]
     one, two = (np.arange(len(names)),) * 2 if same else (np.flatnonzero(low), np.flatnonzero(~low))
     dot = x[one] @ x[two].T
     rank = np.argsort(np.argsort(names))
-    p, q = np.nonzero((dot > 0) & (rank[one][:, None] < rank[two][None, :]) if same else dot > 0)
+    wanted = (dot > 0) & (rank[one][:, None] < rank[two][None, :]) if same else dot > 0
+    if at_most is not None:
+        here = gram == codes.dictionary.index(group["_gram"][0]).as_py()
+        before = np.arange(len(row)) < np.flatnonzero(here)[row]  # each profile has the gram once
+        early = np.zeros_like(x)
+        early[row[before], gram[before]] = 1
+        wanted &= (dot * (2 - at_most) >= (1 - at_most) * (norm[one][:, None] + norm[two][None, :]) * (1 - 1e-9)) & (early[one] @ early[two].T == 0)
+    p, q = np.nonzero(wanted)
     d = dot[p, q]
     p, q = one[p], two[q]
     turned = rank[p] > rank[q]
