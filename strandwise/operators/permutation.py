@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandwise.operators.filters import gini_mask, grid_rows, median_gini, relative_gini
+from strandwise.operators.filters import grid_rows, relative_gini
 from strandwise.operators.ordering import ordered
-from strandwise.operators.smoothing import ROWS, _chunked, haloed, smooth, smooth_spatial
-from strandwise.runtime import cut
+from strandwise.operators.smoothing import gini_counts
+from strandwise.runtime import PIECE, Vector, cut, filed, only, partitions
 
-#: Repetitions computed in one pass over the suffixes; bounds the width of a row.
-REPS_AT_ONCE = 128
+#: Repetitions computed in one pass over the text, and permuted scores that a pass holds in a file; fewer repetitions of more blocks.
+REPS_AT_ONCE, SCORES_AT_ONCE = 128, 1 << 27
+#: Places worked on at once, and at most in a task.
+STEP, TASK = 1 << 10, 1 << 19
 
 
 class JavaRandom:
@@ -82,97 +85,115 @@ def _means(values: np.ndarray, begin: np.ndarray, width: int) -> np.ndarray:
 
 
 def _most(values: np.ndarray, ok: np.ndarray) -> np.ndarray:
-    return values[ok].max(axis=0) if ok.any() else np.full(values.shape[1], -np.inf, np.float32)
+    return values.max(axis=0) if ok.all() else values[ok].max(axis=0) if ok.any() else np.full(values.shape[1], -np.inf, np.float32)
 
 
-def _null_windows(flags: DataFrame, arrays: DataFrame, half: int, n: int, filters: list[int], values: bool, rows: int) -> DataFrame:
-    """``(s, ok, m ARRAY<FLOAT>)``: the windowed means of all repetitions at each place (only if ``values``), and of every chunk of ranks and filter f the largest that aren't masked, under s = -1 - f.
+def _maxima(rank: Vector, block: Vector, ginis: dict[int, tuple[Vector, float | None]], matrix: Vector, filters: list[dict], many: int, rows: int | None) -> DataFrame:
+    """``(f, kind, m ARRAY<FLOAT>)``: of every task and filter the largest means of ``many`` repetitions that aren't masked.
 
-    ``flags(i, s, b, ok)``: bit f of ok is set where filter f doesn't mask the row. Of each chunk and block that it has the permuted scores ``arrays(b, scores)`` come once.
+    A step takes places in a row: of each its rank, the blocks in the window around it, and their permuted scores, a row of ``matrix`` each. Windows
+    have what the narrower ones have and more, so the sums go on from one half window to the next. Nothing shuffles.
     """
-    chunk = haloed(flags.select("i", "s", "b", "ok"), "i", 2 * half, 2 * half, rows)
-    dealt = chunk.select(F.col("_c").alias("_d"), F.col("b").alias("_b")).distinct().join(arrays.select(F.col("b").alias("_b"), "scores"), "_b")
-    schema = pa.schema([("s", pa.int64()), ("ok", pa.int32()), ("m", pa.list_(pa.field("element", pa.float32())))])
-
-    def run(key: tuple, table: pa.Table, scores: pa.Table) -> pa.Table:
-        c = key[0].as_py()
-        table = table.sort_by("i")
-        i, b = table.column("i").to_numpy(), table.column("b").to_numpy()
-        low, high = np.searchsorted(i, [c * rows, (c + 1) * rows])
-        if low == high:
-            return schema.empty_table()
-        known = scores.column("_b").to_numpy()
-        order = np.argsort(known)
-        matrix = scores.column("scores").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(known), -1)
-        dealt = matrix[order[np.searchsorted(known[order], b)]]
-        mean = _means(dealt, np.clip(i[low:high], half, n - 1 - half) - half - i[0], 2 * half + 1)
-        ok = table.column("ok").to_numpy()[low:high]
-        s, most = np.array([-1 - f for f in filters], np.int64), np.stack([_most(mean, (ok >> f & 1).astype(bool)) for f in filters])
-        if values:
-            s, most, ok = np.concatenate([s, table.column("s").to_numpy()[low:high]]), np.concatenate([most, mean]), np.concatenate([np.zeros(len(filters), ok.dtype), ok])
-        else:
-            ok = np.zeros(len(filters), np.int32)
-        return pa.Table.from_arrays([pa.array(s), pa.array(ok.astype(np.int32)), _rows(most)], schema=schema)
-
-    return chunk.groupBy("_c").cogroup(dealt.groupBy("_d")).applyInArrow(run, "s bigint, ok int, m array<float>")
-
-
-def _null_spatial(null: DataFrame, length: int, n: int, filters: list[int], rows: int) -> DataFrame:
-    """``(f, m)``: of every chunk of places and filter the largest spatial means that aren't masked."""
-
-    def kernel(table: pa.Table, low: int, high: int) -> pa.Table:
-        s, ok = table.column("s").to_numpy(), table.column("ok").to_numpy()[low:high]
-        values = table.column("m").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(s), -1)
-        mean = _means(values, np.minimum(s[low:high], n - length) - s[0], length)
-        return pa.table({"f": pa.array(filters, pa.int32()), "m": _rows(np.stack([_most(mean, (ok >> f & 1).astype(bool)) for f in filters]))})
-
-    return _chunked(null.where("s >= 0"), "s", length, length, kernel, "f int, m array<float>", rows)
-
-
-def _unmasked(base: DataFrame, median: float | None, filters: list[dict], n: int) -> DataFrame:
-    """``(i, s, b, ok)``: bit f of ok is set where neither Gini test of filter f masks the row."""
-    out = base.select("i", "s", "b", F.lit(0).alias("ok"))
-    for k, length in enumerate(dict.fromkeys(x["spatial_length"] for x in filters)):
-        wide, bits = smooth_spatial(base, length, n), F.lit(0)
-        for x in (x for x in filters if x["spatial_length"] == length):
-            mask = gini_mask(relative_gini(median, x["min_gini"]), relative_gini(median, x["min_spatial_gini"]), length > 1)
-            bits = bits.bitwiseOR(F.when(F.coalesce(mask, F.lit(False)), 0).otherwise(1 << x["f"]))
-        part = wide.select("i", "s", "b", bits.cast("int").alias("_bits"))
-        out = part.withColumnRenamed("_bits", "ok") if k == 0 else out.join(part.select("i", "_bits"), "i").withColumn("ok", F.col("ok").bitwiseOR(F.col("_bits"))).drop("_bits")
-    return out
-
-
-def permutation_distribution(suffixes: DataFrame, blocks: DataFrame, grid: DataFrame, perms: DataFrame, reps: int, smoothed: dict[int, DataFrame] | None = None, rows: int = ROWS // 2) -> DataFrame:
+    spark, n = SparkSession.active(), rank.n
+    lengths = {half: dict.fromkeys(x["spatial_length"] for x in filters if x["half_window"] == half and 1 < x["spatial_length"] <= n) for half in sorted(ginis)}
+    longest = max([1, *(length for of in lengths.values() for length in of)])
+    step = rows or max(STEP, 16 * longest)
+    low_gini = {x["f"]: tuple(relative_gini(ginis[x["half_window"]][1], x[c]) for c in ("min_gini", "min_spatial_gini")) for x in filters}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks, blocks, scores, known = rank.load(), block.load(), matrix.load().reshape(-1, many), {half: v.load() for half, (v, _) in ginis.items() if n > 2 * half}
+        most: dict[tuple, np.ndarray] = {}
+
+        def told(x: dict, kind: str, means: np.ndarray, ok: np.ndarray) -> None:
+            new = _most(means, ok)
+            most[x["f"], kind] = np.maximum(most.get((x["f"], kind), new), new)
+
+        for low in (k * step for batch in batches for k in batch.column(0).to_pylist()):
+            high = min(n, low + step)
+            begin = max(0, min(low, n - longest))
+            own = slice(low - begin, high - begin)
+            i = ranks[begin : min(n, high + longest - 1)].astype(np.int64)
+            sums, one, last, done = np.zeros((len(i), many)), np.empty((len(i), many)), None, -1
+            for half in lengths:
+                centre = np.clip(i, half, max(half, n - 1 - half))
+                if last is None or not np.array_equal(centre, last):
+                    sums[:], done = 0, -1
+                near = [o for o in range(-half, half + 1) if abs(o) > done]
+                for column in blocks[np.minimum(centre[:, None] + np.array(near), n - 1)].T:
+                    np.take(scores, column, axis=0, out=one, mode="clip")
+                    sums += one
+                last, done = centre, half
+                mean = np.round(sums / (2 * half + 1), 9).astype(np.float32)
+                gini = known[half][i][:, None] if half in known else np.full((len(i), 1), np.nan, np.float32)
+                wide = {length: [_means(v, np.minimum(np.arange(low, high), n - length) - begin, length) for v in (mean, gini)] for length in lengths[half]}
+                for x in (x for x in filters if x["half_window"] == half):
+                    means, wide_gini = wide.get(x["spatial_length"], (None, None))
+                    ok = np.full(high - low, half in known)
+                    for values, least in zip((gini[own], wide_gini), low_gini[x["f"]]):
+                        if values is not None and least is not None:
+                            ok &= ~(values[:, 0].astype(np.float64) < least)
+                    told(x, "max_windowed", mean[own], ok)
+                    if means is not None:
+                        told(x, "max_spatial", means, ok)
+        if most:
+            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in most], pa.int32()), pa.array([kind for _, kind in most]), _rows(np.stack(list(most.values())))], names=["f", "kind", "m"])
+
+    steps = -(-n // step)
+    tasks = max(1, min(steps, max(partitions(spark), -(-n // TASK))))
+    return spark.range(0, steps, 1, tasks).mapInArrow(run, "f int, kind string, m array<float>")
+
+
+def _gini(block: Vector, half: int) -> tuple[Vector, float | None]:
+    """Gini impurity of blocks around each rank, as ``smooth`` has it, and the median; the text has a full window. Pieces are made from the file of blocks, without a shuffle."""
+    spark, n, width = SparkSession.active(), block.n, 2 * half + 1
+    out = Vector(f"{block.uri}/gini{half}", n, "float32")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = block.load()
+        for k in (k for batch in batches for k in batch.column(0).to_pylist()):
+            centre = np.clip(np.arange(k * PIECE, min(n, (k + 1) * PIECE)), half, n - 1 - half)
+            a, z = int(centre[0]), int(centre[-1])
+            squares = gini_counts(np.asarray(blocks[a - half : z + half + 1]), half, z - a + 1 + half, half)[centre - a]
+            piece = (1 - squares / width**2).astype(np.float32)
+            out.put(k, piece)
+            values, often = np.unique(piece, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(often)], names=["gini", "n"])
+
+    pieces = -(-n // PIECE)
+    found = cut(spark.range(0, pieces, 1, min(pieces, 4 * partitions(spark))).mapInArrow(run, "gini float, n bigint"))
+    return out, found.groupBy("gini").agg(F.sum("n").alias("n")).agg(F.expr("percentile(gini, 0.5, n)")).first()[0]
+
+
+def permutation_distribution(suffixes: DataFrame, blocks: DataFrame, grid: DataFrame, perms: DataFrame, reps: int, rows: int | None = None) -> DataFrame:
     """``(f INT, rep INT, max_windowed FLOAT, max_spatial FLOAT)``: per parameter row and repetition the largest smoothed values of permuted scores.
 
-    Rows masked by either Gini test count for neither maximum; all masked gives -infinity; ``max_spatial`` is null where spatial
-    smoothing isn't active. Gini and masks are computed once for each half window; repetitions go through the suffixes in groups of ``REPS_AT_ONCE``, permuted
-    scores come to a chunk once for each block, and only maxima leave the last tasks.
+    Rows masked by either Gini test count for neither maximum; all masked, or a text shorter than a window, gives -infinity; ``max_spatial`` is null where
+    spatial smoothing isn't active. Gini values are computed once for each half window. Ranks, blocks, Gini values and permuted scores lie in files that tasks
+    map into memory: windowed means of permuted scores are never written, and only maxima leave the tasks. Repetitions go through the text in groups.
     """
-    n = suffixes.count()
-    scored = suffixes.join(blocks.select("b", "score"), "b")
     filters = grid_rows(grid)
     if len(filters) > 31:
         raise ValueError("a grid has at most 31 rows; larger ones are worked on in parts")
-    flags: dict[int, DataFrame] = {}
-    for half in dict.fromkeys(x["half_window"] for x in filters):
-        base = (smoothed or {}).get(half)
-        base = cut(smooth(scored, half, n)) if base is None else base
-        flags[half] = cut(_unmasked(base, median_gini(base), [x for x in filters if x["half_window"] == half], n))
-    found = None
-    for first in range(0, reps, REPS_AT_ONCE):
-        many = min(REPS_AT_ONCE, reps - first)
-        arrays = cut(perms.where((F.col("rep") >= first) & (F.col("rep") < first + many)).groupBy("b").agg(F.transform(F.array_sort(F.collect_list(F.struct("rep", "score"))), lambda x: x["score"]).alias("scores")))
-        for half, ok in flags.items():
-            mine = [x for x in filters if x["half_window"] == half]
-            lengths = dict.fromkeys(x["spatial_length"] for x in mine if x["spatial_length"] > 1)
-            null = cut(_null_windows(ok, arrays, half, n, [x["f"] for x in mine], bool(lengths), rows))
-            parts = [null.where("s < 0").select((-1 - F.col("s")).cast("int").alias("f"), "m", F.lit("max_windowed").alias("kind"))]
-            for length in lengths:
-                parts.append(_null_spatial(null, length, n, [x["f"] for x in mine if x["spatial_length"] == length], rows).withColumn("kind", F.lit("max_spatial")))
-            for part in parts:
-                part = part.select("f", "kind", F.posexplode("m").alias("rep", "max")).groupBy("f", "kind", "rep").agg(F.max("max").alias("max")).withColumn("rep", F.col("rep") + first)
-                found = part if found is None else found.unionByName(part)
+    return only(suffixes.sparkSession, lambda: _distribution(suffixes, blocks, filters, perms, reps, rows))
+
+
+def _distribution(suffixes: DataFrame, blocks: DataFrame, filters: list[dict], perms: DataFrame, reps: int, rows: int | None) -> DataFrame:
+    spark, n, n_blocks = suffixes.sparkSession, suffixes.count(), blocks.count()
+    rank = filed(suffixes, "s", "i", n, "uint32" if n < 1 << 32 else "int64")
+    block = filed(suffixes, "i", "b", n, "int32" if n_blocks < 1 << 31 else "int64")
+    ginis = {half: _gini(block, half) if n > 2 * half else (block, None) for half in dict.fromkeys(x["half_window"] for x in filters)}
+    found, at_once = None, max(1, min(REPS_AT_ONCE, SCORES_AT_ONCE // max(1, n_blocks)))
+    for first in range(0, reps, at_once):
+        many = min(at_once, reps - first)
+
+        def maxima(first: int = first, many: int = many) -> DataFrame:
+            mine = perms.where((F.col("rep") >= first) & (F.col("rep") < first + many))
+            matrix = filed(mine, F.col("b") * many + F.col("rep") - first, "score", n_blocks * many, "float64")
+            part = _maxima(rank, block, ginis, matrix, filters, many, rows)
+            return part.select("f", "kind", F.posexplode("m").alias("rep", "max")).groupBy("f", "kind", "rep").agg(F.max("max").alias("max")).withColumn("rep", F.col("rep") + first)
+
+        part = only(spark, maxima)
+        found = part if found is None else found.unionByName(part)
     return found.groupBy("f", "rep").pivot("kind", ["max_windowed", "max_spatial"]).agg(F.max("max"))
 
 
@@ -221,7 +242,7 @@ def false_positive_rate(permdist: DataFrame, limits: DataFrame, level: float = 0
 
 def estimate_false_positive_rate(suffixes: DataFrame, blocks: DataFrame, grid: DataFrame, limits: DataFrame, reps: int, seed: int, level: float = 0.95, compatible: bool = False) -> tuple[DataFrame, DataFrame]:
     """(``false_positive_rate`` of thresholds ``limits`` under new permutations, their distribution). ``seed`` should differ from that of the thresholds' permutations."""
-    perms = cut(permutations(blocks, reps, seed, compatible))
+    perms = only(blocks.sparkSession, lambda: permutations(blocks, reps, seed, compatible))
     null = cut(permutation_distribution(suffixes, blocks, grid, perms, reps))
     return false_positive_rate(null, limits, level), null
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from strandwise import sinks, sources
 from strandwise.operators import clustering, filters, motifs, peaks, permutation, smoothing, suffixes, text
-from strandwise.runtime import bare, cut, fresh_path, kept
+from strandwise.runtime import bare, cut, fresh_path, kept, only
 from strandwise.sources import table
 
 HALF, LENGTH, THETA, KMAX, REPS, SEED, TEST_SEED, SIGMA = 4, 3, 0.8, 12, 100, 123, 321, 0.0
@@ -35,8 +35,8 @@ def _suffixes(spark, d):
     """Blocks and suffix order; the index doesn't depend on parameters, so all queries of a session share it."""
 
     def make():
-        b = cut(_aligned(spark, d))
-        return b, cut(suffixes.suffix_order(b))
+        b = only(spark, lambda: _aligned(spark, d))
+        return b, only(spark, lambda: suffixes.suffix_order(b))
 
     return kept("suffixes", table(spark, d, "blocks"), make)
 
@@ -201,7 +201,7 @@ def _wide(spark):
 def _null(spark, d, seed=SEED):
     """The distribution of maxima under permuted scores, on the grid; shared by the queries of a session."""
     b, sx = _suffixes(spark, d)
-    make = lambda: cut(permutation.permutation_distribution(sx, b, _wide(spark), cut(permutation.permutations(b, REPS, seed)), REPS))
+    make = lambda: only(spark, lambda: permutation.permutation_distribution(sx, b, _wide(spark), only(spark, lambda: permutation.permutations(b, REPS, seed)), REPS))
     return kept(f"null {seed}", table(spark, d, "blocks"), make)
 
 

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +20,11 @@ from pyspark.sql import functions as F
 BARE_CHARS = " \t\n\r "
 
 
+#: Whether Spark removes the shuffle files of an action when it has ended, not when the driver happens to collect its garbage.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Entries of a vector that a task writes at once; whole pages of a file for any type.
+PIECE = 1 << 18
+
 _WRITTEN: list[str] = []
 _KEPT: dict[tuple, object] = {}
 
@@ -34,17 +44,90 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+@contextlib.contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of actions inside this block go when the action ends: nothing reads them again."""
+    before = spark.conf.get(FREED, None)
+    spark.conf.set(FREED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(FREED) if before is None else spark.conf.set(FREED, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a table written to the shared folder, so that later stages survive lost executors without recomputing.
 
-    The table goes when the driver ends, with ``drop_tables``, or at the end of a ``scratch`` block.
+    The table goes when the driver ends, with ``drop_tables``, or at the end of a ``scratch`` block; the shuffle files that made it go at once.
     """
     spark = df.sparkSession
     path = fresh_path(spark, "cut")
-    df.write.option("compression", "zstd").parquet(path)
+    with freed(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def only(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make()`` returns, cut; all that was written on the way goes. ``make`` mustn't call ``kept``."""
+    before = set(_WRITTEN)
+    rows = make()
+    passing = [p for p in _WRITTEN if p not in before]
+    made = cut(rows)
+    for path in passing:
+        _WRITTEN.remove(path)
+        _remove(spark, path)
+    return made
+
+
+@dataclass(frozen=True)
+class Vector:
+    """Numbers by their places, in one file of the shared folder where it is mounted, else in one for each piece."""
+
+    uri: str
+    n: int
+    dtype: str
+
+    def put(self, k: int, piece: np.ndarray) -> None:
+        where, path = fs.FileSystem.from_uri(self.uri)
+        where.create_dir(path)
+        if isinstance(where, fs.LocalFileSystem):
+            with os.fdopen(os.open(f"{path}/all", os.O_CREAT | os.O_WRONLY, 0o666), "wb") as f:
+                f.seek(k * PIECE * piece.itemsize)
+                f.write(piece.tobytes())
+        else:
+            with where.open_output_stream(f"{path}/{k}") as f:
+                f.write(piece.tobytes())
+
+    def load(self) -> np.ndarray:
+        """Mapped into memory where the shared folder is mounted, else read."""
+        where, path = fs.FileSystem.from_uri(self.uri)
+        if isinstance(where, fs.LocalFileSystem):
+            return np.memmap(f"{path}/all", self.dtype, "r", shape=(self.n,))
+        out = np.empty(self.n, self.dtype)
+        for k in range(0, self.n, PIECE):
+            with where.open_input_file(f"{path}/{k // PIECE}") as f:
+                out[k : k + PIECE] = np.frombuffer(f.read(), self.dtype)
+        return out
+
+
+def filed(df: DataFrame, at: F.Column | str, value: str, n: int, dtype: str) -> Vector:
+    """Column ``value`` as a vector of ``n`` numbers, each at its place ``at``; every place has one. A task writes pieces, so none sees it all."""
+    uri = fresh_path(df.sparkSession, "vector")
+    vector = Vector(uri if "//" in uri else "file://" + uri.removeprefix("file:"), n, dtype)
+    at = F.col(at) if isinstance(at, str) else at
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        k = key[0].as_py()
+        piece = np.zeros(min(PIECE, n - k * PIECE), dtype)
+        piece[table.column("p").to_numpy() - k * PIECE] = table.column("x").to_numpy()
+        vector.put(k, piece)
+        return pa.table({"k": pa.array([k])})
+
+    with freed(df.sparkSession):
+        df.select(F.floor(at / PIECE).alias("k"), at.alias("p"), F.col(value).alias("x")).groupBy("k").applyInArrow(run, "k bigint").collect()
+    return vector
+
+
 def drop_tables(spark: SparkSession) -> None:
     """Remove every table written so far; no DataFrame made from them can be used afterwards."""
     _KEPT.clear()

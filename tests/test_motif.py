@@ -376,3 +376,36 @@ def test_tables_go_and_indexes_follow_their_files(spark, tmp_path):
     made = [runtime.kept("x", spark.read.parquet(path), lambda: n) for n in (1, 2)]
     spark.range(5).write.mode("overwrite").parquet(path)
     assert [*made, runtime.kept("x", spark.read.parquet(path), lambda: 3)] == [1, 1, 3]
+
+
+def test_null_leaves_only_maxima(world):
+    """Before, windowed means of every place and repetition were written and shuffled, and shuffle files stayed."""
+    import glob
+
+    from strandwise import runtime
+
+    spark, _, _, _, whole, _, _, b, sx = world
+    shuffled = lambda: set(glob.glob(spark.conf.get("spark.local.dir") + "/**/shuffle_*.data", recursive=True))
+    perms = cut(permutation.permutations(b, 3, 5))
+    before, files = set(runtime._WRITTEN), shuffled()
+    cut(spark.range(1000).groupBy(F.col("id") % 7).count())
+    assert shuffled() <= files
+    dist = permutation.permutation_distribution(sx, b, filters.parameter_grid(spark, [4, 8], [0, 3, 5], [1.1]), perms, 3, rows=70)
+    assert len(set(runtime._WRITTEN) - before) == 2 and dist.count() == 18
+    # No full window, or no spatial one.
+    short = permutation.permutation_distribution(sx, b, filters.parameter_grid(spark, [len(whole)], [0], [None]), perms, 3)
+    assert [r.max_windowed for r in short.collect()] == [-np.inf] * 3
+    flat = permutation.permutation_distribution(sx, b, filters.parameter_grid(spark, [4], [len(whole) + 1], [None]), perms, 3).collect()
+    assert all(r.max_spatial is None and r.max_windowed > 0 for r in flat)
+
+
+def test_vectors(spark, monkeypatch):
+    from strandwise import runtime
+
+    n = runtime.PIECE + 5
+    vector = runtime.filed(spark.range(n).select("id", (F.col("id") * 3).alias("x")), "id", "x", n, "uint32")
+    assert (vector.load() == np.arange(n) * 3).all()
+    monkeypatch.setattr(runtime.fs, "LocalFileSystem", dict)  # a folder that isn't mounted
+    for k in (0, 1):
+        vector.put(k, np.arange(k * runtime.PIECE, min(n, (k + 1) * runtime.PIECE), dtype="uint32") * 5)
+    assert (vector.load() == np.arange(n) * 5).all()
