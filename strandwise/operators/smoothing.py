@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a chunk without its halo; the unit of work of a task.
 ROWS = 1 << 16
+#: Windows that are laid out at once.
+STEP = 1 << 12
 
 
 def haloed(df: DataFrame, at: str, before: int, after: int, rows: int = ROWS) -> DataFrame:
@@ -111,3 +113,28 @@ def window_block_counts(scored: DataFrame, centres: DataFrame, half: int) -> Dat
     """``(centre, b, n)``: how often each block occurs in the windows around some ranks ``centres(centre)``."""
     near = centres.withColumn("i", F.explode(F.sequence(F.col("centre") - half, F.col("centre") + half)))
     return near.join(scored.select("i", "b"), "i").groupBy("centre", "b").agg(F.count(F.lit(1)).alias("n"))
+
+
+def window_summaries(suffixes: DataFrame, half: int, n: int, rows: int = ROWS) -> DataFrame:
+    """``(centre, n_blocks, most, gini DOUBLE)`` of every full window of 2 * half + 1 ranks: how many blocks it has, the most rows of one, and the Gini impurity of their counts.
+
+    In chunks of ranks with halos: a row shuffles once, not once for every window that it lies in. ``suffixes(i, b)`` has ``n`` ranks.
+    """
+    width = 2 * half + 1
+
+    def kernel(table: pa.Table, low: int, high: int) -> pa.Table:
+        i, b = table.column("i").to_numpy(), table.column("b").to_numpy()
+        low, high = max(low, half - int(i[0])), min(high, n - half - int(i[0]))
+        parts = [np.empty((4, 0))]
+        for k in range(low, high, STEP):
+            windows = np.sort(np.lib.stride_tricks.sliding_window_view(b[k - half : min(high, k + STEP) + half], width), axis=1)
+            run = np.ones(len(windows), np.int64)
+            distinct, most, pairs = run.copy(), run.copy(), np.zeros_like(run)
+            for same in (windows[:, 1:] == windows[:, :-1]).T:
+                run = np.where(same, run + 1, 1)
+                distinct, most, pairs = distinct + ~same, np.maximum(most, run), pairs + run - 1
+            parts.append(np.stack([i[k : k + len(windows)], distinct, most, 1 - (width + 2 * pairs) / width**2]))
+        centre, distinct, most, gini = np.concatenate(parts, axis=1)
+        return pa.table({"centre": centre.astype(np.int64), "n_blocks": distinct.astype(np.int64), "most": most.astype(np.int64), "gini": gini})
+
+    return _chunked(suffixes.select("i", "b"), "i", half, half, kernel, "centre bigint, n_blocks bigint, most bigint, gini double", rows)

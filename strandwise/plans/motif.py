@@ -119,9 +119,8 @@ def e_neighbours(spark, d):
 def e_block_counts(spark, d):
     """Of every full window the number of blocks in it, the most that one of them has, and the Gini impurity of the counts."""
     b, sx = _suffixes(spark, d)
-    centres = sx.where(F.col("i").between(HALF, sx.count() - 1 - HALF)).select(F.col("i").alias("centre"))
-    counts = smoothing.window_block_counts(sx, centres, HALF)
-    return counts.groupBy("centre").agg(F.count("b").alias("n_blocks"), F.max("n").alias("most"), F.round(smoothing.gini_impurity(F.collect_list("n")), 6).alias("gini"))
+    counts = smoothing.window_summaries(sx, HALF, sx.count())
+    return counts.select("centre", "n_blocks", "most", F.round("gini", 6).alias("gini"))
 
 
 def f_grid(spark, d):

@@ -409,3 +409,19 @@ def test_vectors(spark, monkeypatch):
     for k in (0, 1):
         vector.put(k, np.arange(k * runtime.PIECE, min(n, (k + 1) * runtime.PIECE), dtype="uint32") * 5)
     assert (vector.load() == np.arange(n) * 5).all()
+
+
+@pytest.mark.parametrize("rows", [64, 1 << 16])
+def test_window_summaries(world, rows):
+    """As by counting each window's rows; before, every row was shuffled once for each window it lies in."""
+    _, _, _, _, whole, block, order, _, sx = world
+    n, half = len(whole), 4
+    found = smoothing.window_summaries(sx, half, n, rows)
+    got = {r.centre: (r.n_blocks, r.most, r.gini) for r in found.collect()}
+    of = [block[s] for s in order]
+    want = {}
+    for i in range(half, n - half):
+        counts = Counter(of[i - half : i + half + 1])
+        want[i] = len(counts), max(counts.values()), pytest.approx(1 - sum(c * c for c in counts.values()) / 81)
+    assert got == want
+    assert smoothing.window_summaries(sx, n, n).count() == 0
