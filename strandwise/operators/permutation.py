@@ -261,8 +261,11 @@ def zrank_selection(peaks: DataFrame, null: DataFrame, best_only: bool = True) -
 
 def _zrank(peaks: DataFrame, level: DataFrame, best_only: bool) -> DataFrame:
     level = F.broadcast(level.select("half_window", "min_gini", "mean", "sd"))  # a grid of parameters
-    z = peaks.join(level, ["half_window", "min_gini"]).groupBy("kmer", "half_window", "min_gini").agg(F.max((F.col("windowed") - F.col("mean")) / F.col("sd")).alias("zmax"))
+    # Maxima that are all the same have no deviation: infinite above and below them, not a number at them (the greatest in order).
+    above = F.col("windowed") - F.col("mean")
+    flat = F.when(above == 0, F.lit(float("nan"))).otherwise(F.signum(above) * F.lit(float("inf")))
+    z = peaks.join(level, ["half_window", "min_gini"]).groupBy("kmer", "half_window", "min_gini").agg(F.max(F.when(F.col("sd") == 0, flat).otherwise(above / F.nullif("sd", F.lit(0.0)))).alias("zmax"))
     if not best_only:
         return z
-    best = F.min_by(F.struct("half_window", "min_gini", "zmax"), F.struct(-F.col("zmax"), "half_window", "min_gini")).alias("_b")
+    best = F.max_by(F.struct("half_window", "min_gini", "zmax"), F.struct("zmax", -F.col("half_window"), -F.col("min_gini"))).alias("_b")
     return z.groupBy("kmer").agg(best).select("kmer", "_b.half_window", "_b.min_gini", "_b.zmax")

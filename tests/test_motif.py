@@ -425,3 +425,13 @@ def test_window_summaries(world, rows):
         want[i] = len(counts), max(counts.values()), pytest.approx(1 - sum(c * c for c in counts.values()) / 81)
     assert got == want
     assert smoothing.window_summaries(sx, n, n).count() == 0
+
+
+def test_zrank_of_equal_maxima(spark):
+    """Before, a division by zero ended the query."""
+    grid = filters.parameter_grid(spark, [4, 8, 9], [0], [1.1])
+    null = spark.createDataFrame([(0, 0.5), (0, 0.5), (1, 0.0), (1, 1.0), (2, 0.5), (2, 0.5)], "f int, max_windowed float")
+    found = spark.createDataFrame([("A", 4, 1.0), ("A", 8, 1.0), ("A", 9, 1.0), ("C", 4, 0.5), ("C", 8, 1.0), ("G", 4, 0.25), ("G", 8, 0.5)], "kmer string, half_window int, windowed float").withColumn("min_gini", F.lit(1.1))
+    z = {(r.kmer, r.half_window): r.zmax for r in permutation.zrank(found, null, grid, False).collect()}
+    assert z["A", 4] == np.inf and np.isnan(z["C", 4]) and z["G", 4] == -np.inf and z["A", 8] == pytest.approx(0.5**0.5) and z["G", 8] == 0
+    assert {r.kmer: r.half_window for r in permutation.zrank(found, null, grid).collect()} == {"A": 4, "C": 4, "G": 8}
