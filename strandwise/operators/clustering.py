@@ -16,6 +16,8 @@ from strandwise.runtime import cut
 
 #: Profiles of a block; a task holds the products of two blocks.
 BLOCK = 512
+#: Profiles of a block of one gram. Each profile shuffles once for every block of its grams, so these are larger; a task goes through them in parts of ``BLOCK``.
+GRAM_BLOCK = 4096
 
 
 def grams(kmers: DataFrame, k: int, directional: bool) -> DataFrame:
@@ -43,7 +45,7 @@ def near_distances(kmers: DataFrame, k: int = 4, directional: bool = True, at_mo
 
     Only likely pairs meet: with t = 1 - at_most, p.q >= t / (1 + t) * (|p|^2 + |q|^2) >= 2 t / (1 + t) * |p| |q|, so the first gram of two near profiles in a
     common order can't lie in the tail of a profile whose norm is below 2 t / (1 + t) of the whole. Profiles meet on the grams in front of their tails, rarest
-    grams first, and each pair is taken at its first common one. The profiles of one gram are dealt to blocks of about ``BLOCK``, of which every two meet in a
+    grams first, and each pair is taken at its first common one. The profiles of one gram are dealt to blocks of about ``GRAM_BLOCK``, of which every two meet in a
     task, so a hot gram fills many tasks and only near pairs leave them. K-mers shorter than ``k`` have no grams and no row.
     """
     t = 1 - at_most
@@ -57,7 +59,7 @@ def near_distances(kmers: DataFrame, k: int = 4, directional: bool = True, at_mo
     fronts = F.size(F.filter(tail, lambda e: e >= F.col("norm") * (least - 1e-9)))
     rows = cut(profiles.select("kmer", F.col("x.gram").alias("grams"), F.col("x.n").alias("counts"), fronts.alias("fronts")))
     at = rows.withColumn("_gram", F.explode(F.slice("grams", F.lit(1), F.col("fronts"))))
-    blocks = at.groupBy("_gram").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_n"))
+    blocks = at.groupBy("_gram").agg(F.ceil(F.count(F.lit(1)) / GRAM_BLOCK).alias("_n"))
     met = _dealt(at.join(blocks, "_gram"), F.col("_n"))
     found = met.groupBy("_gram", "_i", "_j").applyInArrow(lambda group: _products(group, at_most), "a string, b string, distance double")
     return found.where(F.col("distance") <= at_most + 1e-9)
@@ -81,18 +83,23 @@ def _products(group: pa.Table, at_most: float | None = None) -> pa.Table:
     norm = (x * x).sum(1)
     same = group["_i"][0] == group["_j"][0]
     one, two = (np.arange(len(names)),) * 2 if same else (np.flatnonzero(low), np.flatnonzero(~low))
-    dot = x[one] @ x[two].T
     rank = np.argsort(np.argsort(names))
-    wanted = (dot > 0) & (rank[one][:, None] < rank[two][None, :]) if same else dot > 0
     if at_most is not None:
         here = gram == codes.dictionary.index(group["_gram"][0]).as_py()
         before = np.arange(len(row)) < np.flatnonzero(here)[row]  # each profile has the gram once
         early = np.zeros_like(x)
         early[row[before], gram[before]] = 1
-        wanted &= (dot * (2 - at_most) >= (1 - at_most) * (norm[one][:, None] + norm[two][None, :]) * (1 - 1e-9)) & (early[one] @ early[two].T == 0)
-    p, q = np.nonzero(wanted)
-    d = dot[p, q]
-    p, q = one[p], two[q]
+    found = []
+    for k in range(0, len(one), BLOCK):
+        some = one[k : k + BLOCK]
+        dot = x[some] @ x[two].T
+        wanted = (dot > 0) & (rank[some][:, None] < rank[two][None, :]) if same else dot > 0
+        if at_most is not None:
+            wanted &= dot * (2 - at_most) >= (1 - at_most) * (norm[some][:, None] + norm[two][None, :]) * (1 - 1e-9)
+            wanted &= early[some] @ early[two].T == 0
+        p, q = np.nonzero(wanted)
+        found.append((some[p], two[q], dot[p, q]))
+    p, q, d = (np.concatenate(c) for c in zip(*found)) if found else (np.empty(0, int), np.empty(0, int), np.empty(0))
     turned = rank[p] > rank[q]
     p, q = np.where(turned, q, p), np.where(turned, p, q)
     texts = group["kmer"].combine_chunks()

@@ -435,3 +435,15 @@ def test_zrank_of_equal_maxima(spark):
     z = {(r.kmer, r.half_window): r.zmax for r in permutation.zrank(found, null, grid, False).collect()}
     assert z["A", 4] == np.inf and np.isnan(z["C", 4]) and z["G", 4] == -np.inf and z["A", 8] == pytest.approx(0.5**0.5) and z["G", 8] == 0
     assert {r.kmer: r.half_window for r in permutation.zrank(found, null, grid).collect()} == {"A": 4, "C": 4, "G": 8}
+
+
+def test_profiles_of_a_hot_gram_travel_once(spark, monkeypatch):
+    """2,000 profiles of one gram are one block; before they were four, and each profile shuffled four times."""
+    dealt = []
+    whole = clustering._dealt
+    monkeypatch.setattr(clustering, "_dealt", lambda profiles, blocks: dealt.append(whole(profiles, blocks)) or dealt[-1])
+    kmers = spark.createDataFrame([("AAAA" + "".join("CGT"[n // 3**k % 3] for k in range(7)),) for n in range(2000)], "kmer string")
+    near = clustering.near_distances(kmers, 4, at_most=0.3)
+    assert dealt[0].groupBy("_gram", "kmer").count().agg(F.max("count")).first()[0] == 1
+    rows = near.collect()
+    assert rows and len({(r.a, r.b) for r in rows}) == len(rows)
