@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandwise.operators import dendrogram
 from strandwise.operators.motifs import reverse_complement
 from strandwise.operators.ordering import ordered
 from strandwise.runtime import cut
@@ -134,15 +135,14 @@ def silhouette(d: np.ndarray, label: np.ndarray) -> float:
     return float(width.mean())
 
 
-def integral_optimum(f: Callable[[int], float], low: int, high: int, resolution: int = 10) -> int:
-    """The integer in low..high with the largest value found on a grid that gets finer around the best so far."""
+def integral_optimum(f: Callable[[list[int]], list[float]], low: int, high: int, resolution: int = 10) -> int:
+    """The integer in low..high with the largest value found on a grid that gets finer around the best so far; ``f`` has the values of a grid at once."""
     seen: dict[int, float] = {}
     while True:
         step = max(1, -(-(high - low) // resolution))
         grid = sorted({*range(low, high + 1, step), high})
-        for x in grid:
-            if x not in seen:
-                seen[x] = f(x)
+        if new := [x for x in grid if x not in seen]:
+            seen.update(zip(new, f(new)))
         best = max(grid, key=lambda x: (seen[x], -x))
         if step == 1:
             return best
@@ -208,7 +208,8 @@ def cluster_kmers(kmers: DataFrame, k: int = 4, n_clusters: int | None = None, m
     """``(cluster, kmer)``: average-linkage clusters named by their most central member.
 
     Without ``n_clusters`` their number is the one with the best mean silhouette. K-mers shorter than ``k`` have no grams: distance 1 from all others
-    (``drop_short`` leaves them out). Up to three k-mers need ``n_clusters``. Distances stay a table, which every round of the linkage and every silhouette reads.
+    (``drop_short`` leaves them out). Up to three k-mers need ``n_clusters``. No pair is written: tasks make the similarities of their rows to all from the
+    profiles, which each of them reads whole, and the driver has some numbers for each k-mer.
     """
     distinct = kmers.where("kmer is not null" + (f" and length(kmer) >= {k}" if drop_short else "")).select("kmer").distinct()
     names = cut(ordered(distinct, ["kmer"]).select(F.col("pos").alias("x"), "kmer"))
@@ -217,16 +218,21 @@ def cluster_kmers(kmers: DataFrame, k: int = 4, n_clusters: int | None = None, m
         raise ValueError("up to three k-mers need a number of clusters of at most three")
     if not n:
         return names.select(F.col("kmer").alias("cluster"), "kmer")
-    apart = cut(distances(distinct, k, directional))
-    least, met = apart.agg(F.min(F.when(F.col("distance") > 1e-12, F.col("distance"))), F.count(F.lit(1))).first()
-    # Pairs without a row have distance 1.
-    equal = (1.0 if least is None else least) / 2 if least is not None or met < n * (n - 1) // 2 else 0.0
-    sim = 1 - F.when(F.col("distance") <= 1e-12, F.lit(equal)).otherwise(F.col("distance"))
-    pairs = cut(apart.join(names.select(F.col("x").alias("_a"), F.col("kmer").alias("a")), "a").join(names.select(F.col("x").alias("_b"), F.col("kmer").alias("b")), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"), sim.alias("sim")))
-    joins = linkage(pairs, n)
+    spark = kmers.sparkSession
+    profile = grams(names, k, directional).groupBy("kmer").agg(F.array_sort(F.collect_list(F.struct("gram", "n"))).alias("p"))
+    empty = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>"))
+    profiles = cut(names.join(profile, "kmer", "left").select("x", empty(F.col("p.gram"), "string").alias("grams"), empty(F.col("p.n"), "bigint").alias("counts")))
+    uri = dendrogram.written(profiles)
+    same = np.arange(n)
+    for r in profiles.groupBy("grams", "counts").agg(F.sort_array(F.collect_list("x")).alias("rows"), F.count(F.lit(1)).alias("n")).where("n > 1 and size(grams) > 0").select("rows").collect():
+        same[r.rows] = r.rows[0]
+    joins, least = dendrogram.linkage(spark, uri, same)
+    # Profiles that share no gram have distance 1, which is the smallest above 0 if no others differ.
+    equal = (1.0 if least is None else least) / 2 if least is not None or (same != same[0]).any() else 0.0
+    tree = dendrogram.Tree(joins, n, same, equal)
     if n_clusters is None:
-        n_clusters = integral_optimum(lambda c: mean_silhouette(pairs, labels(joins, n, c)), 2, min(n - 1, max_clusters or n - 1))
-    inside = _sums(pairs, labels(joins, n, min(n_clusters, n))).where("c = own")
+        n_clusters = integral_optimum(lambda c: dendrogram.silhouettes(spark, uri, tree, c), 2, min(n - 1, max_clusters or n - 1))
+    inside = cut(dendrogram.inside(spark, uri, tree, min(n_clusters, n)))
     heads = inside.groupBy("c").agg(F.min_by("x", F.struct(F.round(-F.col("sim") / F.col("size"), 12), "x")).alias("head"))
     named = heads.join(names.select(F.col("x").alias("head"), F.col("kmer").alias("cluster")), "head").select("c", "cluster")
     return inside.select("x", "c").join(named, "c").join(names, "x").select("cluster", "kmer")
